@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The study works on static files only; it has no streams, watermarks,
+windows over event time or state. Every operator in ``riskloom.operators``
+is a plain ``DataFrame -> DataFrame`` function, so the row-local ones
+(ratios, labels, capital per loan) also apply unchanged to a streaming
+DataFrame, but no streaming operator is part of the study.
+"""
