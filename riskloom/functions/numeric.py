@@ -184,3 +184,16 @@ def with_normal_ppf(df, p: str, out: str):
     staged = staged.withColumn(out, _ppf_edges(F.col(p).cast("double"),
                                                halley_step(F.col(tmp), F.col(p).cast("double"))))
     return staged.drop(tmp)
+
+
+def fround(x: ColumnOrName, digits: int) -> Column:
+    """Round half away from zero as ``sign(x) floor(|x| 10^d + 1/2) / 10^d``.
+
+    Spark's ``round`` rounds the decimal text of a double, other engines round
+    the binary value; this form is the same sequence of IEEE operations in any
+    engine, so reported tables agree bit for bit. Non-finite values pass through.
+    """
+    c = _c(x).cast("double")
+    m = float(10 ** digits)
+    r = F.floor(F.abs(c) * m + 0.5).cast("double") / m
+    return F.when(F.abs(c) < 1e15, F.when(c < 0, -r).otherwise(r)).otherwise(c)

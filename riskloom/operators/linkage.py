@@ -45,7 +45,7 @@ def rating_defaults(rating: DataFrame, grade: str = "D", date_fmt: str = "yyyy/M
     firm with many ratings is pre-combined before the shuffle.
     """
     d = rating.where(F.col("splticrm") == grade).withColumn(
-        "datadate", F.try_to_date(F.col("datadate").cast("string"), F.lit(date_fmt)))
+        "datadate", F.try_to_date(F.col("datadate").cast("string"), date_fmt))
     key = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in d.columns if c not in order])
     first = F.min_by(F.struct(*[F.col(c) for c in d.columns]), key)
     return d.groupBy("gvkey").agg(first.alias("r")).select("r.*")
@@ -169,7 +169,8 @@ def asof_match(loans: DataFrame, panel: DataFrame, key: str = "gvkey",
     ordk = F.struct(F.col("_pd"), F.col("_p"))
     decided = (starts.join(p, [key, "_yr"], "inner")
                .where(within_year_after(F.col("_pd"), F.col("_st")))
-               .groupBy(key, "_st").agg(F.max_by("_p", ordk).alias("_p")))
-    out = loans.join(decided, (loans[key] == decided[key]) & (loans[start] == decided["_st"]), "inner")
-    return out.select(*[loans[c] for c in loans.columns],
+               .groupBy(key, "_st").agg(F.max_by("_p", ordk).alias("_p"))
+               .withColumnRenamed(key, "_k"))
+    out = loans.join(decided, (F.col(key) == F.col("_k")) & (F.col(start) == F.col("_st")), "inner")
+    return out.select(*loans.columns,
                       *[F.col("_p")[c].alias(c) for c in payload if c not in loans.columns])

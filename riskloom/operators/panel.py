@@ -20,7 +20,7 @@ LAGGED = ["rect", "at", "sale", "emp", "roe"]
 def yyyymmdd_to_date(c: Column | str) -> Column:
     """``20220316`` (int or string) -> DATE (PR4); malformed -> NULL."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(col.cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(col.cast("string"), "yyyyMMdd")
 
 
 def clean_financials(fin: DataFrame, drop_cols: Sequence[str] = tuple(FIN_DROPPED),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import nan_to_null
+from ..functions.numeric import fround, nan_to_null
 
 SKETCH_ACCURACY = 10000
 
@@ -191,11 +191,11 @@ def summary_na(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame
     total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     d = describe(df, cols)
     num = [c for c in d.columns if c not in ("column", "count")]
-    na_pct = F.round((F.lit(total) - F.col("count")) / F.lit(total) * 100.0, 2)
+    na_pct = fround((F.lit(total) - F.col("count")) / F.lit(total) * 100.0, 2)
     return d.select("column",
                     na_pct.alias("na_pct"),
                     F.concat(na_pct.cast("string"), F.lit("%")).alias("na"),
-                    *[F.round(F.col(c), digits).alias(c) for c in num])
+                    *[fround(F.col(c), digits).alias(c) for c in num])
 
 
 def winsor_bounds(df: DataFrame, cols: Sequence[str], lower: float = 0.05,
