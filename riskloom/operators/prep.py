@@ -112,9 +112,13 @@ def knn_impute(df: DataFrame, key: str, features: Sequence[str], k: int = 5) ->
 
     feats = list(features)
     filled = df
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats]).first()
+    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats],
+                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_n_{c}") for c in feats]).first()
+    means = stats
     base = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in feats])
     for c in feats:
+        if stats[f"_n_{c}"] == 0:
+            continue
         receivers = base.where(F.col(c).isNull())
         donors = base.where(F.col(c).isNotNull())
         nn = knn(receivers, donors, feats, k, id_col="id", nan_aware=True)
