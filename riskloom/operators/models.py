@@ -25,6 +25,9 @@ from ..functions.numeric import sigmoid
 from .evaluate import BETA, classification_metrics
 
 MODEL_NAMES = ["lr", "lasso", "svm", "rf", "gb"]
+# Iteration budget of the iterative solvers. Each iteration is one distributed
+# pass; the study's 1000/3000 are reachable through ``params["max_iter"]``.
+MAX_ITER = 100
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -52,14 +55,14 @@ def make_estimator(name: str, params: dict, n_train: int, seed: int = 0):
     * ``gb``: gradient-boosted trees (ML7); learning rate clipped to (0, 1].
     """
     if name == "lr":
-        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", 1000))
+        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", MAX_ITER))
     if name == "lasso":
         c = float(params.get("C", 1.0))
         return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n_train, 1)),
-                                  standardization=False, maxIter=params.get("max_iter", 3000))
+                                  standardization=False, maxIter=params.get("max_iter", MAX_ITER))
     if name == "svm":
         c = float(params.get("C", 1.0))
-        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=params.get("max_iter", 200))
+        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=params.get("max_iter", MAX_ITER))
     if name == "rf":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
                                       maxDepth=int(params.get("max_depth", 5)),

@@ -72,13 +72,14 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
-                     accuracy: int = SKETCH_ACCURACY) -> dict[tuple[str, int], float]:
+                     accuracy: int = SKETCH_ACCURACY,
+                     counts: dict[str, int] | None = None) -> dict[tuple[str, int], float]:
     """Exact 0-based order statistics ``{(column, rank): value}`` over non-missing values."""
     wanted = {c: sorted(set(int(r) for r in rs)) for c, rs in wanted.items() if rs}
     if not wanted:
         return {}
     cols = list(wanted)
-    counts = column_counts(df, cols)
+    counts = counts if counts is not None else column_counts(df, cols)
     spark = df.sparkSession
 
     # pass 1: sketch values at ranks r -/+ slack for every (column, rank)
@@ -146,7 +147,7 @@ def interpolated_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[floa
         for q in qs:
             pos = q * (n - 1)
             wanted.setdefault(c, set()).update({math.floor(pos), math.ceil(pos)})
-    stats = order_statistics(df, {c: sorted(r) for c, r in wanted.items()})
+    stats = order_statistics(df, {c: sorted(r) for c, r in wanted.items()}, counts=counts)
     out: dict[tuple[str, float], float | None] = {}
     for c in cols:
         n = counts[c]
@@ -212,7 +213,7 @@ def winsor_bounds(df: DataFrame, cols: Sequence[str], lower: float = 0.05,
         n = counts[c]
         if n:
             wanted[c] = [int(lower * n), n - 1 - int(upper * n)]
-    stats = order_statistics(df, wanted)
+    stats = order_statistics(df, wanted, counts=counts)
     return {c: ((stats[(c, wanted[c][0])], stats[(c, wanted[c][1])]) if c in wanted else None)
             for c in cols}
 
@@ -248,8 +249,11 @@ def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs.append(nan_to_null(F.corr(F.when(both, F.col(a).cast("double")),
-                                       F.when(both, F.col(b).cast("double")))).alias(f"{a}|{b}"))
+        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+        # r = cov / sqrt(var_x var_y); a constant side makes r undefined: NULL
+        # (the built-in corr raises under ANSI in that case)
+        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+        aggs.append(nan_to_null(r).alias(f"{a}|{b}"))
     wide = df.agg(*aggs)
     args = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
     return wide.select(F.expr(f"stack({len(pairs)}, {args}) AS (col_a, col_b, r)"))

@@ -26,7 +26,7 @@ RAW_FEATURES = [*PANEL_RATIOS, "gdp_growth"]
 KEY = "rid"
 SEED = 0
 TRIALS = 2
-MAX_TREES = 40
+MAX_TREES = 20
 
 
 def query(name: str):
@@ -78,8 +78,12 @@ def prepare(spark: SparkSession, sf: str, resample: bool = True) -> Prepared:
         train = rs.undersample(train, [KEY], "default", 0.5, minority=1, seed=42)
     train = train.select(KEY, *feats, F.col("default").cast("double").alias("label"))
     train = prep.stratified_folds(train, [KEY], "label", 5, seed=SEED)
-    train = md.assemble(train, feats).persist()
-    test = md.assemble(test.withColumn("label", F.col("default").cast("double")), feats).persist()
+    train = md.assemble(train, feats)
+    test = md.assemble(test.withColumn("label", F.col("default").cast("double")), feats)
+    # Iterative fits run one job per iteration: size the partitions to the data
+    # (about ROWS_PER_PARTITION rows each) so small sets do not pay for idle tasks.
+    train = _sized(train).persist()
+    test = _sized(test).persist()
     out = Prepared(train, test, feats)
     _CACHE[ck] = out
     return out
@@ -88,6 +92,15 @@ def prepare(spark: SparkSession, sf: str, resample: bool = True) -> Prepared:
 _FITTED: dict[tuple[int, str], dict] = {}
 
 
+ROWS_PER_PARTITION = 50000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    n = df.count()
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(cap, -(-n // ROWS_PER_PARTITION))))
+
+
 def fitted_models(spark: SparkSession, sf: str, trials: int = TRIALS) -> dict[str, md.FittedModel]:
     """Search and refit every model family once per run (ML10 ML11)."""
     ck = (id(spark), sf)
