@@ -160,3 +160,12 @@ def q_importance(spark, sf):
     p = prepare(spark, sf)
     gb = md.fit(p.train, "gb", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1}, SEED)
     return md.importances(gb, p.features, top=10)
+
+
+@query("attribution")
+def q_attribution(spark, sf):
+    """Per-row TreeSHAP attribution of the gradient-boosted model on the test rows (ML15)."""
+    from ..operators.attribution import gbt_attribution
+    p = prepare(spark, sf)
+    gb = md.fit(p.train, "gb", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1}, SEED)
+    return gbt_attribution(gb.model, p.test, KEY, p.features)
