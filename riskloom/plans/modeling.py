@@ -149,7 +149,8 @@ def q_scored_panel(spark, sf):
     p = prepare(spark, sf)
     out = None
     for name, (m, _) in fitted_models(spark, sf).items():
-        s = m.score(p.test).select("gvkey", "datadate", "fyear", "default", "default_date", "gsector",
+        s = m.score(p.test).select("gvkey", "datadate", "fyear", "default", "default_date",
+                                   F.col("gsector_raw").cast("int").alias("gsector"),
                                    F.lit(name).alias("model"), "pred", "pd")
         out = s if out is None else out.unionByName(s)
     return out
