@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +36,19 @@ def label_defaults(df: DataFrame, rating_date: str = "rating_date",
 
 def keep_first_default(df: DataFrame, key: str = "gvkey",
                        order: Sequence[str] = ("datadate", "fyear")) -> DataFrame:
-    """Non-default rows plus each firm's first default row (WN3 + ST2, single pass).
+    """Non-default rows plus each firm's first default row (WN3 + ST2).
 
     Equals the union of ``default == 0`` rows with the first ``default == 1``
-    row per firm; later non-default rows of a defaulted firm stay.
+    row per firm; later non-default rows of a defaulted firm stay. The first
+    default is a partial aggregate (``min`` of the order struct) joined back,
+    so a firm with very many rows is pre-combined rather than windowed in one
+    task. ``order`` must be unique within a firm (it is for a firm-year panel).
     """
-    w = Window.partitionBy(key, "default").orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .where((F.col("default") == 0) | (F.col("_rn") == 1)).drop("_rn"))
+    first = (df.where(F.col("default") == 1).groupBy(key)
+             .agg(F.min(F.struct(*order)).alias("_first")))
+    return (df.join(first, key, "left")
+            .where((F.col("default") == 0) | (F.struct(*order) == F.col("_first")))
+            .drop("_first"))
 
 
 def drop_sectors(df: DataFrame, sectors: Sequence[int] = REGULATED_SECTORS,
