@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import within_year_after
@@ -68,16 +68,17 @@ def extend_links(link: DataFrame, as_of: dt.date, open_end: dt.date = OPEN_END_D
     """Parse link dates, open ends become ``open_end``, and every PERMNO's latest
     end (all ties) is extended to ``as_of`` (PR4 PR11 WN5). Adds ``n_cand`` (WN6).
 
-    One window on ``LPERMNO`` serves the max and the count; the following
-    resolution joins on the same key, so that join reuses this partitioning.
+    The max and the count are one grouped aggregate (pre-combined per map task)
+    joined back on ``LPERMNO``, so an identifier with very many links is not
+    windowed in a single task.
     """
     end = F.when(F.col("LINKENDDT").cast("string") == mark, F.lit(open_end)).otherwise(
         yyyymmdd_to_date("LINKENDDT"))
-    w = Window.partitionBy("LPERMNO")
     out = (link.withColumn("LINKDT", yyyymmdd_to_date("LINKDT"))
            .withColumn("LINKENDDT", end))
-    return (out.withColumn("_max_end", F.max("LINKENDDT").over(w))
-            .withColumn("n_cand", F.count(F.lit(1)).over(w))
+    per_id = out.groupBy("LPERMNO").agg(F.max("LINKENDDT").alias("_max_end"),
+                                        F.count(F.lit(1)).alias("n_cand"))
+    return (out.join(per_id, "LPERMNO", "inner")
             .withColumn("LINKENDDT", F.when(F.col("LINKENDDT") == F.col("_max_end"), F.lit(as_of))
                         .otherwise(F.col("LINKENDDT")))
             .drop("_max_end"))

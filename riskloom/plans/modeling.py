@@ -170,3 +170,10 @@ def q_attribution(spark, sf):
     p = prepare(spark, sf)
     gb = md.fit(p.train, "gb", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1}, SEED)
     return gbt_attribution(gb.model, p.test, KEY, p.features)
+
+
+@query("attribution_ranking")
+def q_attribution_ranking(spark, sf):
+    """Features ranked by mean |SHAP value| over the test rows, top 10 (ML15 summary, ST5)."""
+    from ..operators.attribution import mean_abs_ranking
+    return mean_abs_ranking(q_attribution(spark, sf), top=10)
