@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import exact_dedup, line_dedup
-from riskloom.llm.shared import table
+from riskloom.llm import (
+    bpe_count,
+    decontaminate,
+    exact_dedup,
+    html_main,
+    langid,
+    line_dedup,
+    pii,
+    quality,
+)
+from riskloom.llm.shared import fold, table
+
+# The fold that is held out of every fit: crc32 of the id as text, modulo 3.
+HELD_OUT = 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,15 +31,63 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.absorb(exact_dedup.fresh_index(spark), table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the byte-level vocabulary."""
+    return bpe_count.token_counts(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans and what the model adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, dropped lines and the digest of what is left."""
     return line_dedup.digest_columns(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance) of every document that holds a benchmark item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _with_fold(found: DataFrame) -> DataFrame:
+    return found.withColumn("held_out", F.coalesce(fold() == HELD_OUT, F.lit(False)))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold() != HELD_OUT))
+    found = _with_fold(langid.predict(docs, model))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(fold() != HELD_OUT)
+    found = _with_fold(quality.score(docs, quality.fit(docs, labels)))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_token_counts": op2_token_counts,
+        "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
+        "op5_html_main": op5_html_main,
+        "op6_decontaminate": op6_decontaminate,
+        "op9_langid": op9_langid,
+        "op10_quality": op10_quality,
     }
 
 

@@ -14,7 +14,9 @@ Conventions that hold for every operator of the package:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,38 @@ def restrict(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids`` (column ``key``), all columns, null-safe."""
     wanted = ids.select(F.col(key).alias("_wanted")).distinct()
     return docs.join(wanted, docs[key].eqNullSafe(wanted["_wanted"]), "left_semi")
+
+
+def map_arrow(df: DataFrame, make: Callable, schema: str, rows_per_step: int = 256) -> DataFrame:
+    """Run ``make()`` once per task; it returns a function from a dict of column
+    lists to a dict of column lists. Batches are handed over in small steps, so
+    the memory of a task is bounded by a few hundred texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark_schema = StructType.fromDDL(schema)
+
+    def run(batches):
+        arrow_schema = to_arrow_schema(spark_schema)
+        step = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_per_step):
+                out = step(batch.slice(at, rows_per_step).to_pydict())
+                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+
+    return df.mapInArrow(run, schema=spark_schema)
+
+
+def fold(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 3; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+def sample_ids(rows: DataFrame, stratum: str, size: int, seed: int = 7) -> DataFrame:
+    """At most ``size`` ids per value of ``stratum``: the id with the least seeded
+    hash in each of ``size`` hash buckets. A partial aggregate, so no stratum is
+    gathered or sorted, and the choice does not depend on partitioning."""
+    h = F.xxhash64("doc_id", F.lit(seed))
+    return (rows.groupBy(F.col(stratum).alias("stratum"), F.pmod(h, F.lit(size)).alias("bucket"))
+            .agg(F.min(F.struct(h.alias("h"), F.col("doc_id").alias("doc_id"))).alias("least"))
+            .select("stratum", F.col("least.doc_id").alias("doc_id")))
