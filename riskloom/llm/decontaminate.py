@@ -20,7 +20,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import map_arrow
+from riskloom.llm.shared import filter_arrow, map_arrow
 
 ERROR_RATE = 0.08
 MIN_CHARS = 16
@@ -123,36 +123,39 @@ def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
     return _matchers[key]
 
 
+def _blocks(benchmark: DataFrame, min_chars: int, block_bytes: int):
+    """Broadcasts of about ``block_bytes`` of normalised items each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
+        F.col("text").isNotNull()).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(size / block_bytes))
+    for block in range(n_blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            sorted((r["item_id"] if r["item_id"] is not None else -1, t) for r in rows
+                   if len(t := normal(r["text"])) >= min_chars))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance) for every document that holds an item of
     ``benchmark(item_id, text)`` within ``rate`` edits per character of the item.
 
     Null, empty and shorter items than ``min_chars`` (normalised) match nothing;
-    equal items each give their row. Null or empty texts hold nothing. Repeated
-    rows of a document give one row per item, with the least distance. Empty
-    tables give no rows.
+    equal items each give their row; a null ``item_id`` shows as -1. Null or
+    empty texts hold nothing. Repeated rows of a document give one row per item,
+    with the least distance. Empty tables give no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        F.col("text").isNotNull()).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     parts = []
-    for block in range(n_blocks):  # about block_bytes of items at a time
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        block_items = sorted((r["item_id"] if r["item_id"] is not None else -1, t) for r in rows
-                             if len(t := normal(r["text"])) >= min_chars)
-        sent = spark.sparkContext.broadcast(block_items)
-
+    for sent in _blocks(benchmark, min_chars, block_bytes):
         def make(sent=sent):
             def step(cols):
-                if not sent.value:
-                    return {"doc_id": [], "item_id": [], "distance": []}
-                matcher = _matcher(sent.value, rate)
-                found = [(d, i, n) for d, t in zip(cols["doc_id"], cols["text"]) if t
-                         for i, n in matcher.match(normal(t))]
+                found = []
+                if sent.value:
+                    matcher = _matcher(sent.value, rate)
+                    found = [(d, i, n) for d, t in zip(cols["doc_id"], cols["text"]) if t
+                             for i, n in matcher.match(normal(t))]
                 return {"doc_id": [f[0] for f in found], "item_id": [f[1] for f in found],
                         "distance": [f[2] for f in found]}
             return step
@@ -160,3 +163,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
         parts.append(map_arrow(texts, make, "doc_id long, item_id long, distance long"))
     return (reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id")
             .agg(F.min("distance").alias("distance")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, all columns; rules as in ``matches``."""
+    for sent in _blocks(benchmark, min_chars, block_bytes):
+        def make(sent=sent):
+            def keep(texts):
+                if not sent.value:
+                    return [True] * len(texts)
+                matcher = _matcher(sent.value, rate)
+                return [not t or not matcher.match(normal(t)) for t in texts]
+            return keep
+
+        docs = filter_arrow(docs, make)
+    return docs

@@ -15,13 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import map_arrow, restrict, sample_ids
+from riskloom.llm.shared import filter_arrow, map_arrow, restrict, sample_ids
 
 DIMS = 1 << 13
 SAMPLE_PER_LANG = 256     # learning rows per language for the centroids
 MAX_LANGS = 256
 CLUSTERS = 3
 SLACK = 0.5               # rejected below SLACK x the least cosine of its length class
+PIECE_WORDS = (1, 2, 4, 8, 16, 32)  # short pieces of the sample tell how low short texts reach
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -68,7 +69,7 @@ class Centroids:
         cos = self.centers[:, index] @ _unit(index, count, self.idf)
         best = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[best])))
-        return self.langs[self.owner[best]], score, score < self.floor[len(index).bit_length()]
+        return self.langs[self.owner[best]], score, score <= self.floor[len(index).bit_length()]
 
 
 def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -119,30 +120,40 @@ def fit(learn: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CLUST
 
     def make():
         def step(cols):
-            rows = [trigram_counts(t) if t and _has_letter(t) else None for t in cols["text"]]
-            return {"lang": cols["lang"], "doc_id": cols["doc_id"],
-                    "at": [None if r is None else r[0].astype(np.int32).tobytes() for r in rows],
-                    "n": [None if r is None else r[1].astype(np.int32).tobytes() for r in rows]}
+            out = {"lang": [], "doc_id": [], "words": [], "at": [], "n": []}
+            for lang, doc_id, text in zip(cols["lang"], cols["doc_id"], cols["text"]):
+                words = (text or "").split()
+                for size in (0, *PIECE_WORDS):
+                    start = (doc_id or 0) * 7919 % max(1, len(words) - size)
+                    piece = " ".join(words[start:start + size]) if size else text or ""
+                    if size < len(words) and _has_letter(piece):
+                        at, n = trigram_counts(piece)
+                        for name, value in (("lang", lang), ("doc_id", doc_id), ("words", size),
+                                            ("at", at.astype(np.int32).tobytes()), ("n", n.astype(np.int32).tobytes())):
+                            out[name].append(value)
+            return out
         return step
 
-    rows = sorted(map_arrow(restrict(learn, picked), make, "lang string, doc_id long, at binary, n binary")
-                  .filter(F.col("at").isNotNull()).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["n"]))
+    rows = sorted(map_arrow(restrict(learn, picked), make, "lang string, doc_id long, words int, at binary, n binary")
+                  .collect(), key=lambda r: (r["lang"], r["words"], r["doc_id"] or 0, r["n"]))
     langs = sorted({r["lang"] for r in rows})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages; the model is made for at most {MAX_LANGS}")
     rng = np.random.default_rng(seed)
     owner, centers, floors = [], [], np.full(64, np.inf)
     for k, lang in enumerate(langs):
-        own = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows if r["lang"] == lang]
+        own = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["words"])
+               for r in rows if r["lang"] == lang]
+        own, cut = [r[:2] for r in own if r[2] == 0], [r[:2] for r in own if r[2]]
         x = np.zeros((len(own), DIMS), np.float32)
         for i, (at, n) in enumerate(own):
             x[i, at] = _unit(at, n, idf)
         made = _cluster(x, clusters, rng)
         owner += [k] * len(made)
         centers.append(made)
-        for (at, _), cos in zip(own, (x @ made.T).max(axis=1)):
+        for at, n in own + cut:
             size = len(at).bit_length()
-            floors[size] = min(floors[size], cos)
+            floors[size] = min(floors[size], float((made[:, at] @ _unit(at, n, idf)).max()))
     # a length class is as lenient as any longer one: shorter texts have lower cosines
     floors = np.minimum.accumulate(floors[::-1])[::-1]
     lenient = np.minimum.accumulate(np.where(np.isfinite(floors), floors, np.inf))
@@ -169,3 +180,13 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make,
                      "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows of ``docs`` whose text the model does not reject, all columns."""
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda texts: [not fitted.value.predict(t)[2] for t in texts]
+
+    return filter_arrow(docs, make)

@@ -54,21 +54,12 @@ def _repeated(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             .groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("dropped")))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Drop repeated lines of ``docs(doc_id, text)``; the smallest ``doc_id`` keeps them.
-
-    Returns doc_id, text (the kept lines, in order), n_lines, n_dropped, and
-    ``row_key``, which tells apart rows of one ``doc_id`` with different texts.
-
-    A null or empty text is one empty line. A document that loses every line
-    has the empty text. Rows that share a ``doc_id`` are one document: a line
-    in several of them is not repeated by that, and equal rows get equal
-    results. A null ``doc_id`` counts as one document after all others. An
-    empty table gives no rows. Keys shorter than ``min_chars`` always stay.
-    """
+def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """Every row of ``docs`` as the struct ``row``, with n_lines, n_dropped and the kept text."""
     base = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(body()).alias("row_key"),
-                       F.split(body(), "\n").alias("lines"))
-    dropped = _repeated(base, min_chars, min_docs)
+                       F.split(body(), "\n").alias("lines"), F.col("text").isNull().alias("no_text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    dropped = _repeated(base.select("doc_id", "row_key", "lines"), min_chars, min_docs)
     dropped = dropped.select(F.col("doc_id").alias("d_id"), F.col("row_key").alias("d_key"), "dropped")
     joined = base.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id"))
                        & (F.col("row_key") == F.col("d_key")), "left")
@@ -78,14 +69,41 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(
         F.transform(stay, lambda i: F.get(F.col("lines"), i)))
     return joined.select(
-        "doc_id", "row_key", F.array_join(kept, "\n").alias("text"),
-        F.size("lines").cast("long").alias("n_lines"),
+        "row", "no_text", F.array_join(kept, "\n").alias("kept"), F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("long").alias("n_dropped"))
 
 
-def digest_columns(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_lines", "n_dropped",
-                        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Drop repeated lines of ``docs(doc_id, text, ...)``; the smallest ``doc_id`` keeps them.
+
+    Returns the columns of ``docs`` with the kept lines as ``text``, and the
+    number of code points as ``n_chars`` if that column exists. A row that
+    loses nothing keeps its text as it is, null included.
+
+    A null or empty text is one empty line. A document that loses every line
+    has the empty text. Rows that share a ``doc_id`` are one document: a line
+    in several of them is not repeated by that, and equal rows get equal
+    results. A null ``doc_id`` counts as one document after all others. An
+    empty table gives no rows. Keys shorter than ``min_chars`` always stay.
+    """
+    found = _judged(docs, min_chars, min_docs)
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(F.when((F.col("n_dropped") > 0) | ~F.col("no_text"), F.col("kept")).alias("text"))
+        elif c == "n_chars":
+            out.append(F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType))
+                       .otherwise(F.col("row.n_chars")).alias("n_chars"))
+        else:
+            out.append(F.col(f"row.`{c}`").alias(c))
+    return found.select(*out)
+
+
+def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row; rules as in ``line_dedup``."""
+    found = _judged(docs.select("doc_id", "text"), min_chars, min_docs)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped",
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from riskloom.llm import (
     html_main,
     langid,
     line_dedup,
+    mixing,
+    ngram_join,
     pii,
     quality,
 )
@@ -45,7 +48,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, dropped lines and the digest of what is left."""
-    return line_dedup.digest_columns(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +65,17 @@ def _with_fold(found: DataFrame) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(fold() == HELD_OUT, F.lit(False)))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: size of its shingle set and its group of near duplicates."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the words the mix takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -86,8 +100,11 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op5_html_main": op5_html_main,
         "op6_decontaminate": op6_decontaminate,
+        "op7_ngram_join": op7_ngram_join,
+        "op8_mixing": op8_mixing,
         "op9_langid": op9_langid,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -83,6 +83,19 @@ def map_arrow(df: DataFrame, make: Callable, schema: str, rows_per_step: int = 2
     return df.mapInArrow(run, schema=spark_schema)
 
 
+def filter_arrow(df: DataFrame, make: Callable, column: str = "text", rows_per_step: int = 256) -> DataFrame:
+    """Rows of ``df`` for which ``make()(values)`` says True, all columns as they are.
+    ``make`` runs once per task; no row is moved."""
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_per_step):
+                part = batch.slice(at, rows_per_step)
+                yield part.filter(pa.array(keep(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, schema=df.schema)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
