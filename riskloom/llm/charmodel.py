@@ -107,7 +107,7 @@ class Tagger:
         return grad
 
     # -- CRF ---------------------------------------------------------------
-    def _posterior(self, score, length):
+    def _posterior(self, score, length, with_moves=True):
         """Tag marginals (B T Y) and expected transitions (Y Y)."""
         n, width, y = score.shape
         move = self.p["trans"] + self.allowed
@@ -122,6 +122,8 @@ class Tagger:
             b[:, t] = np.where(live[:, t + 1, None], new, 0.0)
         z = _lse(a[:, -1], 1)
         m = np.exp(np.minimum(a + b - z[:, None, None], 0.0)) * live[..., None]
+        if not with_moves:
+            return m, None
         pair = np.exp(np.minimum(a[:, :-1, :, None] + move + (score[:, 1:] + b[:, 1:])[:, :, None, :]
                                  - z[:, None, None, None], 0.0)) * live[:, 1:, None, None]
         return m, pair.sum(axis=(0, 1))
@@ -189,7 +191,7 @@ class Tagger:
             group = order[at:at + batch]
             ids, length = self.pack([texts[i] for i in group])
             score, _ = self._forward(ids, length)
-            marginal, _ = self._posterior(score, length)
+            marginal, _ = self._posterior(score, length, with_moves=False)
             path = self._viterbi(score, length)
             for row, i in enumerate(group):
                 tags = path[row, :length[row]]

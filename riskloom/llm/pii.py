@@ -275,4 +275,4 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make,
                      "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-                     "spans string, n_added long", rows_per_step=1024)
+                     "spans string, n_added long", rows_per_step=512)
