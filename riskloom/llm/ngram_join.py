@@ -292,7 +292,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block:
     wordless text has none, is linked with nothing and is its own component.
     Rows that share a ``doc_id`` are one document and share its links. Rows with
     a null ``doc_id`` count as one document after all others; its component is
-    null if it reaches no other. An empty table gives no rows.
+null if it reaches no other. An empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text")
@@ -305,17 +305,29 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block:
         heads, "node", "left_semi")
     tiles = materialize(_tiles(classes, percent), "tiles")
 
-    labels, sets, tested, links = None, None, None, None
+    # a document of several texts ties their sets together
+    several = materialize(
+        rows.groupBy("node").agg(F.min(F.coalesce("digest", F.lit(b""))).alias("lo"),
+                                 F.max(F.coalesce("digest", F.lit(b""))).alias("hi"))
+        .filter(F.col("lo") != F.col("hi")).select("node"), "several")
+    links = materialize(rows.join(several, "node", "left_semi").select("node", "digest").distinct()
+                        .join(groups, "digest").select(F.col("node").alias("a"), F.col("set_id").alias("b")), "links")
+
+    labels, sets, tested = None, None, None
     for step in ("near", "heads", "rest"):
         pairs = _candidates(tiles, labels, percent, block, step)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if sets is None:
-            wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-            sets = materialize(_sets(texts.join(wanted, F.col("node") == F.col("w"), "left_semi"), n), "shingles")
+        wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select(F.col("node").alias("w")), "w", "left_anti")
+        wanted = materialize(wanted, "wanted")
+        if sets is None or not wanted.isEmpty():  # the shingle arrays of classes that have candidates
+            more = materialize(_sets(texts.join(wanted, F.col("node") == F.col("w"), "left_semi"), n), "shingles")
+            sets = more if sets is None else sets.unionByName(more)
         found = _verified(pairs, sets, percent)
-        links = materialize(found if links is None else links.unionByName(found), "links")
+        links = materialize(links.unionByName(found), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = materialize(components(links), "labels")
 
@@ -326,9 +338,10 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block:
     hot = F.broadcast(named.filter(F.col("n") * HOT_PARTS > total).drop("n"))
     calm = named.filter(F.col("n") * HOT_PARTS <= total).drop("n")
     slim = rows.select("node", "size", "digest")
-    full = (slim.join(calm.hint("merge"), "digest").unionByName(slim.join(hot, "digest"))
-            .unionByName(slim.filter(F.col("digest").isNull())
-                         .withColumn("set_id", F.col("node")).withColumn("component", F.col("node"))))
+    wordless = (slim.filter(F.col("digest").isNull()).join(labels, "node", "left")
+                .select("node", "size", "digest", F.col("node").alias("set_id"),
+                        F.coalesce("label", "node").alias("component")))
+    full = (slim.join(calm.hint("merge"), "digest").unionByName(slim.join(hot, "digest")).unionByName(wordless))
     named_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return full.select(named_id("node").alias("doc_id"), F.col("size").alias("n_shingles"),
                        named_id("component").alias("component_id"), named_id("set_id").alias("set_id"))
