@@ -1,12 +1,15 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed once into blocks of text and the element subtrees that span
+Each page is parsed into blocks of text and the element subtrees that span
 them. Every subtree is hashed over its tags and text; Spark counts, per host,
 how many different pages hold each hash, and subtrees that recur on many pages
 of their host are template and deleted. What a tag or its class already names
 as boilerplate (menus, forms, adverts, comments, ...) is never a block at all,
 and where a page marks its article, only the article counts; inside it, single
 paragraphs are content even if other pages repeat them.
+
+Pages are parsed twice, for the hashes and for the text, because parsing is
+cheaper than storing the text of all pages in between.
 """
 
 from __future__ import annotations
@@ -159,6 +162,17 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     return blocks, in_article, subtrees
 
 
+def _parts(html: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Blocks and subtrees of what counts: the article if the page marks one, or else everything."""
+    blocks, inside, trees = parse(html or "")
+    if not any(inside):
+        return blocks, trees
+    at = [0]
+    for x in inside:
+        at.append(at[-1] + x)
+    return [b for b, x in zip(blocks, inside) if x], [(d, at[s], at[e]) for d, s, e in trees if at[s] < at[e]]
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``.
 
@@ -171,31 +185,18 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                           host.alias("host"), F.xxhash64("html").alias("page"), "html")
 
-    def parser():
+    def hasher():
         def step(cols):
-            out = {k: cols[k] for k in ("page_id", "url", "host", "page")}
-            rows = []
-            for h in cols["html"]:
-                blocks, inside, trees = parse(h or "")
-                if any(inside):  # the page marks its article: nothing else counts
-                    at = [0]
-                    for x in inside:
-                        at.append(at[-1] + x)
-                    trees = [(d, at[s], at[e]) for d, s, e in trees if at[s] < at[e]]
-                    blocks = [b for b, x in zip(blocks, inside) if x]
-                rows.append((blocks, trees))
-            out["blocks"] = [r[0] for r in rows]
-            for i, name in enumerate(("hashes", "firsts", "ends")):
-                out[name] = [[t[i] for t in r[1]] for r in rows]
+            out = {"host": cols["host"], "page": cols["page"], "hashes": []}
+            for html in cols["html"]:
+                out["hashes"].append(sorted({t[0] for t in _parts(html)[1]}))
             return out
         return step
 
-    parsed = materialize(map_arrow(
-        source, parser, "page_id long, url string, host string, page long, blocks array<string>, hashes array<long>, "
-        "firsts array<int>, ends array<int>"), "pages")
-
-    seen = parsed.select("host", "page", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
-    totals = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hashed = materialize(map_arrow(source.select("host", "page", "html"), hasher,
+                                   "host string, page long, hashes array<long>").distinct(), "subtrees")
+    seen = hashed.select("host", "page", F.explode("hashes").alias("hash"))
+    totals = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     template = (counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * min_share)
                 .select("host", "hash", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")))
@@ -203,22 +204,22 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     hit = (seen.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
            .join(template, ["host", "hash", "salt"])
            .groupBy("host", "page").agg(F.collect_list("hash").alias("template")))
-    hit = hit.select(F.col("host").alias("t_host"), F.col("page").alias("t_page"), "template")
-    joined = parsed.join(hit, (F.col("host") == F.col("t_host")) & (F.col("page") == F.col("t_page")), "left")
+    hit = materialize(hit.select(F.col("host").alias("t_host"), F.col("page").alias("t_page"), "template"), "template")
+    joined = source.join(hit, (F.col("host") == F.col("t_host")) & (F.col("page") == F.col("t_page")), "left")
 
     def assembler():
         def step(cols):
             texts = []
-            for blocks, hashes, firsts, ends, gone in zip(cols["blocks"], cols["hashes"], cols["firsts"], cols["ends"],
-                                                          cols["template"]):
+            for html, template in zip(cols["html"], cols["template"]):
+                blocks, trees = _parts(html)
                 keep = [True] * len(blocks)
-                lost = set(gone or ())
-                for h, s, e in zip(hashes, firsts, ends):
+                lost = set(template or ())
+                for h, s, e in trees:
                     if h in lost:
                         keep[s:e] = [False] * (e - s)
                 texts.append(" ".join(b for b, k in zip(blocks, keep) if k))
             return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": [len(t) for t in texts]}
         return step
 
-    return map_arrow(joined.select("page_id", "url", "blocks", "hashes", "firsts", "ends", "template"), assembler,
+    return map_arrow(joined.select("page_id", "url", "html", "template"), assembler,
                      "page_id long, url string, text string, n_chars long")
