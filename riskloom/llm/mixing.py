@@ -54,8 +54,13 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> dict[int, int]
     return chosen
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take so that their words come near ``budget``."""
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS,
+               copies: int = 1) -> np.ndarray:
+    """How many documents of each size to take so that their words come near ``budget``.
+
+    Every document is offered once; the dynamic program turns to further copies,
+    up to ``copies`` of each, only if single ones cannot reach the budget.
+    """
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(sizes), np.int64)
@@ -78,9 +83,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
             taken[i] += more
             rest -= more * int(sizes[i])
     if rest > 0:
-        left = counts - taken
         order = np.argsort(-sizes, kind="stable")
-        chosen = knapsack([int(sizes[i]) for i in order], [int(left[i]) for i in order], min(rest, 2 * dp_words))
+        offer = [(int(sizes[i]), int(counts[i] - taken[i])) for i in order]
+        offer += [(int(sizes[i]), int(counts[i]) * (copies - 1)) for i in order]
+        chosen = knapsack([o[0] for o in offer], [o[1] for o in offer], min(rest, 2 * dp_words))
         at = {int(s): i for i, s in enumerate(sizes)}
         for size, n in chosen.items():
             taken[at[size]] += n
@@ -141,8 +147,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed:
         total = int(rows["source_size"].iloc[0])
         whole = min(int(budget // total), repeats) if total else 0
         rest = round(budget - whole * total) if whole < repeats else 0
-        rows["whole"] = whole
-        rows["extra"] = fit_budget(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rest)
+        n = rows["n"].to_numpy(np.int64)
+        taken = fit_budget(rows["size"].to_numpy(np.int64), n, rest, copies=repeats - whole)
+        rows["whole"], rows["extra"] = whole + taken // n, taken % n
         return rows[["src", "size", "whole", "extra"]]
 
     plan = (strata.join(goal.select("src", "source_size", "target"), "src")

@@ -179,7 +179,8 @@ def test_mix_meets_targets_and_repeats(spark):
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 10
+        # source "s" is two texts of 30,000 words and a few small ones
+        assert abs(taken[s] - want[s]) <= (15_000 if s == "s" else 3)
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
@@ -277,7 +278,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
             for i in range(60)]
     rows += [(100 + i, rows[i][1].replace("river", "stream", 1) + " tail", "en", "a") for i in range(10)]
     rows += [(200 + i, f"{clean(9)} {items[i][1]} {clean(5)}", "en", "c") for i in range(3)]
-    rows += [(300, None), (301, ""), (302, "123 456"), (303, "это другой язык " * 9), (None, clean(20)), (304, clean(9)), (304, clean(9))]
+    rows += [(300, None), (301, ""), (302, "123 456"), (303, "это другой язык " * 9, None), (None, clean(20)), (304, clean(9)), (304, clean(9))]
     rows += [(400 + i, "a licence line that many documents share\n" + clean(25), "en", "b") for i in range(8)]
     _write(spark, str(tmp_path), rows, items)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -286,15 +287,8 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     model = langid.fit(table(spark, str(tmp_path), "documents").filter("crc32(cast(doc_id as string)) % 3 <> 1"))
     kept = [r for r in rows if not model.predict(r[1])[2]]
     assert not {300, 301, 302, 303} & {r[0] for r in kept} and len(kept) == len(rows) - 4
-    source = {(r[0], r[1]): (r[3] if len(r) > 3 else "s") for r in rows}
-    lines = brute_lines([(i, r[1]) for i, r in enumerate(kept)])  # by position: ids repeat
-    assert len(lines) == len(kept)
-    by_doc = []
-    for r in kept:
-        own = [x for x in brute_lines([(k[0], k[1]) for k in kept]) if x[0] == r[0]]
-        match = [x for x in own if x[1] == len((r[1] or "").split("\n"))] or own
-        texts = {x[3] for x in match}
-        by_doc.append((r[0], sorted(texts, key=lambda t: -len(set(t.split()) & set((r[1] or "").split())))[0], source[r[0], r[1]]))
+    lines = brute_lines(kept)
+    by_doc = [(r[0], line[3], r[3] if len(r) > 3 else "s") for r, line in zip(kept, lines)]
     comp = {d: c for d, _, c in brute_components(by_doc)}
     left = [r for r in by_doc if comp[r[0]] == r[0]]
     found = decontaminate.Matcher([(i, decontaminate.normal(t)) for i, t in items if t], decontaminate.ERROR_RATE)

@@ -68,7 +68,7 @@ def brute_lines(rows):
         lines = (r[1] or "").split("\n")
         kept = [x for x in lines if len(holders.get(key(x), ())) < 2 or min(holders[key(x)], key=rank) == r[0]]
         out.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out, key=repr)
+    return out
 
 
 @pytest.mark.parametrize("hot_parts", [1, 100_000])
