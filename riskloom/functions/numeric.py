@@ -76,8 +76,8 @@ def least_skip_null(*cols: ColumnOrName) -> Column:
 
 
 def percent_text(x: ColumnOrName, digits: int = 2) -> Column:
-    """Number rendered as ``'<n>%'`` (SC10)."""
-    return F.concat(F.round(_c(x), digits).cast("string"), F.lit("%"))
+    """Number, rounded, rendered as ``'<n>%'`` (SC10)."""
+    return F.concat(fround(x, digits).cast("string"), F.lit("%"))
 
 
 # ---------------------------------------------------------------------------
@@ -191,9 +191,12 @@ def fround(x: ColumnOrName, digits: int) -> Column:
 
     Spark's ``round`` rounds the decimal text of a double, other engines round
     the binary value; this form is the same sequence of IEEE operations in any
-    engine, so reported tables agree bit for bit. Non-finite values pass through.
+    engine, so reported tables agree bit for bit. A value whose scaled size
+    reaches 2^53 holds no finer digits and passes through, as do infinities.
     """
     c = _c(x).cast("double")
     m = float(10 ** digits)
-    r = F.floor(F.abs(c) * m + 0.5).cast("double") / m
-    return F.when(F.abs(c) < 1e15, F.when(c < 0, -r).otherwise(r)).otherwise(c)
+    scaled = F.abs(c) * m
+    # below 2^53 the floor fits a BIGINT, which is what Spark's floor returns
+    r = F.floor(F.when(scaled < float(2 ** 53), scaled) + 0.5).cast("double") / m
+    return F.when(scaled < float(2 ** 53), F.when(c < 0, -r).otherwise(r)).otherwise(c)

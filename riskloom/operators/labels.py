@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,15 +39,15 @@ def keep_first_default(df: DataFrame, key: str = "gvkey",
     """Non-default rows plus each firm's first default row (WN3 + ST2).
 
     Equals the union of ``default == 0`` rows with the first ``default == 1``
-    row per firm; later non-default rows of a defaulted firm stay. The first
-    default is a partial aggregate (``min`` of the order struct) joined back,
-    so a firm with very many rows is pre-combined rather than windowed in one
-    task. ``order`` must be unique within a firm (it is for a firm-year panel).
+    row per firm; later non-default rows of a defaulted firm stay. A firm has
+    at most one row per fiscal year, so the window over a firm is bounded, and
+    it reuses the partitioning of the lags instead of reading the panel twice.
+    ``order`` must be unique within a firm (it is for a firm-year panel).
     """
-    first = (df.where(F.col("default") == 1).groupBy(key)
-             .agg(F.min(F.struct(*order)).alias("_first")))
-    return (df.join(first, key, "left")
-            .where((F.col("default") == 0) | (F.struct(*order) == F.col("_first")))
+    place = F.struct(*order)
+    first = F.min(F.when(F.col("default") == 1, place)).over(Window.partitionBy(key))
+    return (df.withColumn("_first", first)
+            .where((F.col("default") == 0) | (place == F.col("_first")))
             .drop("_first"))
 
 

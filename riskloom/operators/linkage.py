@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import within_year_after
-from .panel import yyyymmdd_to_date
+from .panel import parse_date, yyyymmdd_to_date
 
 # Delisting codes that count as default besides every code below 500.
 DEFAULT_DELIST_CODES = (560, 572, 574)
@@ -45,7 +45,7 @@ def rating_defaults(rating: DataFrame, grade: str = "D", date_fmt: str = "yyyy/M
     firm with many ratings is pre-combined before the shuffle.
     """
     d = rating.where(F.col("splticrm") == grade).withColumn(
-        "datadate", F.try_to_date(F.col("datadate").cast("string"), date_fmt))
+        "datadate", parse_date("datadate", date_fmt))
     key = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in d.columns if c not in order])
     first = F.min_by(F.struct(*[F.col(c) for c in d.columns]), key)
     return d.groupBy("gvkey").agg(first.alias("r")).select("r.*")
@@ -93,50 +93,45 @@ def resolve_links(events: DataFrame, links: DataFrame, id_col: str = "PERMNO",
     none valid: the event is dropped. ``links`` must come from
     :func:`extend_links` (it carries ``n_cand``).
 
-    Identical event rows are counted once and re-expanded at the end, so the
-    per-event choice is a keyed aggregate with no row ids.
+    The choice depends on the identifier and the date alone, so it is made per
+    distinct pair with a keyed aggregate and joined back; repeated events keep
+    their multiplicity and need no row ids.
     """
-    ev_cols = events.columns
-    ev = events.groupBy(*ev_cols).agg(F.count(F.lit(1)).alias("_dup"))
-    lk = links.select(F.col("LPERMNO").alias(id_col), "gvkey", "LINKDT", "LINKENDDT", "n_cand")
-
-    single = (ev.join(lk.where(F.col("n_cand") == 1), id_col, "inner")
-              .select(*ev_cols, "_dup", "gvkey"))
-
-    multi_links = (lk.where(F.col("n_cand") > 1)
-                   .withColumn("_yr", F.explode(F.sequence(F.year("LINKDT"), F.year("LINKENDDT")))))
-    cand = (ev.withColumn("_yr", F.year(date_col))
-            .join(multi_links, [id_col, "_yr"], "inner")
-            .where((F.col("LINKDT") < F.col(date_col)) & (F.col("LINKENDDT") > F.col(date_col))))
-    multi = (cand.groupBy(*ev_cols, "_dup")
-             .agg(F.min_by("gvkey", F.struct("LINKDT", "gvkey")).alias("gvkey")))
-
-    both = single.unionByName(multi)
-    return (both.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_dup").cast("int"))))
-            .drop("_rep", "_dup"))
-
-
-def window_event_dates(panel_keys: DataFrame, events: DataFrame, key: str = "gvkey",
-                       date: str = "datadate", event_date: str = "event_date") -> DataFrame:
-    """Latest event in ``(date, date + 1 year)`` per (key, date) (JN6 + SC7).
-
-    Returns ``(key, date, event_date)`` for matched keys only. The panel side is
-    exploded to two year buckets; the aggregate is a max, pre-combined per map task.
+    asked = events.select(F.col(id_col).alias("_id"), F.col(date_col).alias("_at")).distinct()
+    lk = links.select(F.col("LPERMNO").alias("_id"), "gvkey", "LINKDT", "LINKENDDT", "n_cand")
+    single = asked.join(lk.where(F.col("n_cand") == 1), "_id").select("_id", "_at", "gvkey")
+    several = (lk.where(F.col("n_cand") > 1)
+               .withColumn("_yr", F.explode(F.sequence(F.year("LINKDT"), F.year("LINKENDDT")))))
+    valid = (asked.withColumn("_yr", F.year("_at")).join(several, ["_id", "_yr"])
+             .where((F.col("LINKDT") < F.col("_at")) & (F.col("LINKENDDT") > F.col("_at")))
+             .groupBy("_id", "_at").agg(F.min_by("gvkey", F.struct("LINKDT", "gvkey")).alias("gvkey")))
+    chosen = single.unionByName(valid)
+    return (events.join(chosen, (F.col(id_col) == F.col("_id")) & F.col(date_col).eqNullSafe(F.col("_at")))
+            .select(*events.columns, "gvkey"))
+
+
+def attach_event_windows(panel: DataFrame, events: DataFrame, kinds: dict[str, str], key: str = "gvkey",
+                         date: str = "datadate", event_date: str = "event_date", kind: str = "kind") -> DataFrame:
+    """Panel with, per kind of event, the latest date in ``(date, date + 1 year)`` or NULL (JN6 + SC7).
+
+    ``kinds`` maps an output column to the value of ``events[kind]``. All kinds
+    take part in one join. An event at ``t`` can only fall in the window of a row
+    dated in ``year(t)`` or the year before, so the events of a firm are gathered
+    per such year as sets of distinct dates: at most two years of days, however
+    many events there are. The panel then meets at most one row of them, is not
+    multiplied, and is read once.
     """
-    k = (panel_keys.select(key, date)
-         .withColumn("_yr", F.explode(F.array(F.year(date), F.year(date) + 1))))
-    e = events.select(F.col(key), F.col(event_date).alias("_ev")).withColumn("_yr", F.year("_ev"))
-    return (k.join(e, [key, "_yr"], "inner")
-            .where(within_year_after(F.col(date), F.col("_ev")))
-            .groupBy(key, date).agg(F.max("_ev").alias(event_date)))
+    e = events.select(F.col(key).alias("_k"), F.col(event_date).alias("_ev"), F.col(kind).alias("_kind"))
+    e = e.withColumn("_yr", F.explode(F.array(F.year("_ev") - 1, F.year("_ev"))))
+    dates = e.groupBy("_k", "_yr").agg(*[
+        F.collect_set(F.when(F.col("_kind") == value, F.col("_ev"))).alias(f"_dates_{col}")
+        for col, value in kinds.items()])
+    met = panel.join(dates, (F.col(key) == F.col("_k")) & (F.year(date) == F.col("_yr")), "left")
 
+    def latest(col: str):
+        return F.array_max(F.filter(F.col(f"_dates_{col}"), lambda t: within_year_after(F.col(date), t)))
 
-def attach_event_window(panel: DataFrame, events: DataFrame, out_col: str,
-                        key: str = "gvkey", date: str = "datadate",
-                        event_date: str = "event_date") -> DataFrame:
-    """Panel with ``out_col`` = latest matching event date or NULL (left semantics)."""
-    m = window_event_dates(panel, events, key, date, event_date).withColumnRenamed(event_date, out_col)
-    return panel.join(m, [key, date], "left")
+    return met.select(*panel.columns, *[latest(c).alias(c) for c in kinds])
 
 
 def two_key_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
@@ -155,23 +150,23 @@ def asof_match(loans: DataFrame, panel: DataFrame, key: str = "gvkey",
     """Each loan gets the panel row of the same firm with ``date < start < date + 1y``;
     among several the most recent ``date``; unmatched loans are dropped (JN8).
 
-    The match is decided per distinct (firm, start date): the panel is exploded
-    to two year buckets, joined on (firm, bucket) with the date residual, and
-    the latest panel row is kept by a ``max_by`` aggregate (pre-combined per
-    map task). Loans then join the decided matches on (firm, start), so
-    duplicate loan rows keep their multiplicity and no loan id is needed.
+    The date is decided per distinct (firm, start date): distinct panel dates are
+    exploded to two year buckets, joined on (firm, bucket) with the date
+    residual, and the latest is a plain ``max``, pre-combined per map task.
+    Two equi-joins then bring the date to the loans and the payload to the date,
+    so no payload is carried through the range join. Of several panel rows with
+    one (firm, date) the greatest payload wins.
     """
     payload = list(payload) if payload else [c for c in panel.columns if c != key]
-    p = (panel.select(F.col(key), F.col(date).alias("_pd"),
-                      F.struct(*[F.col(c) for c in payload]).alias("_p"))
-         .withColumn("_yr", F.explode(F.array(F.year("_pd"), F.year("_pd") + 1))))
-    starts = loans.select(F.col(key), F.col(start).alias("_st")).withColumn("_yr", F.year("_st"))
-    # Order by date, then by the payload itself, so equal dates pick deterministically.
-    ordk = F.struct(F.col("_pd"), F.col("_p"))
-    decided = (starts.join(p, [key, "_yr"], "inner")
+    days = (panel.select(F.col(key), F.col(date).alias("_pd")).distinct()
+            .withColumn("_yr", F.explode(F.array(F.year("_pd"), F.year("_pd") + 1))))
+    starts = loans.select(F.col(key), F.col(start).alias("_st")).distinct().withColumn("_yr", F.year("_st"))
+    decided = (starts.join(days, [key, "_yr"])
                .where(within_year_after(F.col("_pd"), F.col("_st")))
-               .groupBy(key, "_st").agg(F.max_by("_p", ordk).alias("_p"))
-               .withColumnRenamed(key, "_k"))
-    out = loans.join(decided, (F.col(key) == F.col("_k")) & (F.col(start) == F.col("_st")), "inner")
+               .groupBy(F.col(key).alias("_k"), "_st").agg(F.max("_pd").alias("_pd")))
+    rows = (panel.groupBy(F.col(key).alias("_pk"), F.col(date).alias("_date"))
+            .agg(F.max(F.struct(*[F.col(c) for c in payload])).alias("_p")))
+    out = (loans.join(decided, (F.col(key) == F.col("_k")) & (F.col(start) == F.col("_st")))
+           .join(rows, (F.col("_k") == F.col("_pk")) & (F.col("_pd") == F.col("_date"))))
     return out.select(*loans.columns,
                       *[F.col("_p")[c].alias(c) for c in payload if c not in loans.columns])

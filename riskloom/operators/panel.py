@@ -17,10 +17,19 @@ from ..sources.schemas import FIN_DROPPED, RATIOS
 LAGGED = ["rect", "at", "sale", "emp", "roe"]
 
 
-def yyyymmdd_to_date(c: Column | str) -> Column:
-    """``20220316`` (int or string) -> DATE (PR4); malformed -> NULL."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(col.cast("string"), "yyyyMMdd")
+def parse_date(c: Column | str, fmt: str, strict: bool = True) -> Column:
+    """Text or number -> DATE. A malformed value raises, or is NULL if not ``strict``."""
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    date = F.try_to_date(text, fmt)
+    if not strict:
+        return date
+    bad = F.raise_error(F.concat(F.lit(f"not a date of the form {fmt}: "), text)).cast("date")
+    return F.when(text.isNotNull() & date.isNull(), bad).otherwise(date)
+
+
+def yyyymmdd_to_date(c: Column | str, strict: bool = True) -> Column:
+    """``20220316`` (int or string) -> DATE (PR4)."""
+    return parse_date(c, "yyyyMMdd", strict)
 
 
 def clean_financials(fin: DataFrame, drop_cols: Sequence[str] = tuple(FIN_DROPPED),
@@ -92,11 +101,11 @@ def join_macro(pred: DataFrame, macro: DataFrame, year_col: str = "year",
                on: str = "fyear") -> DataFrame:
     """Inner join of a yearly macro series (PR3 rename + JN1).
 
-    The macro table has at most one row per calendar year, a fixed small
-    bound, so it is broadcast and the panel is never shuffled for it.
+    The macro table is a few rows, one per year; the planner sees its size and
+    decides whether to broadcast it.
     """
     m = macro.withColumnRenamed(year_col, on) if year_col != on else macro
-    return pred.join(F.broadcast(m), on=on, how="inner").select(*pred.columns, *[
+    return pred.join(m, on=on, how="inner").select(*pred.columns, *[
         x for x in m.columns if x != on])
 
 

@@ -1,16 +1,18 @@
 """Aggregations and statistics (AG1-AG10).
 
-Exact order statistics (quartiles, winsorizing bounds) use a two-pass method
-that never puts a whole column into one task or the driver:
-
-1. one aggregate pass: non-missing count per column and a quantile sketch
-   (``percentile_approx``) around every wanted rank;
-2. from the sketch, a value bracket per (column, rank) that surely holds the
-   rank; one pass counts values below each bracket and groups the values
-   inside it by distinct value (so a hot value collapses to one row); a
-   running count over the few distinct bracket values picks the exact one.
-
-Only per-(column, rank) scalars reach the driver.
+Exact order statistics (quartiles, winsorizing bounds) never put a whole column
+into one task or the driver:
+
+1. a quantile sketch (``percentile_approx``) gives, for each wanted rank of each
+   column, a value bracket that should hold it;
+2. one wide aggregate counts the values below and inside every bracket; a
+   bracket that misses its rank is moved, one with over ``BRACKET_ROWS`` rows is
+   narrowed by a sketch of its inside, until every bracket is small;
+3. the rows inside the brackets are counted by distinct value, and a running
+   count over them picks the exact one.
+
+Only per-(column, rank) scalars reach the driver, and no group is larger than
+``BRACKET_ROWS`` whatever the input.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import fround, nan_to_null
+from ..functions.numeric import fround, nan_to_null, percent_text
 
 SKETCH_ACCURACY = 10000
+BRACKET_ROWS = 100_000
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value",
@@ -71,6 +76,50 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {c: int(row[c]) for c in cols}
 
 
+class _Bracket:
+    """Values that may hold one rank of one column: ``lo <= value <= hi``."""
+
+    def __init__(self, column: str, rank: int) -> None:
+        self.column, self.rank = column, rank
+        self.lo, self.hi = float("-inf"), float("inf")
+        self.below = self.inside = 0
+
+    def holds(self) -> Column:
+        v = F.col(self.column).cast("double")
+        return (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
+
+    def small(self) -> bool:
+        return self.lo == self.hi or (self.below <= self.rank < self.below + self.inside
+                                      and self.inside <= BRACKET_ROWS)
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """Set every bracket to sketch values around its rank among the values it holds."""
+    aggs = []
+    for i, b in enumerate(brackets):
+        n = b.inside
+        slack = 2 * math.ceil(n / accuracy) + 2
+        at = b.rank - b.below
+        probes = [max(at - slack, 0) / max(n - 1, 1), min(at + slack, n - 1) / max(n - 1, 1)]
+        aggs.append(F.percentile_approx(F.when(b.holds(), F.col(b.column).cast("double")),
+                                        F.array(*[F.lit(p) for p in probes]), accuracy).alias(f"b{i}"))
+    row = df.agg(*aggs).first()
+    for i, b in enumerate(brackets):
+        b.lo, b.hi = float(row[f"b{i}"][0]), float(row[f"b{i}"][1])
+
+
+def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Count the values below and inside every bracket, one wide aggregate."""
+    aggs = []
+    for i, b in enumerate(brackets):
+        v = F.col(b.column).cast("double")
+        aggs.append(F.sum(F.when(v < F.lit(b.lo), 1).otherwise(0)).alias(f"u{i}"))
+        aggs.append(F.sum(F.when(b.holds(), 1).otherwise(0)).alias(f"i{i}"))
+    row = df.agg(*aggs).first()
+    for i, b in enumerate(brackets):
+        b.below, b.inside = int(row[f"u{i}"] or 0), int(row[f"i{i}"] or 0)
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
                      accuracy: int = SKETCH_ACCURACY,
                      counts: dict[str, int] | None = None) -> dict[tuple[str, int], float]:
@@ -78,61 +127,57 @@ def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
     wanted = {c: sorted(set(int(r) for r in rs)) for c, rs in wanted.items() if rs}
     if not wanted:
         return {}
-    cols = list(wanted)
-    counts = counts if counts is not None else column_counts(df, cols)
-    spark = df.sparkSession
-
-    # pass 1: sketch values at ranks r -/+ slack for every (column, rank)
-    probes: dict[str, list[float]] = {}
-    for c in cols:
-        n = counts[c]
-        slack = 2 * math.ceil(n / accuracy) + 2
-        ps = []
-        for r in wanted[c]:
-            for rr in (max(r - slack, 0), min(r + slack, n - 1)):
-                ps.append(0.0 if n <= 1 else rr / (n - 1))
-        probes[c] = ps
-    sketch_aggs = [F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probes[c]]),
-                                       accuracy).alias(c) for c in cols if counts[c] > 0]
-    sk = df.agg(*sketch_aggs).first() if sketch_aggs else None
-
-    brackets = []
-    for c in cols:
-        n = counts[c]
-        for i, r in enumerate(wanted[c]):
-            if n == 0 or r < 0 or r >= n:
-                continue
-            lo, hi = sk[c][2 * i], sk[c][2 * i + 1]
-            brackets.append((c, r, float(lo), float(hi)))
-    result = _select_in_brackets(df, brackets, spark)
-    missing = [(c, r) for c, r, _, _ in brackets if (c, r) not in result]
-    if missing:  # sketch bracket missed (should not happen): exact fallback, open bracket
-        wide = [(c, r, float("-inf"), float("inf")) for c, r in missing]
-        result.update(_select_in_brackets(df, wide, spark))
-    return result
-
-
-def _select_in_brackets(df: DataFrame, brackets: list[tuple[str, int, float, float]],
-                        spark) -> dict[tuple[str, int], float]:
+    counts = counts if counts is not None else column_counts(df, list(wanted))
+    brackets = [_Bracket(c, r) for c, rs in wanted.items() for r in rs if 0 <= r < counts[c]]
+    for b in brackets:
+        b.inside = counts[b.column]
+    todo = list(brackets)
+    while todo:
+        before = {id(b): (b.lo, b.hi, b.below) for b in todo}
+        _narrow(df, todo, accuracy)
+        _count(df, todo)
+        for b in todo:
+            lo, hi, below = before[id(b)]
+            if b.rank < b.below:            # the sketch was off: the rank is below the bracket
+                b.lo, b.hi, b.inside, b.below = lo, math.nextafter(b.lo, -math.inf), b.below - below, below
+            elif b.rank >= b.below + b.inside:  # or above it
+                b.lo, b.hi = math.nextafter(b.hi, math.inf), hi
+                b.below += b.inside
+                b.inside = max(1, counts[b.column] - b.below)
+        todo = [b for b in todo if not b.small()]
+    return _pick(df, brackets)
+
+
+def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+    """The exact values: those inside a bracket only, counted by distinct value."""
     if not brackets:
         return {}
-    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("rank", T.LongType()),
-                           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-    # bounded: one row per (column, wanted rank)
-    br = F.broadcast(spark.createDataFrame(brackets, schema))
-    cols = sorted({b[0] for b in brackets})
-    long = unpivot(df, cols).where(F.col("value").isNotNull())
-    j = long.join(br, "column")
-    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    below = j.groupBy("column", "rank").agg(F.sum(F.when(v < lo, 1).otherwise(0)).alias("n_below"))
-    inside = (j.where((v >= lo) & (v <= hi))
-              .groupBy("column", "rank", "value").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("column", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (inside.withColumn("cum", F.sum("c").over(w))
-              .join(below, ["column", "rank"])
-              .where((F.col("n_below") <= F.col("rank")) & (F.col("n_below") + F.col("cum") > F.col("rank")))
-              .groupBy("column", "rank").agg(F.min("value").alias("value")))
-    return {(r["column"], int(r["rank"])): float(r["value"]) for r in picked.collect()}
+    result = {(b.column, b.rank): b.lo for b in brackets if b.lo == b.hi}
+    open_ = [b for b in brackets if b.lo != b.hi]
+    if not open_:
+        return result
+    cols = sorted({b.column for b in open_})
+    bounds = [(cols.index(b.column), b.lo, b.hi) for b in open_]
+
+    def inside(batches):
+        for batch in batches:
+            x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(cols))]
+            for i, (k, lo, hi) in enumerate(bounds):
+                v, c = np.unique(x[k][(x[k] >= lo) & (x[k] <= hi)], return_counts=True)
+                if len(v):
+                    yield pa.RecordBatch.from_pydict({"i": np.full(len(v), i, np.int32), "v": v, "c": c})
+
+    counted = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+               .mapInArrow(inside, "i int, v double, c long")
+               .groupBy("i", "v").agg(F.sum("c").alias("c")))
+    w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    want = F.element_at(F.array(*[F.lit(b.rank - b.below) for b in open_]), F.col("i") + 1)
+    picked = (counted.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > want)
+              .groupBy("i").agg(F.min("v").alias("v")).collect())
+    for r in picked:
+        b = open_[r["i"]]
+        result[b.column, b.rank] = float(r["v"])
+    return result
 
 
 def interpolated_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
@@ -178,7 +223,9 @@ def describe(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (0.25, 0.
         F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
     args = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = base.select(F.expr(f"stack({len(cols)}, {args}) AS (`column`, s)")).select("column", "s.*")
-    quant = interpolated_quantiles(df, cols, qs)
+    found = long.collect()  # one row per column
+    long = spark.createDataFrame(found, long.schema)
+    quant = interpolated_quantiles(df, cols, qs, {r["column"]: r["count"] for r in found})
     qnames = [f"q{int(round(q * 100))}" for q in qs]
     schema = T.StructType([T.StructField("column", T.StringType())] +
                           [T.StructField(n, T.DoubleType()) for n in qnames])
@@ -195,7 +242,7 @@ def summary_na(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame
     na_pct = fround((F.lit(total) - F.col("count")) / F.lit(total) * 100.0, 2)
     return d.select("column",
                     na_pct.alias("na_pct"),
-                    F.concat(na_pct.cast("string"), F.lit("%")).alias("na"),
+                    percent_text((F.lit(total) - F.col("count")) / F.lit(total) * 100.0).alias("na"),
                     *[fround(F.col(c), digits).alias(c) for c in num])
 
 
@@ -242,21 +289,50 @@ def winsorize(df: DataFrame, cols: Sequence[str], lower: float = 0.05, upper: fl
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation, upper triangle, long form (AG6).
 
-    All pairs in one aggregate pass; a pair with a missing side is skipped.
-    Undefined correlations (constant column, infinite values) are NULL.
+    Undefined correlations (constant column, infinite values) are NULL. Each task
+    turns its Arrow batches into masked matrix products and emits one row of
+    sums per pair; Spark adds them up. Values are shifted by the column mean
+    first, so nothing cancels.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        # r = cov / sqrt(var_x var_y); a constant side makes r undefined: NULL
-        # (the built-in corr raises under ANSI in that case)
-        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-        aggs.append(nan_to_null(r).alias(f"{a}|{b}"))
-    wide = df.agg(*aggs)
-    args = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
-    return wide.select(F.expr(f"stack({len(pairs)}, {args}) AS (col_a, col_b, r)"))
+    cols = list(cols)
+    k = len(cols)
+    first = df.agg(*[F.avg(F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))).alias(c)
+                     for c in cols]).first()
+    shift = np.array([first[c] if first[c] is not None else 0.0 for c in cols])
+    left, right = np.triu_indices(k, 1)
+
+    def sums(batches):
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        infinite = np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            there = ~np.isnan(x)
+            endless = np.isinf(x)
+            x = np.where(there & ~endless, x - shift, 0.0)
+            m = there.astype(float)
+            n += m.T @ m
+            sx += x.T @ m             # sum of column i over rows where j is present
+            sxx += (x * x).T @ m
+            sxy += x.T @ x
+            infinite += endless.astype(float).T @ m
+        yield pa.RecordBatch.from_pydict({
+            "i": left, "j": right, "n": n[left, right], "sx": sx[left, right], "sy": sx[right, left],
+            "sxx": sxx[left, right], "syy": sxx[right, left], "sxy": sxy[left, right],
+            "endless": infinite[left, right] + infinite[right, left]})
+
+    parts = ("n", "sx", "sy", "sxx", "syy", "sxy", "endless")
+    total = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+             .mapInArrow(sums, "i long, j long, " + ", ".join(f"{p} double" for p in parts))
+             .groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in parts]))
+    c = F.col
+    var_x, var_y = c("sxx") - c("sx") * c("sx") / c("n"), c("syy") - c("sy") * c("sy") / c("n")
+    # a constant side leaves only rounding errors of the shifted sums
+    eps = 1e-13
+    defined = ((c("n") > 1) & (c("endless") == 0) & (var_x > eps * c("sxx")) & (var_y > eps * c("syy")))
+    r = F.when(defined, F.try_divide(c("sxy") - c("sx") * c("sy") / c("n"), F.sqrt(var_x * var_y)))
+    name = F.array(*[F.lit(x) for x in cols])
+    return total.select(F.element_at(name, (c("i") + 1).cast("int")).alias("col_a"),
+                        F.element_at(name, (c("j") + 1).cast("int")).alias("col_b"), nan_to_null(r).alias("r"))
 
 
 def collinear(corr_long: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -23,7 +23,7 @@ from ..operators import panel as pn
 from ..operators import prep
 from ..operators import resample as rs
 from ..operators import stats as st
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import io
 from ..sources.schemas import RATIOS
 from . import flows
@@ -114,7 +114,7 @@ def q_row_counts(spark, sf):
 @query("panel_lag_gap", W("SELECT gvkey, fyear, datadate, roe, lag_rect, lag_at, lag_sale, lag_emp, lag_roe "
                           "FROM lagged"))
 def q_panel_lag_gap(spark, sf):
-    return flows.lagged_financials(spark, sf).select(
+    return flows.lagged_financials(tb.DriverInputs(spark, sf)).select(
         "gvkey", "fyear", "datadate", "roe", "lag_rect", "lag_at", "lag_sale", "lag_emp", "lag_roe")
 
 
@@ -125,7 +125,7 @@ def _round_s(df: DataFrame, col: str = "S", digits: int = 9) -> DataFrame:
 @query("ratio_panel", W(f"SELECT * REPLACE ({o.fround('S', 9)} AS S) FROM pred",
                         ctes={**o.BASE_CTES, "pred": o.PANEL_CTES["pred"]}))
 def q_ratio_panel(spark, sf):
-    return _round_s(flows.predictors(spark, sf))
+    return _round_s(flows.predictors(tb.DriverInputs(spark, sf)))
 
 
 _PANEL_C = {**o.BASE_CTES, **o.PANEL_CTES}
@@ -133,14 +133,14 @@ _PANEL_C = {**o.BASE_CTES, **o.PANEL_CTES}
 
 @query("macro_join", W("SELECT gvkey, fyear, gsector, gdp_growth FROM mpred", ctes=_PANEL_C))
 def q_macro_join(spark, sf):
-    return flows.macro_predictors(spark, sf).select("gvkey", "fyear", "gsector", "gdp_growth")
+    return flows.macro_predictors(tb.DriverInputs(spark, sf)).select("gvkey", "fyear", "gsector", "gdp_growth")
 
 
 @query("null_census", W(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing FROM mpred" for c in o.MPRED_COLS),
     ctes=_PANEL_C))
 def q_null_census(spark, sf):
-    return st.null_census(flows.macro_predictors(spark, sf))
+    return st.null_census(flows.macro_predictors(tb.DriverInputs(spark, sf)))
 
 
 @query("thresh_sweep", W(
@@ -150,36 +150,37 @@ def q_null_census(spark, sf):
     f"FROM (SELECT {o.present_sql(o.MPRED_COLS)} AS pc FROM mpred WHERE gsector IS NOT NULL)",
     ctes=_PANEL_C))
 def q_thresh_sweep(spark, sf):
-    p = pn.drop_missing(flows.macro_predictors(spark, sf), ["gsector"])
+    p = pn.drop_missing(flows.macro_predictors(tb.DriverInputs(spark, sf)), ["gsector"])
     return pn.thresh_sweep(p, [21, 22, 23])
 
 
 @query("thresh_keep", W("SELECT gvkey, fyear FROM screened", ctes=_PANEL_C))
 def q_thresh_keep(spark, sf):
-    return flows.screened_predictors(spark, sf).select("gvkey", "fyear")
+    return flows.screened_predictors(tb.DriverInputs(spark, sf)).select("gvkey", "fyear")
 
 
 @query("semi_union", W("SELECT gvkey, fyear FROM screened WHERE gvkey IN (SELECT gvkey FROM firms)", ctes=_PANEL_C))
 def q_semi_union(spark, sf):
-    firms = lk.linked_firms(tb.delist(spark, sf), tb.link(spark, sf), tb.rating(spark, sf))
-    return lk.restrict_to_firms(flows.screened_predictors(spark, sf), firms).select("gvkey", "fyear")
+    inputs = tb.DriverInputs(spark, sf)
+    firms = lk.linked_firms(inputs.delist, inputs.link, inputs.rating)
+    return lk.restrict_to_firms(flows.screened_predictors(inputs), firms).select("gvkey", "fyear")
 
 
 # --------------------------------------------------------------------------- linkage
 
 @query("link_extend", W("SELECT LPERMNO, gvkey, LINKDT, LINKENDDT, n_cand FROM lk", ctes=_PANEL_C))
 def q_link_extend(spark, sf):
-    return flows.extended_links(spark, sf).select("LPERMNO", "gvkey", "LINKDT", "LINKENDDT", "n_cand")
+    return flows.extended_links(tb.DriverInputs(spark, sf)).select("LPERMNO", "gvkey", "LINKDT", "LINKENDDT", "n_cand")
 
 
 @query("link_resolve", W("SELECT PERMNO, DLSTDT, DLSTCD, gvkey FROM res", ctes=_PANEL_C))
 def q_link_resolve(spark, sf):
-    return flows.resolved_delistings(spark, sf).select("PERMNO", "DLSTDT", "DLSTCD", "gvkey")
+    return flows.resolved_delistings(tb.DriverInputs(spark, sf)).select("PERMNO", "DLSTDT", "DLSTCD", "gvkey")
 
 
 @query("rating_first", W("SELECT gvkey, datadate, splticrm FROM rdef", ctes=_PANEL_C))
 def q_rating_first(spark, sf):
-    return flows.rating_events(spark, sf).select("gvkey", "datadate", "splticrm")
+    return flows.rating_events(tb.DriverInputs(spark, sf)).select("gvkey", "datadate", "splticrm")
 
 
 _EW = {**_PANEL_C,
@@ -194,19 +195,19 @@ EVENT_COLS = ["gvkey", "datadate", "fyear", "gsector", "rating_date", "delist_da
 @query("event_window", W('SELECT gvkey, datadate, fyear, gsector, rating_date, delist_date, "default", '
                          'default_date FROM lab', ctes=_EW))
 def q_event_window(spark, sf):
-    return flows.event_panel(spark, sf).select(*EVENT_COLS)
+    return flows.event_panel(tb.DriverInputs(spark, sf)).select(*EVENT_COLS)
 
 
 @query("first_default", W('SELECT gvkey, datadate, fyear, "default", default_date FROM fd', ctes=_EW))
 def q_first_default(spark, sf):
-    return lab.keep_first_default(flows.event_panel(spark, sf)).select(
+    return lab.keep_first_default(flows.event_panel(tb.DriverInputs(spark, sf))).select(
         "gvkey", "datadate", "fyear", "default", "default_date")
 
 
 @query("sector_filter", W("SELECT gvkey, fyear, gsector FROM fin WHERE gsector IS NULL OR gsector NOT IN (40, 55, 60)",
                           ctes=_PANEL_C))
 def q_sector_filter(spark, sf):
-    f = pn.clean_financials(tb.financials(spark, sf))
+    f = pn.clean_financials(tb.DriverInputs(spark, sf).financials)
     return lab.drop_sectors(f).select("gvkey", "fyear", "gsector")
 
 
@@ -223,7 +224,7 @@ LEFT JOIN (SELECT gsector, count(*) AS companies FROM (
 LEFT JOIN (SELECT CAST(c AS INTEGER) AS gsector, n AS sector FROM (VALUES {_SECTOR_VALUES}) t(c, n)) nm
   ON ob.gsector = nm.gsector""", ctes=_EW))
 def q_sector_table(spark, sf):
-    return lab.sector_table(lab.keep_first_default(flows.event_panel(spark, sf)))
+    return lab.sector_table(lab.keep_first_default(flows.event_panel(tb.DriverInputs(spark, sf))))
 
 
 # --------------------------------------------------------------------------- statistics
@@ -232,7 +233,7 @@ def q_sector_table(spark, sf):
     f"{o.fround(o.nn(f'avg({r})'), 6)} AS {r}" for r in RATIOS) + " FROM pred GROUP BY fyear",
     ctes={**o.BASE_CTES, "pred": o.PANEL_CTES["pred"]}))
 def q_year_means(spark, sf):
-    m = st.year_means(flows.predictors(spark, sf), "fyear", RATIOS)
+    m = st.year_means(flows.predictors(tb.DriverInputs(spark, sf)), "fyear", RATIOS)
     return m.select("fyear", *[fround(r, 6).alias(r) for r in RATIOS])
 
 
@@ -244,13 +245,13 @@ _PANEL_BODY_COLS = ["gvkey", "datadate", "fyear", *PANEL_RATIOS, "gsector", "gdp
     o.fround("S", 9) + " AS S" if c == "S" else f'"{c}"' if c == "default" else c for c in _PANEL_BODY_COLS)
     + " FROM panel", ctes=A))
 def q_credit_panel(spark, sf):
-    return _round_s(flows.labelled_panel(spark, sf).select(*_PANEL_BODY_COLS))
+    return _round_s(flows.labelled_panel(tb.DriverInputs(spark, sf)).select(*_PANEL_BODY_COLS))
 
 
 @query("winsorize_rank", W("SELECT gvkey, datadate, " + ", ".join(
     o.fround("S", 9) + " AS S" if c == "S" else c for c in RATIOS) + " FROM wins", ctes=A))
 def q_winsorize_rank(spark, sf):
-    kept = flows.labelled_panel(spark, sf, winsor=False).persist()
+    kept = materialize(flows.unwinsorized_panel(tb.DriverInputs(spark, sf)), "panel")
     return _round_s(st.winsorize(kept, RATIOS).select("gvkey", "datadate", *RATIOS))
 
 
@@ -273,7 +274,7 @@ def _describe_sql(digits: int, na: bool) -> str:
 
 @query("describe", _describe_sql(9, na=False))
 def q_describe(spark, sf):
-    p = flows.labelled_panel(spark, sf).persist()
+    p = flows.labelled_panel(tb.DriverInputs(spark, sf))
     d = st.describe(p, PANEL_RATIOS)
     return d.select("column", "count", *[fround(c, 9).alias(c) for c in
                                          ("mean", "std", "min", "q25", "q50", "q75", "max")])
@@ -281,7 +282,7 @@ def q_describe(spark, sf):
 
 @query("summary_na", _describe_sql(3, na=True))
 def q_summary_na(spark, sf):
-    p = flows.labelled_panel(spark, sf).persist()
+    p = flows.labelled_panel(tb.DriverInputs(spark, sf))
     return st.summary_na(p, PANEL_RATIOS, digits=3)
 
 
@@ -298,13 +299,13 @@ def _corr_sql(threshold: float | None) -> str:
 
 @query("corr_pairs", _corr_sql(None))
 def q_corr_pairs(spark, sf):
-    c = st.corr_pairs(flows.labelled_panel(spark, sf), CORR_COLS)
+    c = st.corr_pairs(flows.labelled_panel(tb.DriverInputs(spark, sf)), CORR_COLS)
     return c.withColumn("r", fround("r", 9))
 
 
 @query("collinear", _corr_sql(0.5))
 def q_collinear(spark, sf):
-    c = st.collinear(st.corr_pairs(flows.labelled_panel(spark, sf), CORR_COLS), 0.5)
+    c = st.collinear(st.corr_pairs(flows.labelled_panel(tb.DriverInputs(spark, sf)), CORR_COLS), 0.5)
     return c.withColumn("r", fround("r", 9))
 
 
@@ -315,26 +316,26 @@ LOAN_OUT = ["FacilityID", "line", "partkey", "suppkey", "gvkey", "FacilityStartD
 
 @query("two_key_join", W("SELECT " + ", ".join(LOAN_OUT) + ", BorrowerCompanyID FROM floans", ctes=C))
 def q_two_key_join(spark, sf):
-    return flows.facility_loans(spark, sf).select(*LOAN_OUT, "BorrowerCompanyID")
+    return flows.facility_loans(tb.DriverInputs(spark, sf)).select(*LOAN_OUT, "BorrowerCompanyID")
 
 
 @query("dedupe_rate", W("SELECT FacilityID, BaseRate, MinBps, MaxBps, rate FROM rates", ctes=C))
 def q_dedupe_rate(spark, sf):
-    return flows.facility_rates(spark, sf).select("FacilityID", "BaseRate", "MinBps", "MaxBps", "rate")
+    return flows.facility_rates(tb.DriverInputs(spark, sf), tb.QUOTE_ORDER).select("FacilityID", "BaseRate", "MinBps", "MaxBps", "rate")
 
 
 @query("left_drop", W("SELECT " + ", ".join(f"fl.{c}" for c in LOAN_OUT) + """, r.rate
 FROM floans fl LEFT JOIN rates r ON fl.FacilityID = r.FacilityID
 WHERE r.rate IS NOT NULL AND fl.Maturity IS NOT NULL""", ctes=C))
 def q_left_drop(spark, sf):
-    rates = flows.facility_rates(spark, sf).select("FacilityID", "rate")
-    return cap.attach_rates(flows.facility_loans(spark, sf), rates).select(*LOAN_OUT, "rate")
+    rates = flows.facility_rates(tb.DriverInputs(spark, sf), tb.QUOTE_ORDER).select("FacilityID", "rate")
+    return cap.attach_rates(flows.facility_loans(tb.DriverInputs(spark, sf)), rates).select(*LOAN_OUT, "rate")
 
 
 @query("asof_loan", W("SELECT " + ", ".join(LOAN_OUT) + ', datadate, fyear, "default", gsector, pd_lr FROM asofm',
                       ctes=C))
 def q_asof_loan(spark, sf):
-    m = lk.asof_match(flows.facility_loans(spark, sf), tb.scores(spark, sf))
+    m = lk.asof_match(flows.facility_loans(tb.DriverInputs(spark, sf)), tb.scores(spark, sf))
     return m.select(*LOAN_OUT, "datadate", "fyear", "default", "gsector", "pd_lr")
 
 
@@ -344,10 +345,15 @@ def q_lgd_lookup(spark, sf):
     return cap.attach_lgd(tb.scores(spark, sf)).select("gvkey", "fyear", "gsector", "LGD")
 
 
+def _capital_long(spark, sf) -> DataFrame:
+    inputs = tb.DriverInputs(spark, sf)
+    return flows.capital_long(inputs, inputs.scores, tb.QUOTE_ORDER)
+
+
 @query("capital_long", W("SELECT " + ", ".join(LOAN_OUT) + ", model, pred, pd, LGD, rate, "
                          + o.fround("CR", 4) + " AS CR FROM cpx", ctes=C))
 def q_capital_long(spark, sf):
-    return flows.capital_long(spark, sf).select(*LOAN_OUT, "model", "pred", "pd", "LGD", "rate",
+    return _capital_long(spark, sf).select(*LOAN_OUT, "model", "pred", "pd", "LGD", "rate",
                                                 fround("CR", 4).alias("CR"))
 
 
@@ -361,7 +367,7 @@ SELECT model, loan_rate, capital_bn, {o.fround('b - capital_bn', 3)} AS savings_
   {o.fround(o.fround('b - capital_bn', 3) + ' / nullif(b, 0) * 100.0', 1)} AS percent
 FROM (SELECT *, (SELECT capital_bn FROM t0 WHERE model = 'lr') AS b FROM t0)""", ctes={**C, "t0": _T0}))
 def q_capital_table(spark, sf):
-    return flows.capital_flow(spark, sf)
+    return cap.capital_table(_capital_long(spark, sf))
 
 
 _LOSS_T0 = f"""SELECT model,
@@ -377,7 +383,7 @@ SELECT model, loss_ii, loss_i, loss_cr, loss_total, {o.fround('b - loss_total',
   {o.fround(o.fround('b - loss_total', 3) + ' / nullif(b, 0) * 100.0', 1)} AS percent
 FROM (SELECT *, (SELECT loss_total FROM t1 WHERE model = 'lr') AS b FROM t1)""", ctes={**C, "t1": _LOSS_T0}))
 def q_eco_loss(spark, sf):
-    return flows.loss_flow(spark, sf)
+    return cap.eco_loss(_capital_long(spark, sf))
 
 
 # --------------------------------------------------------------------------- normal distribution

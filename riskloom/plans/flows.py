@@ -3,18 +3,18 @@
 * Entry A (``labelled_panel``): raw financials, macro series, delistings, links
   and ratings -> labelled, winsorized firm-year panel.
 * Entry B (``riskloom.plans.modeling``): panel -> models -> scores.
-* Entry C (``capital_flow``): scores + loans -> capital and loss tables.
+* Entry C (``capital_long``): scores + loans -> capital and loss tables.
 
-Every function takes a ``SparkSession`` and a folder of driver tables and
-returns a lazy DataFrame (entry A's winsorizing runs two small aggregate
-passes for its bounds).
+Every function takes the raw tables (``StudyInputs``: files read by
+``io.read_study``, or the test tables of ``testbed``) and returns a lazy
+DataFrame. What several steps read is written once to the shared folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import capital as cap
@@ -22,110 +22,110 @@ from ..operators import labels as lab
 from ..operators import linkage as lk
 from ..operators import panel as pn
 from ..operators import stats as st
-from ..sources.schemas import RATIOS
-from . import testbed as tb
+from ..session import materialize
+from ..sources import io
+from ..sources.schemas import RATIOS, StudyInputs
 
 AS_OF = dt.date(2024, 12, 31)
 THRESH = 23
 MACRO_COL = "gdp_growth"
 DROP_AFTER_CORR = ["P2"]
+EVENT_KINDS = {"rating_date": "rating", "delist_date": "delist"}
 
 
-def lagged_financials(spark: SparkSession, sf: str) -> DataFrame:
+def lagged_financials(inputs: StudyInputs) -> DataFrame:
     """Cleaned financials with gap-guarded lags (PR1 PR4 PR5 PR10 WN1 WN2)."""
-    return pn.add_lags(pn.clean_financials(tb.financials(spark, sf)))
+    return pn.add_lags(pn.clean_financials(inputs.financials))
 
 
-def predictors(spark: SparkSession, sf: str) -> DataFrame:
+def predictors(inputs: StudyInputs) -> DataFrame:
     """Keys, the 19 ratios and sector (SC11)."""
-    return pn.add_ratios(lagged_financials(spark, sf))
+    return pn.add_ratios(lagged_financials(inputs))
 
 
-def macro_predictors(spark: SparkSession, sf: str) -> DataFrame:
-    return pn.join_macro(predictors(spark, sf), tb.gdp(spark, sf))
+def macro_predictors(inputs: StudyInputs) -> DataFrame:
+    return pn.join_macro(predictors(inputs), inputs.gdp)
 
 
-def screened_predictors(spark: SparkSession, sf: str) -> DataFrame:
+def screened_predictors(inputs: StudyInputs) -> DataFrame:
     """Sector present, at most one missing cell (PR14 PR15)."""
-    p = pn.drop_missing(macro_predictors(spark, sf), ["gsector"])
-    return pn.keep_thresh(p, THRESH)
+    return pn.keep_thresh(pn.drop_missing(macro_predictors(inputs), ["gsector"]), THRESH)
 
 
-def extended_links(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.extend_links(tb.link(spark, sf), as_of=AS_OF)
+def extended_links(inputs: StudyInputs) -> DataFrame:
+    return lk.extend_links(inputs.link, as_of=AS_OF)
 
 
-def resolved_delistings(spark: SparkSession, sf: str) -> DataFrame:
-    """Default delistings with their firm (PR6 JN5)."""
-    return lk.resolve_links(lk.default_delistings(tb.delist(spark, sf)), extended_links(spark, sf))
+def resolved_delistings(inputs: StudyInputs) -> DataFrame:
+    """Default delistings with their firm (PR6 JN5). The extended links are read by
+    both branches of the resolution, so they are written once."""
+    return lk.resolve_links(lk.default_delistings(inputs.delist), materialize(extended_links(inputs), "links"))
 
 
-def rating_events(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.rating_defaults(tb.rating(spark, sf))
+def rating_events(inputs: StudyInputs) -> DataFrame:
+    return lk.rating_defaults(inputs.rating)
 
 
-def event_panel(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> DataFrame:
+def default_events(inputs: StudyInputs) -> DataFrame:
+    """(gvkey, event_date, kind) of rating defaults and default delistings."""
+    r = rating_events(inputs).select("gvkey", F.col("datadate").alias("event_date"), F.lit("rating").alias("kind"))
+    d = resolved_delistings(inputs).select("gvkey", F.col("DLSTDT").alias("event_date"), F.lit("delist").alias("kind"))
+    return r.unionByName(d)
+
+
+def firm_years(inputs: StudyInputs) -> DataFrame:
+    return pn.clean_financials(inputs.financials).select("gvkey", "datadate", "fyear", "gsector")
+
+
+def event_panel(inputs: StudyInputs, panel: DataFrame | None = None) -> DataFrame:
     """Panel with rating/delisting dates in the year after each fiscal year end,
     the default label and the earlier default date (JN6 SC7 PR13 SC8)."""
-    base = panel if panel is not None else pn.clean_financials(tb.financials(spark, sf)).select(
-        "gvkey", "datadate", "fyear", "gsector")
-    r = rating_events(spark, sf).select("gvkey", F.col("datadate").alias("event_date"))
-    d = resolved_delistings(spark, sf).select("gvkey", F.col("DLSTDT").alias("event_date"))
-    out = lk.attach_event_window(base, r, "rating_date")
-    out = lk.attach_event_window(out, d, "delist_date")
-    return lab.label_defaults(out)
-
-
-def labelled_panel(spark: SparkSession, sf: str, winsor: bool = True) -> DataFrame:
-    """Entry A: the study's ``df.csv`` (before the P2 drop when ``winsor`` is False)."""
-    raw_delist, raw_link, raw_rating = tb.delist(spark, sf), tb.link(spark, sf), tb.rating(spark, sf)
-    firms = lk.linked_firms(raw_delist, raw_link, raw_rating)
-    p = lk.restrict_to_firms(screened_predictors(spark, sf), firms)
-    labelled = event_panel(spark, sf, p)
-    first = lab.keep_first_default(labelled).drop("rating_date", "delist_date")
-    kept = lab.drop_sectors(first)
-    if not winsor:
-        return kept
-    kept = kept.persist()
-    w = st.winsorize(kept, RATIOS)
-    return w.drop(*DROP_AFTER_CORR)
+    base = panel if panel is not None else firm_years(inputs)
+    return lab.label_defaults(lk.attach_event_windows(base, default_events(inputs), EVENT_KINDS))
+
+
+def unwinsorized_panel(inputs: StudyInputs) -> DataFrame:
+    """The labelled panel with all 19 ratios as computed. Reads each raw table at most
+    twice and the panel itself once."""
+    firms = lk.linked_firms(inputs.delist, inputs.link, inputs.rating)
+    labelled = event_panel(inputs, lk.restrict_to_firms(screened_predictors(inputs), firms))
+    return lab.drop_sectors(lab.keep_first_default(labelled).drop("rating_date", "delist_date"))
+
+
+def labelled_panel(inputs: StudyInputs, sink: str | None = None) -> DataFrame:
+    """Entry A: the study's panel, winsorized, without P2. The bounds need the whole
+    panel first, so it is written once and read back. ``sink`` also writes the result (IO2)."""
+    kept = materialize(unwinsorized_panel(inputs), "panel")
+    out = st.winsorize(kept, RATIOS).drop(*DROP_AFTER_CORR)
+    if sink:
+        io.write_table(out, sink)
+    return out
 
 
 # --------------------------------------------------------------------------- entry C
 
-def facility_loans(spark: SparkSession, sf: str) -> DataFrame:
+def facility_loans(inputs: StudyInputs) -> DataFrame:
     """Loans with their firm through the two-key facility map (JN2 PR1 PR4)."""
-    j = lk.two_key_join(tb.loans(spark, sf), tb.deal_link(spark, sf),
+    j = lk.two_key_join(inputs.loan, inputs.dealscan_link,
                         ["FacilityID", "BorrowerCompanyID"], ["facid", "bcoid"], drop_left_keys=False)
     return (j.drop("facid", "bcoid")
             .withColumn("FacilityStartDate", pn.yyyymmdd_to_date("FacilityStartDate")))
 
 
-def facility_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return cap.facility_rates(tb.quotes(spark, sf), order=tb.QUOTE_ORDER)
+def facility_rates(inputs: StudyInputs, order: tuple[str, ...] = ("MinBps", "MaxBps", "BaseRate")) -> DataFrame:
+    return cap.facility_rates(inputs.interest, order=order)
 
 
-def scored_loans(spark: SparkSession, sf: str, scores: DataFrame | None = None) -> DataFrame:
-    """As-of matched, rated loans with LGD, one row per loan (JN8 JN3 PR14 JN7)."""
-    sc = scores if scores is not None else tb.scores(spark, sf)
-    matched = lk.asof_match(facility_loans(spark, sf), sc)
-    rated = cap.attach_rates(matched, facility_rates(spark, sf).select("FacilityID", "rate"))
+def scored_loans(inputs: StudyInputs, scores: DataFrame,
+                 order: tuple[str, ...] = ("MinBps", "MaxBps", "BaseRate")) -> DataFrame:
+    """As-of matched, rated loans with LGD, one row per loan (JN8 JN3 PR14 JN7).
+    ``scores`` has one row per firm-year with ``pred_<m>`` and ``pd_<m>`` columns."""
+    matched = lk.asof_match(facility_loans(inputs), scores)
+    rated = cap.attach_rates(matched, facility_rates(inputs, order).select("FacilityID", "rate"))
     return cap.attach_lgd(rated)
 
 
-LOAN_KEY = ["FacilityID", "line", "partkey", "suppkey", "FacilityStartDate", "FacilityAmt"]
-
-
-def capital_long(spark: SparkSession, sf: str, scores: DataFrame | None = None) -> DataFrame:
+def capital_long(inputs: StudyInputs, scores: DataFrame,
+                 order: tuple[str, ...] = ("MinBps", "MaxBps", "BaseRate")) -> DataFrame:
     """One row per (loan, model) with capital (CP2 CP1)."""
-    sl = scored_loans(spark, sf, scores)
-    return cap.add_capital(cap.scores_long(sl))
-
-
-def capital_flow(spark: SparkSession, sf: str) -> DataFrame:
-    """Entry C: the capital table per model."""
-    return cap.capital_table(capital_long(spark, sf))
-
-
-def loss_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return cap.eco_loss(capital_long(spark, sf))
+    return cap.add_capital(cap.scores_long(scored_loans(inputs, scores, order)))

@@ -17,6 +17,7 @@ from ..operators import resample as rs
 from ..operators.evaluate import classification_metrics
 from ..session import cut_lineage
 from . import flows
+from . import testbed as tb
 from .catalog import PANEL_RATIOS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +55,7 @@ def prepare(spark: SparkSession, sf: str, resample: bool = True) -> Prepared:
         return _CACHE[ck]
     # The panel's lineage (two passes for the winsorizing bounds) is cut once in
     # the shared checkpoint folder; imputation and the fits then read it back.
-    panel = cut_lineage(flows.labelled_panel(spark, sf))
+    panel = cut_lineage(flows.labelled_panel(tb.DriverInputs(spark, sf)))
     base = panel.select(
         (F.col("gvkey") * 100000 + F.datediff("datadate", F.lit("1900-01-01"))).alias(KEY),
         "gvkey", "datadate", "fyear", "default", "default_date",

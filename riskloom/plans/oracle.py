@@ -44,7 +44,8 @@ def ln(x: str) -> str:
 def fround(x: str, d: int) -> str:
     m = lit(float(10 ** d))
     r = f"(floor(abs({x}) * {m} + {lit(0.5)}) / {m})"
-    return f"(CASE WHEN abs({x}) < 1e15 THEN (CASE WHEN ({x}) < 0 THEN -{r} ELSE {r} END) ELSE {x} END)"
+    return (f"(CASE WHEN abs({x}) * {m} < {lit(float(2 ** 53))} THEN (CASE WHEN ({x}) < 0 THEN -{r} ELSE {r} END) "
+            f"ELSE {x} END)")
 
 
 def ymd_int(x: str) -> str:

@@ -22,10 +22,14 @@ Each derivation has a twin in :mod:`riskloom.plans.oracle` written in SQL.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.io import read_table
+from ..sources.schemas import StudyInputs
 
 # GICS sector per nation key modulo 12 (11 sectors, then missing).
 SECTOR_BY_MOD12 = [10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, None]
@@ -129,15 +133,18 @@ def gdp(spark: SparkSession, sf: str) -> DataFrame:
                     .alias("gdp_growth")))
 
 
-def _items_with_customer(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem")
-    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+def discounted_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with a discount of 8 % or more and their customer: delistings and
+    ratings are both drawn from them."""
+    li = read_table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.075).select(
+        "l_orderkey", "l_partkey", "l_returnflag", "l_discount", "l_tax", "l_shipdate")
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).drop("l_orderkey", "o_orderkey")
 
 
-def delist(spark: SparkSession, sf: str) -> DataFrame:
+def delist(items: DataFrame) -> DataFrame:
     """Raw delistings (PERMNO = customer, date yyyymmdd, code by part key)."""
-    j = _items_with_customer(spark, sf).where(
+    j = items.where(
         (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.085) & (F.col("l_tax") <= 0.015))
     m = F.col("l_partkey") % 10
     code = (F.when(m == 0, 560).when(m == 1, 572).when(m == 2, 574).when(m == 3, 520)
@@ -148,25 +155,33 @@ def delist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw identifier intervals from partial-status orders; last interval open ('E')."""
-    o = read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    nxt = F.lead("o_orderdate").over(w)
-    return o.select(
+    """Raw identifier intervals from partial-status orders; the last interval is open ('E').
+
+    The next order date comes from a window per customer and year of order, and
+    from the first date of the customer's next year with orders, so a customer
+    with very many orders is spread over the years.
+    """
+    o = read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
+        "o_custkey", "o_orderkey", "o_orderdate", F.year("o_orderdate").alias("yr"))
+    w = Window.partitionBy("o_custkey", "yr").orderBy("o_orderdate", "o_orderkey")
+    years = o.groupBy("o_custkey", "yr").agg(F.min("o_orderdate").alias("first"))
+    by_year = Window.partitionBy("o_custkey").orderBy("yr")  # one row per year
+    years = years.select("o_custkey", "yr", F.lead("first").over(by_year).alias("later"))
+    nxt = F.coalesce(F.lead("o_orderdate").over(w), F.col("later"))
+    return o.join(years, ["o_custkey", "yr"]).select(
         (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("gvkey"),
         F.col("o_custkey").alias("LPERMNO"),
         yyyymmdd(F.col("o_orderdate")).alias("LINKDT"),
         F.coalesce(yyyymmdd(nxt).cast("string"), F.lit("E")).alias("LINKENDDT"))
 
 
-def rating(spark: SparkSession, sf: str) -> DataFrame:
-    j = _items_with_customer(spark, sf).where(F.col("l_discount") >= 0.075)
+def rating(items: DataFrame) -> DataFrame:
     grade = (F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.095)
                     & (F.col("l_tax") >= 0.065), "D")
              .when(F.col("l_returnflag") == "A", "BB").otherwise("A"))
-    return j.select(F.col("o_custkey").alias("gvkey"),
-                    F.date_format("l_shipdate", "yyyy/MM/dd").alias("datadate"),
-                    grade.alias("splticrm"))
+    return items.select(F.col("o_custkey").alias("gvkey"),
+                        F.date_format("l_shipdate", "yyyy/MM/dd").alias("datadate"),
+                        grade.alias("splticrm"))
 
 
 def deal_link(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,3 +239,54 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
         pd_ = ((F.col("gvkey") * 7 + F.col("fyear") * 13 + 17 * s) % 600).cast("double") / 1000.0
         cols += [F.when(pd_ >= 0.25, 1).otherwise(0).alias(f"pred_{m}"), pd_.alias(f"pd_{m}")]
     return df.select("gvkey", "datadate", "fyear", "default", "gsector", *cols)
+
+
+class DriverInputs(StudyInputs):
+    """The study's raw tables drawn from one folder of driver tables, each on demand.
+
+    What several raw tables or several steps read again is written once to the
+    shared folder, as the study's files would be.
+    """
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def financials(self) -> DataFrame:
+        return financials(self.spark, self.sf)
+
+    @cached_property
+    def gdp(self) -> DataFrame:
+        return gdp(self.spark, self.sf)
+
+    @cached_property
+    def _items(self) -> DataFrame:
+        return materialize(discounted_items(self.spark, self.sf), "discounted-items")
+
+    @cached_property
+    def delist(self) -> DataFrame:
+        return delist(self._items)
+
+    @cached_property
+    def rating(self) -> DataFrame:
+        return rating(self._items)
+
+    @cached_property
+    def link(self) -> DataFrame:
+        return materialize(link(self.spark, self.sf), "link")
+
+    @cached_property
+    def dealscan_link(self) -> DataFrame:
+        return deal_link(self.spark, self.sf)
+
+    @cached_property
+    def loan(self) -> DataFrame:
+        return loans(self.spark, self.sf)
+
+    @cached_property
+    def interest(self) -> DataFrame:
+        return quotes(self.spark, self.sf)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return scores(self.spark, self.sf)

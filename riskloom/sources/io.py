@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import INPUTS
+from .schemas import INPUTS, StudyInputs
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -30,6 +30,11 @@ def read_input(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_csv(spark, path, INPUTS[name])
 
 
+def read_study(spark: SparkSession, folder: str) -> StudyInputs:
+    """All raw inputs from ``<folder>/<name>.csv``, one file or folder each."""
+    return StudyInputs(**{name: read_input(spark, f"{folder.rstrip('/')}/{name}.csv", name) for name in INPUTS})
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Sink without a row index (IO2). Parquet by default, CSV with a header on request."""
@@ -47,8 +52,3 @@ def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> Dat
     if order_by:
         df = df.orderBy(*order_by)
     return df.limit(n)
-
-
-def row_count(df: DataFrame) -> DataFrame:
-    """Row count as a one-row DataFrame (IO4), so it composes lazily."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 D, L, I, S = T.DoubleType(), T.LongType(), T.IntegerType(), T.StringType()
@@ -40,3 +43,17 @@ INPUTS = {
     "financials": FINANCIALS, "gdp": GDP, "delist": DELIST, "rating": RATING,
     "link": LINK, "dealscan_link": DEALSCAN_LINK, "loan": LOAN, "interest": INTEREST,
 }
+
+
+@dataclass
+class StudyInputs:
+    """The eight raw tables of the study, in the schemas above."""
+
+    financials: DataFrame
+    gdp: DataFrame
+    delist: DataFrame
+    rating: DataFrame
+    link: DataFrame
+    dealscan_link: DataFrame
+    loan: DataFrame
+    interest: DataFrame
