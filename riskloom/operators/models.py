@@ -8,26 +8,29 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numeric import sigmoid
-from .evaluate import BETA, classification_metrics
+from .evaluate import BETA, fold_mean_metrics
 
 MODEL_NAMES = ["lr", "lasso", "svm", "rf", "gb"]
-# Iteration budget of the iterative solvers. Each iteration is one distributed
-# pass; the study's 1000/3000 are reachable through ``params["max_iter"]``.
-MAX_ITER = 100
+# Iterations, trials and trees of the study; all are arguments below.
+MAX_ITER = {"lr": 1000, "lasso": 3000, "svm": 3000, "logit": 1000}
+TRIALS = 100
+MAX_TREES = 2000
+RANDOM_FEATURES = 256     # of the kernel maps
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -41,28 +44,69 @@ def fbeta_evaluator(beta: float = BETA) -> MulticlassClassificationEvaluator:
                                              labelCol="label", predictionCol="prediction")
 
 
+# --------------------------------------------------------------------------- kernel maps
+
+def kernel_map(params: dict, train: DataFrame, seed: int = 0, col: str = "features") -> Callable[[DataFrame], DataFrame]:
+    """Feature map that turns a linear SVM into the kernel's (ML4, re-aimed).
+
+    ``linear`` leaves the vector. ``rbf`` takes random Fourier features
+    (Rahimi and Recht, 2007) and ``poly`` random Maclaurin features (Kar and
+    Karnick, 2012) of ``(gamma <x, y>) ^ degree``; both approach the kernel as
+    their number grows. ``gamma`` is 1 / (features x variance), as in the study.
+    """
+    kernel = params.get("kernel", "linear")
+    if kernel == "linear":
+        return lambda df: df
+    n = train.select(F.size(vector_to_array(col))).first()[0]
+    gamma = params.get("gamma")
+    if gamma is None:
+        value = F.explode(vector_to_array(col))
+        var = train.select(value.alias("v")).agg(F.var_pop("v")).first()[0]
+        gamma = 1.0 / (n * var) if var else 1.0 / n
+    d = int(params.get("n_random", RANDOM_FEATURES))
+    rng = np.random.default_rng(seed)
+    if kernel == "rbf":
+        w, b = rng.normal(0, math.sqrt(2 * gamma), (n, d)), rng.uniform(0, 2 * math.pi, d)
+        mapped = lambda x: math.sqrt(2 / d) * np.cos(x @ w + b)
+    elif kernel == "poly":
+        signs = rng.choice([-1.0, 1.0], (int(params.get("degree", 3)), n, d))
+        mapped = lambda x: np.prod(math.sqrt(gamma) * (x @ signs), axis=0) / math.sqrt(d)
+    else:
+        raise ValueError(f"unknown kernel {kernel}")
+
+    @F.pandas_udf("array<double>")
+    def features(x: pd.Series) -> pd.Series:
+        return pd.Series(list(mapped(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+
+    return lambda df: df.withColumn(col, array_to_vector(features(vector_to_array(col))))
+
+
 # --------------------------------------------------------------------------- estimators
 
 def make_estimator(name: str, params: dict, n_train: int, seed: int = 0):
-    """Estimator for a model family and a parameter draw.
+    """Estimator for a model family and its parameters.
 
     * ``lr``: unpenalised logistic regression (ML2).
     * ``lasso``: L1 logistic regression, ``regParam = 1 / (C n)`` on raw
       features, the same objective scaling as an inverse-strength ``C`` (ML3).
-    * ``svm``: linear SVM (ML4, linear kernel only; see README), hinge loss
-      with ``regParam = 1 / (C n)``; probabilities by Platt scaling (ML5).
+    * ``svm``: hinge loss with ``regParam = 1 / (C n)`` on raw features after
+      :func:`kernel_map` (ML4); probabilities by Platt scaling (ML5).
     * ``rf``: random forest (ML6); leaf fraction -> ``minWeightFractionPerNode``.
     * ``gb``: gradient-boosted trees (ML7); learning rate clipped to (0, 1].
+
+    ``params["max_iter"]`` overrides the study's iterations; solvers stop
+    earlier when they have converged.
     """
     if name == "lr":
-        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", MAX_ITER))
+        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", MAX_ITER["lr"]))
     if name == "lasso":
         c = float(params.get("C", 1.0))
         return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n_train, 1)),
-                                  standardization=False, maxIter=params.get("max_iter", MAX_ITER))
+                                  standardization=False, maxIter=params.get("max_iter", MAX_ITER["lasso"]))
     if name == "svm":
         c = float(params.get("C", 1.0))
-        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=params.get("max_iter", MAX_ITER))
+        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), standardization=False,
+                         maxIter=params.get("max_iter", MAX_ITER["svm"]))
     if name == "rf":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
                                       maxDepth=int(params.get("max_depth", 5)),
@@ -78,12 +122,13 @@ def make_estimator(name: str, params: dict, n_train: int, seed: int = 0):
     raise ValueError(f"unknown model {name}")
 
 
-def sample_params(name: str, n: int, seed: int, max_trees: int = 2000) -> list[dict]:
+def sample_params(name: str, n: int = TRIALS, seed: int = 0, max_trees: int = MAX_TREES) -> list[dict]:
     """Seeded random draws from the study's search spaces (ML10, re-aimed from TPE).
 
-    C and learning rate ~ lognormal(0, 1); trees ~ randint(max_trees) with a
-    floor of 1; depth 1..10; criterion gini/entropy (log-loss is entropy);
-    leaf fraction ~ U(0, 0.1); split fraction has no Spark counterpart.
+    C and learning rate ~ lognormal(0, 1); kernel one of three, degree 2..8;
+    trees ~ randint(max_trees) with a floor of 1; depth 1..10; criterion
+    gini/entropy (log-loss is entropy); leaf fraction ~ U(0, 0.1). The solver
+    and the split fraction have no Spark counterpart.
     """
     rng = random.Random(f"{name}:{seed}")
     out = []
@@ -91,7 +136,11 @@ def sample_params(name: str, n: int, seed: int, max_trees: int = 2000) -> list[d
         if name == "lasso":
             out.append({"C": math.exp(rng.gauss(0.0, 1.0))})
         elif name == "svm":
-            out.append({"C": math.exp(rng.gauss(0.0, 1.0))})
+            draw = {"C": math.exp(rng.gauss(0.0, 1.0)), "kernel": rng.choice(["rbf", "linear", "poly"]),
+                    "degree": rng.randint(2, 8)}
+            if draw["kernel"] != "poly":
+                del draw["degree"]
+            out.append(draw)
         elif name == "rf":
             out.append({"n_estimators": max(1, rng.randrange(max_trees)), "max_depth": rng.randint(1, 10),
                         "criterion": rng.choice(["gini", "entropy", "entropy"]),
@@ -105,40 +154,48 @@ def sample_params(name: str, n: int, seed: int, max_trees: int = 2000) -> list[d
     return out
 
 
-def _param_map(est, name: str, params: dict, n_train: int) -> dict:
-    tmpl = make_estimator(name, params, n_train)
-    return {est.getParam(p.name): tmpl.getOrDefault(p) for p in tmpl.params
-            if tmpl.isDefined(p) and est.hasParam(p.name) and p.name not in ("seed",)}
+def search(train: DataFrame, name: str, trials: int = TRIALS, seed: int = 0, parallelism: int = 32,
+           max_trees: int = MAX_TREES, k: int = 5, draws: Sequence[dict] | None = None):
+    """Search by mean fold F-beta on fixed folds, then the best draw fitted on all rows
+    (ML9 ML10 ML11). Returns (fitted model, params, F-beta of every draw).
+
+    Every trial is a distributed fit per fold; ``parallelism`` trials share the
+    cluster at a time.
+    """
+    draws = list(draws) if draws is not None else sample_params(name, trials, seed, max_trees)
+    if name == "lr" or not draws:
+        return fit(train, name, {}, seed), {}, []
+
+    def trial(params: dict) -> float:
+        scores = [evaluate_fbeta(fit(train.where(F.col("fold") != f), name, params, seed, probabilities=False)
+                                 .predict(train.where(F.col("fold") == f))) for f in range(k)]
+        return sum(scores) / k
+
+    with ThreadPool(max(1, min(parallelism, len(draws)))) as pool:
+        found = pool.map(trial, draws)
+    best = max(range(len(draws)), key=lambda i: (found[i], -i))
+    return fit(train, name, draws[best], seed), draws[best], found
 
 
-def search(train: DataFrame, name: str, trials: int, seed: int = 0, parallelism: int = 4,
-           fold_col: str = "fold", max_trees: int = 2000, k: int = 5) -> tuple[dict, float]:
-    """Best parameter draw by mean fold F-beta with ``CrossValidator`` on fixed folds
-    (ML10 ML11). Returns (params, best mean F-beta)."""
-    n = train.count()
-    draws = sample_params(name, trials, seed, max_trees)
-    if not draws or name == "lr":
-        return {}, float("nan")
-    est = make_estimator(name, draws[0], n, seed)
-    maps = [_param_map(est, name, d, n) for d in draws]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=fbeta_evaluator(),
-                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
-    m = cv.fit(train)
-    best = max(range(len(draws)), key=lambda i: (m.avgMetrics[i], -i))
-    return draws[best], float(m.avgMetrics[best])
+def evaluate_fbeta(predictions: DataFrame) -> float:
+    return float(fbeta_evaluator().evaluate(predictions))
 
 
 # --------------------------------------------------------------------------- fit and score
 
 class FittedModel:
-    """A fitted model plus, for the SVM, its Platt scaling."""
+    """A fitted model with its feature map and, for the SVM, its Platt scaling."""
 
-    def __init__(self, name: str, model, platt=None):
+    def __init__(self, name: str, model, mapped=None, platt=None):
         self.name, self.model, self.platt = name, model, platt
+        self.mapped = mapped or (lambda df: df)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.mapped(df))
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``pred`` (hard class) and ``pd`` (default probability) (ML12)."""
-        out = self.model.transform(df)
+        out = self.predict(df)
         if self.name == "svm":
             margin = vector_to_array("rawPrediction")[1]
             a, b = self.platt
@@ -149,17 +206,34 @@ class FittedModel:
         return out.drop("rawPrediction", "probability", "prediction")
 
 
-def fit(train: DataFrame, name: str, params: dict | None = None, seed: int = 0) -> FittedModel:
+def _margins(model: FittedModel, df: DataFrame) -> DataFrame:
+    return model.predict(df).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
+
+
+def platt_scaling(train: DataFrame, params: dict, seed: int, k: int = 5) -> tuple[float, float]:
+    """Slope and intercept of the probability over margins of rows that the SVM was not
+    fitted on: one fit per fold, as margins of its own rows would be too extreme (ML5)."""
+    margins = None
+    for f in range(k):
+        model = fit(train.where(F.col("fold") != f), "svm", params, seed, probabilities=False)
+        m = _margins(model, train.where(F.col("fold") == f))
+        margins = m if margins is None else margins.unionByName(m)
+    lr = LogisticRegression(featuresCol="mf", regParam=0.0, maxIter=MAX_ITER["lr"]).fit(assemble(margins, ["m"], "mf"))
+    return float(lr.coefficients[0]), float(lr.intercept)
+
+
+def fit(train: DataFrame, name: str, params: dict | None = None, seed: int = 0,
+        probabilities: bool = True) -> FittedModel:
+    """Fit one family on ``train(features, label, fold)``. The SVM's probabilities cost
+    a fit per fold; without ``probabilities`` it can only predict classes."""
     params = params or {}
-    n = train.count()
-    model = make_estimator(name, params, n, seed).fit(train)
-    platt = None
-    if name == "svm":
-        margins = model.transform(train).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
-        cal = assemble(margins, ["m"], "mf")
-        lr = LogisticRegression(featuresCol="mf", regParam=0.0, maxIter=100).fit(cal)
-        platt = (float(lr.coefficients[0]), float(lr.intercept))
-    return FittedModel(name, model, platt)
+    n = train.count() if name in ("lasso", "svm") else 0
+    mapped = kernel_map(params, train, seed) if name == "svm" else None
+    model = make_estimator(name, params, n, seed).fit(mapped(train) if mapped else train)
+    out = FittedModel(name, model, mapped)
+    if name == "svm" and probabilities:
+        out.platt = platt_scaling(train, params, seed)
+    return out
 
 
 def cv_metrics(train: DataFrame, name: str, params: dict | None = None, k: int = 5,
@@ -168,42 +242,72 @@ def cv_metrics(train: DataFrame, name: str, params: dict | None = None, k: int =
     fold, all four metrics from one long prediction table."""
     preds = None
     for f in range(k):
-        m = fit(train.where(F.col(fold_col) != f), name, params, seed)
-        p = m.score(train.where(F.col(fold_col) == f)).select(F.lit(name).alias("model"),
-                                                               F.lit(f).alias("fold"),
-                                                               F.col("label").cast("int").alias("label"), "pred")
+        m = fit(train.where(F.col(fold_col) != f), name, params, seed, probabilities=False)
+        p = m.predict(train.where(F.col(fold_col) == f)).select(
+            F.lit(name).alias("model"), F.lit(f).alias("fold"), F.col("label").cast("int").alias("label"),
+            F.col("prediction").cast("int").alias("pred"))
         preds = p if preds is None else preds.unionByName(p)
-    per_fold = classification_metrics(preds, ["model", "fold"], "label", "pred")
-    return per_fold.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "f_beta")])
-
-
-def logit_table(train: DataFrame, feature_names: Sequence[str], z: float = 1.959963984540054) -> DataFrame:
-    """Logit without intercept with standard errors, z, p-values and 95% bounds (ML1)."""
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False,
-                                      maxIter=100, labelCol="label")
-    m = glr.fit(train)
-    s = m.summary
-    rows = []
-    for i, name in enumerate(feature_names):
-        coef = float(m.coefficients[i])
-        se = float(s.coefficientStandardErrors[i])
-        rows.append((name, coef, se, float(s.tValues[i]), float(s.pValues[i]), coef - z * se, coef + z * se))
-    schema = T.StructType([T.StructField(n, t) for n, t in [
-        ("feature", T.StringType()), ("coef", T.DoubleType()), ("std_err", T.DoubleType()),
-        ("z", T.DoubleType()), ("p_value", T.DoubleType()), ("ci_low", T.DoubleType()),
-        ("ci_high", T.DoubleType())]])
-    spark = SparkSession.getActiveSession() or train.sparkSession
-    # one row per feature: bounded by the feature count
-    return spark.createDataFrame(rows, schema)
+    return fold_mean_metrics(preds)
+
+
+# --------------------------------------------------------------------------- logit
+
+def chi2_tail(x: float, df: int) -> float:
+    """P(chi-square with ``df`` degrees of freedom > x), by its finite sums."""
+    if x <= 0:
+        return 1.0
+    half = x / 2.0
+    if df % 2 == 0:
+        term = total = math.exp(-half)
+        for i in range(1, df // 2):
+            term *= half / i
+            total += term
+        return min(total, 1.0)
+    total = math.erfc(math.sqrt(half))
+    term = math.sqrt(2 * x / math.pi) * math.exp(-half)
+    for r in range(1, (df - 1) // 2 + 1):
+        total += term
+        term *= x / (2 * r + 1)
+    return min(total, 1.0)
+
+
+class Logit:
+    """Logit without intercept: coefficients with inference, and the fit's summary (ML1)."""
+
+    def __init__(self, train: DataFrame, feature_names: Sequence[str], max_iter: int = MAX_ITER["logit"]) -> None:
+        self.spark, self.names = train.sparkSession, list(feature_names)
+        glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False,
+                                          maxIter=max_iter, labelCol="label")
+        self.model = glr.fit(train)
+        row = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).first()
+        self.n, self.positives = int(row["n"]), float(row["k"] or 0.0)
+
+    def table(self, z: float = 1.959963984540054) -> DataFrame:
+        """feature, coef, std_err, z, p_value and 95% bounds."""
+        s = self.model.summary
+        rows = [(name, float(c), float(e), float(t), float(p), float(c) - z * float(e), float(c) + z * float(e))
+                for name, c, e, t, p in zip(self.names, self.model.coefficients, s.coefficientStandardErrors,
+                                            s.tValues, s.pValues)]
+        return self.spark.createDataFrame(
+            rows, "feature string, coef double, std_err double, z double, p_value double, ci_low double, ci_high double")
+
+    def summary(self) -> DataFrame:
+        """Log-likelihood, that of the constant model, McFadden's R2, the likelihood ratio
+        and its p-value (degrees of freedom: coefficients less one)."""
+        llf = -float(self.model.summary.deviance) / 2.0
+        p = self.positives / self.n
+        null = sum(c * math.log(q) for c, q in ((self.positives, p), (self.n - self.positives, 1 - p)) if c)
+        df = len(self.names) - 1
+        ratio = 2.0 * (llf - null)
+        rows = [(self.n, df, llf, null, 1.0 - llf / null if null else None, ratio, chi2_tail(ratio, df) if df else None)]
+        return self.spark.createDataFrame(
+            rows, "n_obs long, df_model long, llf double, llnull double, pseudo_r2 double, llr double, llr_p double")
 
 
 def importances(model: FittedModel, feature_names: Sequence[str], top: int | None = 10) -> DataFrame:
     """Gain-based importance of a tree model, ordered, top-k (ML14, ST5)."""
     imp = model.model.featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(feature_names, imp)],
-                               "feature string, importance double")
+    df = SparkSession.active().createDataFrame([(n, float(v)) for n, v in zip(feature_names, imp)],
+                                               "feature string, importance double")
     df = df.orderBy(F.desc("importance"), "feature")
     return df.limit(top) if top else df
-
-

@@ -1,100 +1,197 @@
 """Exact k-nearest-neighbour search for KNN imputation (IM1) and SMOTE (RS1).
 
-The query side (rows to impute, minority seeds) is the small side by nature.
-It is broadcast in chunks of at most ``chunk_rows`` rows (a checked bound);
-the large point side is scanned in place with ``mapInPandas`` and each task
-keeps only its own top-k per query, so at most ``k x partitions`` candidates
-per query are shuffled and merged. Pairs are never materialised as rows.
+Points are dealt to cells: the nearest of a bounded number of pivots, and which
+coordinates are present. Each cell has a bounding box, from which a lower bound
+of the distance of any query to the cell follows, in whatever coordinates the
+two have in common. A query first searches the cell that looks nearest, which
+gives an upper bound of its k-th distance; it then goes only to the cells whose
+lower bound does not exceed that, and the best of all cells are merged.
+
+Queries and points meet by cell in Spark, neither side passes through the
+driver. Large cells are cut into blocks of points and of queries, so a task
+never holds more than one block of each. Pivots and boxes are bounded by
+``MAX_PIVOTS`` and the number of patterns of missing coordinates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK_ROWS = 4000
-# cap on query x point x feature cells materialised at once inside a task
+MAX_PIVOTS = 512
+POINTS_PER_PIVOT = 2000
+POINT_BLOCK = 20_000
+QUERY_BLOCK = 2_000
+MAX_BOXES = 100_000
+# query x point x coordinate cells held at once inside a task
 BLOCK_CELLS = 4_000_000
+SLACK = 1 + 1e-9          # rounding never excludes a cell that holds an equal distance
 
 
-def _topk_partition(bq, k: int, feat: list[str], id_col: str, nan_aware: bool, exclude_self: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_x = bq.value
-        best_d = np.full((len(q_ids), 0), np.inf)
-        best_i = np.zeros((len(q_ids), 0), dtype=np.int64)
-        step = max(1, BLOCK_CELLS // max(1, len(q_ids) * len(feat)))
-        blocks = ((b.iloc[i:i + step]) for b in batches for i in range(0, len(b), step))
-        for b in blocks:
-            if b.empty:
-                continue
-            p_ids = b[id_col].to_numpy(dtype=np.int64)
-            p_x = b[feat].to_numpy(dtype=np.float64)
-            d = _distances(q_x, p_x, nan_aware)
-            if exclude_self:
-                d[q_ids[:, None] == p_ids[None, :]] = np.inf
-            all_d = np.concatenate([best_d, d], axis=1)
-            all_i = np.concatenate([best_i, np.broadcast_to(p_ids, d.shape)], axis=1)
-            # order by (distance, point id); keep k
-            o = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d = np.take_along_axis(all_d, o, axis=1)
-            best_i = np.take_along_axis(all_i, o, axis=1)
-        rows_q, rows_c = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"qid": q_ids[rows_q], "pid": best_i[rows_q, rows_c],
-                            "dist": best_d[rows_q, rows_c]})
-    return run
-
-
-def _distances(q: np.ndarray, p: np.ndarray, nan_aware: bool) -> np.ndarray:
-    """Euclidean, or NaN-aware Euclidean: ``sqrt(n / n_common * sum over common coords)``;
-    no common coordinate -> inf (never chosen)."""
-    if not nan_aware:
-        d2 = ((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-        return np.sqrt(d2)
+def vector(features: Sequence[str]) -> Column:
+    """The coordinates as one array, missing as NaN."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+
+
+def distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Euclidean distance over the common coordinates, scaled to all of them:
+    ``sqrt(n / n_common * sum)``; no common coordinate -> inf (never chosen)."""
     diff = q[:, None, :] - p[None, :, :]
     present = ~np.isnan(diff)
     n_common = present.sum(axis=2)
-    d2 = np.where(present, diff, 0.0) ** 2
+    total = (np.where(present, diff, 0.0) ** 2).sum(axis=2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.sqrt(d2.sum(axis=2) * q.shape[1] / n_common)
+        d = np.sqrt(total * q.shape[1] / n_common)
     d[n_common == 0] = np.inf
     return d
 
 
-def knn(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int,
-        id_col: str = "id", nan_aware: bool = False, exclude_self: bool = False,
-        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``(qid, pid, dist, nn)`` for the k nearest points of every query, ``nn`` = 1..k,
-    ties broken by point id. Missing features are NaN-aware only when ``nan_aware``."""
-    feat = list(features)
+def _top(q: pd.DataFrame, p: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest points of each query among ``p``, ties by point id."""
+    best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+    if len(q) and len(p):
+        qx, px = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
+        q_ids, need, p_ids = q["qid"].to_numpy(np.int64), q["need"].to_numpy(np.int64), p["pid"].to_numpy(np.int64)
+        step = max(1, BLOCK_CELLS // max(1, len(qx) * qx.shape[1]))
+        for at in range(0, len(px), step):
+            x, ids = px[at:at + step], p_ids[at:at + step]
+            d = distances(qx, x)
+            asked = need >= 0
+            d[asked] = np.where(np.isnan(x[:, need[asked]].T), np.inf, d[asked])
+            if exclude_self:
+                d[q_ids[:, None] == ids[None, :]] = np.inf
+            d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(d, order, axis=1), np.take_along_axis(i, order, axis=1)
+    row, col = np.nonzero(np.isfinite(best_d))
+    return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "need": q["need"].to_numpy()[row],
+                         "pid": best_i[row, col], "dist": best_d[row, col]})
+
+
+class _Cells:
+    """Pivots and boxes, small enough to go with every task."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = pivots
+        known = (~np.isnan(pivots)).sum(axis=0)
+        self.fill = np.nansum(pivots, axis=0) / np.maximum(known, 1)
+        self.pivots = np.where(np.isnan(pivots), self.fill, pivots)
+        self.names: list[str] = []
+
+    def assign(self, x: np.ndarray) -> list[str]:
+        """Cell of each point: the pattern of its present coordinates and its nearest pivot."""
+        there = ~np.isnan(x)
+        full = np.where(there, x, self.fill)
+        d = (full * full).sum(1)[:, None] - 2 * full @ self.pivots.T + (self.pivots * self.pivots).sum(1)[None]
+        return [f"{int(pattern, 16):x}:{n}" for pattern, n in
+                zip((np.packbits(t).tobytes().hex() for t in there), d.argmin(axis=1))]
+
+    def set_boxes(self, rows) -> None:
+        self.names = [r["cell"] for r in rows]
+        self.low = np.array([r["low"] for r in rows], float).reshape(len(rows), -1)
+        self.high = np.array([r["high"] for r in rows], float).reshape(len(rows), -1)
+        self.size = np.array([r["n"] for r in rows], np.int64)
+
+    def bounds(self, x: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Lower bound of the distance of each query to the points of each cell."""
+        gap = np.maximum(np.maximum(self.low[None] - x[:, None], x[:, None] - self.high[None]), 0.0)
+        present = ~np.isnan(gap)
+        n_common = present.sum(axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.sqrt((np.where(present, gap, 0.0) ** 2).sum(axis=2) * x.shape[1] / n_common)
+        out[n_common == 0] = np.inf
+        lacks = np.isnan(self.low[:, np.maximum(need, 0)]).T & (need >= 0)[:, None]
+        return np.where(lacks, np.inf, out)
+
+
+def _visit(queries: DataFrame, cells, nearest: bool, k: int) -> DataFrame:
+    """(qid, need, v, cell): the cells each query goes to."""
+    def run(batches):
+        c = cells.value
+        for b in batches:
+            step = max(1, BLOCK_CELLS // max(1, len(c.names) * (len(c.fill) or 1)))
+            for at in range(0, len(b), step):
+                part = b.iloc[at:at + step]
+                if part.empty or not c.names:
+                    continue
+                bound = c.bounds(np.stack(part["v"].to_numpy()), part["need"].to_numpy(np.int64))
+                if nearest:  # the nearest cell that holds enough points, if any does
+                    shown = np.where(c.size[None] > k, bound, np.where(np.isfinite(bound), 1e300, np.inf))
+                    best = shown.argmin(axis=1)
+                    row = np.flatnonzero(np.isfinite(shown[np.arange(len(best)), best]))
+                    col = best[row]
+                else:
+                    row, col = np.nonzero(np.isfinite(bound) & (bound <= part["radius"].to_numpy()[:, None] * SLACK))
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[row], "need": part["need"].to_numpy()[row],
+                                    "v": part["v"].to_numpy()[row], "cell": np.array(c.names, object)[col]})
+    return queries.mapInPandas(run, "qid long, need long, v array<double>, cell string")
+
+
+def _search(visits: DataFrame, points: DataFrame, sizes: DataFrame, k: int, exclude_self: bool,
+            first_block: bool) -> DataFrame:
+    """Top k of each visit, block by block. ``first_block`` searches one block per cell."""
+    asked = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("q_blocks"))
+    cut = sizes.select("cell", F.ceil(F.col("n") / F.lit(POINT_BLOCK)).cast("int").alias("p_blocks")).join(asked, "cell")
+    seq = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = (points.join(cut, "cell").withColumn("p_block", F.pmod(F.xxhash64("pid"), F.col("p_blocks")).cast("int")))
+    q = (visits.join(cut, "cell").withColumn("q_block", F.pmod(F.xxhash64("qid", "need"), F.col("q_blocks")).cast("int")))
+    if first_block:
+        p, q = p.where(F.col("p_block") == 0), q.withColumn("p_block", F.lit(0))
+    else:
+        q = q.withColumn("p_block", seq("p_blocks"))
+    p = p.withColumn("q_block", seq("q_blocks")).select("cell", "p_block", "q_block", "pid", "v")
+    q = q.select("cell", "p_block", "q_block", "qid", "need", "v")
+    key = ["cell", "p_block", "q_block"]
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _top(left, right, k, exclude_self)
+
+    return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(meet, "qid long, need long, pid long, dist double")
+
+
+def knn(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, id_col: str = "id",
+        need_col: str | None = None, exclude_self: bool = False) -> DataFrame:
+    """``(qid, need, pid, dist, nn)`` for the k nearest points of every query, ``nn`` = 1..k,
+    ties broken by point id. Missing coordinates are left out of a distance, which is
+    scaled for it. ``need_col`` of a query is the index of a coordinate that its
+    neighbours must have (-1 or no column: none)."""
+    feats = list(features)
     spark = points.sparkSession
-    n_q = queries.count()
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("pid", T.LongType()),
-                               T.StructField("dist", T.DoubleType())])
-    pts = points.select(F.col(id_col).cast("long").alias(id_col),
-                        *[F.col(c).cast("double").alias(c) for c in feat])
-    q_sorted = queries.select(F.col(id_col).cast("long").alias(id_col),
-                              *[F.col(c).cast("double").alias(c) for c in feat])
-    pieces = []
-    n_chunks = max(1, -(-n_q // chunk_rows))
-    for ci in range(n_chunks):
-        chunk = q_sorted.where((F.abs(F.xxhash64(id_col)) % n_chunks) == ci) if n_chunks > 1 else q_sorted
-        pdf = chunk.toPandas()  # bounded by chunk_rows
-        if pdf.empty:
-            continue
-        q_ids = pdf[id_col].to_numpy(dtype=np.int64)
-        q_x = pdf[feat].to_numpy(dtype=np.float64)
-        bq = spark.sparkContext.broadcast((q_ids, q_x))
-        fn = _topk_partition(bq, k, feat, id_col, nan_aware, exclude_self)
-        pieces.append(pts.mapInPandas(fn, out_schema))
-    if not pieces:
-        return spark.createDataFrame([], out_schema.add("nn", T.IntegerType()))
-    cand = pieces[0]
-    for p in pieces[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy("dist", "pid")
-    return cand.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
+    pts = points.select(F.col(id_col).cast("long").alias("pid"), vector(feats).alias("v"))
+    need = F.col(need_col).cast("long") if need_col else F.lit(-1).cast("long")
+    qs = queries.select(F.col(id_col).cast("long").alias("qid"), need.alias("need"), vector(feats).alias("v"))
+
+    n = pts.count()
+    n_pivots = min(MAX_PIVOTS, max(1, n // POINTS_PER_PIVOT))
+    chosen = pts.orderBy(F.xxhash64("pid"), "pid").limit(n_pivots).collect()  # at most MAX_PIVOTS
+    cells = _Cells(np.array([r["v"] for r in chosen], float).reshape(len(chosen), len(feats)))
+    drawn = spark.sparkContext.broadcast(cells)
+
+    def assign(batches):
+        for b in batches:
+            if len(b):
+                yield b.assign(cell=drawn.value.assign(np.stack(b["v"].to_numpy())))
+
+    dealt = pts.mapInPandas(assign, "pid long, v array<double>, cell string")
+    boxes = dealt.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("v")[i]) for i in range(len(feats))]).alias("low"),
+        F.array(*[F.max(F.col("v")[i]) for i in range(len(feats))]).alias("high"))
+    rows = boxes.limit(MAX_BOXES + 1).collect()
+    if len(rows) > MAX_BOXES:
+        raise ValueError(f"more than {MAX_BOXES} cells: too many patterns of missing coordinates")
+    cells.set_boxes(sorted(rows, key=lambda r: r["cell"]))
+    boxed = spark.sparkContext.broadcast(cells)
+    sizes = spark.createDataFrame([(r["cell"], r["n"]) for r in rows], "cell string, n long")
+
+    near = _search(_visit(qs, boxed, True, k), dealt, sizes, k, exclude_self, True)
+    radius = (near.groupBy("qid", "need").agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("far"))
+              .select("qid", "need", F.when(F.col("found") >= k, F.col("far")).alias("radius")))
+    bounded = qs.join(radius, ["qid", "need"], "left").withColumn(
+        "radius", F.coalesce("radius", F.lit(float("inf"))))
+    found = _search(_visit(bounded, boxed, False, k), dealt, sizes, k, exclude_self, False)
+    w = Window.partitionBy("qid", "need").orderBy("dist", "pid")
+    return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)

@@ -8,13 +8,14 @@ without a window over the whole stratum (see its docstring).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_order(cols: Sequence[str], seed: int = 42) -> Column:
+def hash_order(cols: Sequence[str], seed: int | str = 42) -> Column:
     """Seeded pseudo-random order key: first 52 bits of ``md5(seed:key...)`` (ST4).
 
     The same md5 prefix is available in SQL engines, so orders can be checked.
@@ -51,12 +52,24 @@ def ranks_within(df: DataFrame, strata: Sequence[str], order: Sequence[str],
     offsets = counts.select(*[F.col(s).alias(f"_o_{s}") for s in strata], F.col("_b").alias("_ob"),
                             F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
     cond = [F.col("_b") == F.col("_ob")] + [F.col(s).eqNullSafe(F.col(f"_o_{s}")) for s in strata]
-    joined = local.join(F.broadcast(offsets), cond, "inner")
+    joined = local.join(offsets, cond, "inner")
     return joined.select(*df.columns, (F.col("_local") + F.col("_off")).alias(out))
 
 
+MAX_LEVELS = 10_000
+
+
+def _bounded(df: DataFrame, what: str) -> list:
+    """Rows of a table that must be small; raises instead of filling the driver."""
+    rows = df.limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"{what} has more than {MAX_LEVELS} values")
+    return rows
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[label]: int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return {r[label]: int(r["n"]) for r in _bounded(counts, label)}
 
 
 def stratified_split(df: DataFrame, key: Sequence[str], label: str, test_size: float = 0.2,
@@ -72,7 +85,6 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str, test_size: f
 
 
 def _round_half_up(x: float) -> int:
-    import math
     return int(math.floor(x + 0.5))
 
 
@@ -96,35 +108,35 @@ def one_hot(df: DataFrame, col: str, levels: Sequence, drop_first: bool = True,
 
 
 def observed_levels(df: DataFrame, col: str) -> list:
-    """Distinct non-missing levels of a categorical column (bounded by its cardinality)."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    """Distinct non-missing levels of a categorical column (at most ``MAX_LEVELS``)."""
+    return sorted(r[0] for r in _bounded(df.select(col).where(F.col(col).isNotNull()).distinct(), col))
 
 
-def knn_impute(df: DataFrame, key: str, features: Sequence[str], k: int = 5) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
+               donors: DataFrame | None = None) -> DataFrame:
     """Fill each missing feature with the mean of that feature over the ``k`` nearest
     rows that have it, by NaN-aware Euclidean distance over all ``features`` (IM1).
 
     Ties are broken by ``key``. A row with no donor at a finite distance gets the
-    column mean. One neighbour search per feature; receivers (rows missing the
-    feature) are the broadcast side.
+    column mean. Every missing cell is one query, all features are searched in
+    one job, and the result is joined back once. ``donors`` (default: ``df``)
+    restricts the rows that neighbours and means are taken from.
     """
-    from .neighbors import knn
+    from .neighbors import knn, vector
 
     feats = list(features)
-    filled = df
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats],
-                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_n_{c}") for c in feats]).first()
-    means = stats
-    base = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in feats])
-    for c in feats:
-        if stats[f"_n_{c}"] == 0:
-            continue
-        receivers = base.where(F.col(c).isNull())
-        donors = base.where(F.col(c).isNotNull())
-        nn = knn(receivers, donors, feats, k, id_col="id", nan_aware=True)
-        vals = (nn.join(donors.select(F.col("id").alias("pid"), F.col(c).alias("_v")), "pid")
-                .groupBy("qid").agg(F.avg("_v").alias(f"_imp_{c}")))
-        filled = (filled.join(vals, filled[key] == vals["qid"], "left").drop("qid")
-                  .withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_imp_{c}"),
-                                            F.lit(means[c]))).drop(f"_imp_{c}"))
-    return filled
+    base = df.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in feats])
+    given = base if donors is None else donors.select(
+        F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in feats])
+    means = given.agg(*[F.avg(c).alias(c) for c in feats]).first()
+    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(feats)]))
+    cells = base.withColumn("need", F.explode(gaps))
+    nn = knn(cells, given, feats, k, id_col="id", need_col="need")
+    values = given.select(F.col("id").alias("pid"), vector(feats).alias("v"))
+    found = (nn.join(values, "pid")
+             .groupBy("qid", "need").agg(F.avg(F.element_at("v", (F.col("need") + 1).cast("int"))).alias("value"))
+             .groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("need", "value"))).alias("filled")))
+    joined = df.join(found, F.col(key).cast("long") == F.col("qid"), "left")
+    return joined.select(*[
+        F.coalesce(F.col(c).cast("double"), F.try_element_at("filled", F.lit(feats.index(c)).cast("long")),
+                   F.lit(means[c]).cast("double")).alias(c) if c in feats else F.col(c) for c in df.columns])

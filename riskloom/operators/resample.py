@@ -43,7 +43,7 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, ratio: f
 
     The number of new rows is exact; the j-th new row takes seed row
     ``h1(j) mod n_min`` (by minority rank), neighbour ``h2(j) mod k`` and
-    ``u = h3(j)`` in [0, 1), all seeded hashes. Returns the new rows only, with
+    ``u = h3(j)`` in [0, 1), all seeded md5 hashes, as SQL engines have them too. Returns the new rows only, with
     ``key`` = -(j + 1) and ``synthetic = true``; union them with the input to train.
     """
     feats = list(features)
@@ -55,13 +55,17 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, ratio: f
     mino = df.where(F.col(label) == F.lit(minority)).select(F.col(key).cast("long").alias("id"), *feats)
     k_eff = min(k, max(n_min - 1, 0))
     if n_new == 0 or k_eff == 0:
-        return spark.createDataFrame([], mino.schema.add("synthetic", "boolean")).withColumnRenamed("id", key)
+        return (mino.limit(0).withColumnRenamed("id", key)
+                .withColumns({label: F.lit(minority), "synthetic": F.lit(True)}))
     nn = knn(mino, mino, feats, k_eff, id_col="id", exclude_self=True)
     ranked = ranks_within(mino.withColumn("_h", hash_order(["id"], seed)), [], ["_h", "id"], "_r")
     j = spark.range(n_new).withColumnRenamed("id", "j")
-    hj = lambda tag: F.abs(F.xxhash64(F.lit(seed), F.lit(tag), F.col("j")))
-    draws = j.select("j", (hj("row") % n_min).alias("_r"), ((hj("nb") % k_eff) + 1).alias("nn"),
-                     ((hj("u") % (1 << 52)).cast("double") / float(1 << 52)).alias("u"))
+
+    def draw(tag: str):
+        return hash_order(["j"], f"{seed}:{tag}")  # 52 bits
+
+    draws = j.select("j", (draw("row") % n_min).alias("_r"), ((draw("nb") % k_eff) + 1).cast("int").alias("nn"),
+                     (draw("u").cast("double") / float(1 << 52)).alias("u"))
     seeds = ranked.select("_r", F.col("id").alias("qid"), *[F.col(c).alias(f"_x_{c}") for c in feats])
     nbv = mino.select(F.col("id").alias("pid"), *[F.col(c).alias(f"_n_{c}") for c in feats])
     out = (draws.join(seeds, "_r").join(nn.select("qid", "pid", "nn"), ["qid", "nn"])

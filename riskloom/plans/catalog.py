@@ -211,7 +211,7 @@ def q_sector_filter(spark, sf):
     return lab.drop_sectors(f).select("gvkey", "fyear", "gsector")
 
 
-_SECTOR_VALUES = ", ".join(f"({c}, '{n}')" for c, n in lab.SECTOR_NAMES)
+_SECTOR_VALUES = ", ".join(f"({c}, '{n}')" for c, n in o.SECTOR_NAMES)
 
 
 @query("sector_table", W(f"""
@@ -351,10 +351,10 @@ def _capital_long(spark, sf) -> DataFrame:
 
 
 @query("capital_long", W("SELECT " + ", ".join(LOAN_OUT) + ", model, pred, pd, LGD, rate, "
-                         + o.fround("CR", 4) + " AS CR FROM cpx", ctes=C))
+                         + o.fround("CR", 2) + " AS CR FROM cpx", ctes=C))
 def q_capital_long(spark, sf):
     return _capital_long(spark, sf).select(*LOAN_OUT, "model", "pred", "pd", "LGD", "rate",
-                                                fround("CR", 4).alias("CR"))
+                                                fround("CR", 2).alias("CR"))
 
 
 _T0 = f"""SELECT model,
@@ -388,16 +388,8 @@ def q_eco_loss(spark, sf):
 
 # --------------------------------------------------------------------------- normal distribution
 
-def _simpson_cdf_sql(x: str, n: int = 2000) -> str:
-    """Independent numeric CDF: 0.5 + Simpson's rule of the density on [0, x]."""
-    h = f"(({x}) / {n})"
-    return (f"({o.lit(0.5)} + {h} / 3.0 * list_sum(list_transform(range(0, {n + 1}), lambda i: "
-            f"(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * "
-            f"exp(-0.5 * (i * {h}) * (i * {h})))) / sqrt(2 * pi()))")
-
-
 @query("normal_cdf", f"""
-SELECT p_partkey, x, {o.fround(_simpson_cdf_sql('x'), 8)} AS cdf,
+SELECT p_partkey, x, {o.fround(o.simpson_cdf('x'), 8)} AS cdf,
   {o.fround(f'{o.lit(1.0)} / ({o.lit(1.0)} + exp(-x))', 12)} AS logistic,
   {o.fround('sqrt(x * x)', 12)} AS abs_x
 FROM (SELECT p_partkey, (p_retailprice - {o.lit(1500.0)}) / {o.lit(250.0)} AS x FROM part)""")
@@ -409,16 +401,10 @@ def q_normal_cdf(spark, sf):
                     fround(F.sqrt(F.col("x") * F.col("x")), 12).alias("abs_x"))
 
 
-def _newton_ppf_sql(iters: int = 16) -> str:
-    steps = {"n0": "SELECT p, CAST(0.0 AS DOUBLE) AS x FROM ps"}
-    for k in range(1, iters + 1):
-        steps[f"n{k}"] = (f"SELECT p, x - ({_simpson_cdf_sql('x')} - p) / (exp(-0.5 * x * x) / sqrt(2 * pi())) "
-                          f"AS x FROM n{k - 1}")
-    body = f"""
-SELECT q.p_partkey, q.p, {o.fround('n.x', 7)} AS ppf FROM qp q JOIN n{iters} n ON q.p = n.p"""
+def _newton_ppf_sql() -> str:
     ctes = {"qp": f"SELECT p_partkey, {o.dbl('p_partkey % 997 + 1')} / {o.lit(999.0)} AS p FROM part",
-            "ps": "SELECT DISTINCT p FROM qp", **steps}
-    return o.with_ctes(ctes, body)
+            "ps": "SELECT DISTINCT p FROM qp", **o.newton_ctes("ps", "n")}
+    return o.with_ctes(ctes, f"SELECT q.p_partkey, q.p, {o.fround('n.x', 7)} AS ppf FROM qp q JOIN n16 n ON q.p = n.p")
 
 
 @query("normal_ppf", _newton_ppf_sql())
@@ -569,18 +555,41 @@ def q_undersample(spark, sf):
     return rs.undersample(lb, ["doc_id"], "toxic", 0.5, minority=1, seed=42)
 
 
-EMB_DIMS = 64
-
-
 def embedding_frame(spark, sf) -> DataFrame:
-    """Embeddings as columns e0..e63; minority = label 0 with vec_id divisible by 3."""
+    """Embeddings as columns e0, e1, ...; minority = label 0 with vec_id divisible by 3."""
     e = io.read_table(spark, sf, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return e.select(F.col("vec_id"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIMS)],
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)],
                     F.when((F.col("label") == 0) & (F.col("vec_id") % 3 == 0), 1).otherwise(0).alias("y"))
 
 
-@query("smote")
+def _draw_sql(tag: str) -> str:
+    return f"CAST('0x' || substr(md5('0:{tag}:' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT)"
+
+
+@query("smote", f"""
+WITH m AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 0 AND vec_id % 3 = 0),
+c AS (SELECT (SELECT count(*) FROM m) AS n_min, (SELECT count(*) FROM embeddings) - (SELECT count(*) FROM m) AS n_maj),
+nn AS (
+  SELECT a.id AS qid, b.id AS pid,
+         row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(range(1, len(a.e) + 1),
+             lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), b.id) AS nn
+  FROM m a JOIN m b ON a.id <> b.id),
+ranked AS (SELECT id, row_number() OVER (ORDER BY substr(md5('0:' || CAST(id AS VARCHAR)), 1, 13), id) - 1 AS r FROM m),
+d AS (
+  SELECT j, {_draw_sql('row')} % n_min AS r, {_draw_sql('nb')} % least(5, n_min - 1) + 1 AS nn,
+         CAST({_draw_sql('u')} AS DOUBLE) / 4503599627370496.0 AS u
+  FROM (SELECT unnest(range(CAST(floor({o.lit(0.1)} * n_maj) AS BIGINT) - n_min)) AS j, n_min FROM c)),
+s AS (
+  SELECT d.j, d.u, x.e AS x, y.e AS y FROM d JOIN ranked USING (r) JOIN m x ON x.id = ranked.id
+  JOIN nn ON nn.qid = ranked.id AND nn.nn = d.nn JOIN m y ON y.id = nn.pid)
+SELECT -(j + 1) AS vec_id, i - 1 AS dim, {o.fround('x[i] + u * (y[i] - x[i])', 9)} AS value
+FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)""")
 def q_smote(spark, sf):
     e = embedding_frame(spark, sf)
-    return rs.smote(e, "vec_id", [f"e{i}" for i in range(EMB_DIMS)], "y", ratio=0.1, k=5, minority=1, seed=0)
+    dims = [c for c in e.columns if c not in ("vec_id", "y")]
+    made = rs.smote(e, "vec_id", dims, "y", ratio=0.1, k=5, minority=1, seed=0)
+    values = F.posexplode(F.array(*[F.col(c) for c in dims])).alias("dim", "value")
+    return made.select("vec_id", values).select("vec_id", F.col("dim").cast("long").alias("dim"),
+                                                fround("value", 9).alias("value"))

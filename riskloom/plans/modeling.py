@@ -1,33 +1,53 @@
 """Entry B: labelled panel -> imputed features -> split -> resampling -> models -> scores.
 
-Queries registered here have no SQL twin (model fits); the driver checks
-their row counts, and ``tests/test_models.py`` checks their properties.
+A ``StudyRun`` holds the prepared tables and fitted models of one set of raw
+tables; its parameters default to the study's. The registered queries fit every
+family once with the parameters in ``PARAMS``: the operators at work, within
+what a test machine can fit. The study's search (100 trials, up to 2000 trees)
+is ``StudyRun.search``. Queries named ``*_raw`` use the training set without
+resampling, as the study's second notebook does.
+
+``tests/test_models.py`` checks models on data with a planted signal; queries
+whose result has a closed form (``plans/closed_forms.py``) have SQL twins.
 """
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import attribution as at
+from ..operators import capital as cap
 from ..operators import models as md
 from ..operators import prep
 from ..operators import resample as rs
 from ..operators.evaluate import classification_metrics
-from ..session import cut_lineage
+from ..session import materialize
+from ..sources import io
+from ..sources.schemas import RATIOS, StudyInputs
 from . import flows
 from . import testbed as tb
-from .catalog import PANEL_RATIOS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-RAW_FEATURES = [*PANEL_RATIOS, "gdp_growth"]
+RAW_FEATURES = [*[r for r in RATIOS if r not in flows.DROP_AFTER_CORR], "gdp_growth"]
 KEY = "rid"
+ROW_KEYS = ["gvkey", "datadate", "fyear", "default", "default_date"]
 SEED = 0
-TRIALS = 2
-MAX_TREES = 20
+# Parameters of the registered queries; any others can be passed to a StudyRun.
+PARAMS: dict[str, dict] = {
+    "lr": {},
+    "lasso": {"C": 1.0, "max_iter": 200},
+    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 200},
+    "rf": {"n_estimators": 50, "max_depth": 5},
+    "gb": {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1},
+}
+DEPENDENCE = ("L3", "R2")
 
 
 def query(name: str):
@@ -37,144 +57,233 @@ def query(name: str):
     return deco
 
 
-class Prepared:
-    """Train/test sets of one run (DataFrames persisted for the run's several fits)."""
-
-    def __init__(self, train: DataFrame, test: DataFrame, features: list[str]):
-        self.train, self.test, self.features = train, test, features
-
-
-_CACHE: dict[tuple[int, str, bool], Prepared] = {}
-
-
-def prepare(spark: SparkSession, sf: str, resample: bool = True) -> Prepared:
-    """Impute (KNN over all rows, as in the study), one-hot sectors, stratified 80/20
-    split, then SMOTE to 0.1 and under-sampling to 0.5 on the training part."""
-    ck = (id(spark), sf, resample)
-    if ck in _CACHE:
-        return _CACHE[ck]
-    # The panel's lineage (two passes for the winsorizing bounds) is cut once in
-    # the shared checkpoint folder; imputation and the fits then read it back.
-    panel = cut_lineage(flows.labelled_panel(tb.DriverInputs(spark, sf)))
-    base = panel.select(
-        (F.col("gvkey") * 100000 + F.datediff("datadate", F.lit("1900-01-01"))).alias(KEY),
-        "gvkey", "datadate", "fyear", "default", "default_date",
-        F.col("gsector").cast("double").alias("gsector_raw"), "gsector",
-        # infinite ratios cannot enter a fit; they are treated as missing here
-        *[F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c)).alias(c) for c in RAW_FEATURES])
-    imputed = cut_lineage(prep.knn_impute(base, KEY, [*RAW_FEATURES, "gsector_raw"], k=5))
-    levels = prep.observed_levels(imputed, "gsector")
-    hot = prep.one_hot(imputed, "gsector", levels, prefix="gs")
-    dummies = [f"gs_{v}" for v in sorted(levels)[1:]]
-    feats = [*RAW_FEATURES, *dummies]
-    split = prep.stratified_split(hot, ["gvkey", "datadate"], "default", 0.2, seed=SEED).persist()
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-    if resample:
-        try:
-            syn = rs.smote(train.select(KEY, *feats, "default"), KEY, feats, "default", 0.1, 5, 1, SEED)
-            train = train.select(KEY, *feats, "default").unionByName(syn.drop("synthetic"))
-        except ValueError:
-            train = train.select(KEY, *feats, "default")  # minority already above the target ratio
-        train = rs.undersample(train, [KEY], "default", 0.5, minority=1, seed=42)
-    train = train.select(KEY, *feats, F.col("default").cast("double").alias("label"))
-    train = prep.stratified_folds(train, [KEY], "label", 5, seed=SEED)
-    train = md.assemble(train, feats)
-    test = md.assemble(test.withColumn("label", F.col("default").cast("double")), feats)
-    # Iterative fits run one job per iteration: size the partitions to the data
-    # (about ROWS_PER_PARTITION rows each) so small sets do not pay for idle tasks.
-    train = _sized(train).persist()
-    test = _sized(test).persist()
-    out = Prepared(train, test, feats)
-    _CACHE[ck] = out
-    return out
-
-
-_FITTED: dict[tuple[int, str], dict] = {}
-
-
-ROWS_PER_PARTITION = 50000
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    n = df.count()
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(1, min(cap, -(-n // ROWS_PER_PARTITION))))
-
-
-def fitted_models(spark: SparkSession, sf: str, trials: int = TRIALS) -> dict[str, md.FittedModel]:
-    """Search and refit every model family once per run (ML10 ML11)."""
-    ck = (id(spark), sf)
-    if ck in _FITTED:
-        return _FITTED[ck]
-    p = prepare(spark, sf)
-    out = {}
-    for name in md.MODEL_NAMES:
-        params, _ = md.search(p.train, name, trials, SEED, max_trees=MAX_TREES)
-        out[name] = (md.fit(p.train, name, params, SEED), params)
-    _FITTED[ck] = out
-    return out
-
-
-@query("logit_table")
-def q_logit_table(spark, sf):
-    p = prepare(spark, sf)
-    return md.logit_table(p.train, p.features)
-
-
-@query("test_metrics")
-def q_test_metrics(spark, sf):
-    """Held-out accuracy, precision, recall, F-beta per model (ML12 ML13 AG11 AG12)."""
-    p = prepare(spark, sf)
-    preds = None
-    for name, (m, _) in fitted_models(spark, sf).items():
-        s = m.score(p.test).select(F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), "pred")
-        preds = s if preds is None else preds.unionByName(s)
-    return classification_metrics(preds, ["model"], "label", "pred")
-
-
-@query("cv_metrics")
-def q_cv_metrics(spark, sf):
-    """Search, then fold-mean validation metrics of the chosen parameters (ML8-ML11)."""
-    p = prepare(spark, sf)
-    out = None
-    for name, (_, params) in fitted_models(spark, sf).items():
-        m = md.cv_metrics(p.train, name, params)
-        out = m if out is None else out.unionByName(m)
-    return out
+class StudyRun:
+    """One run of entry B over the raw tables. The caller holds it; what it prepares
+    lies in the shared folder and what it fits in its own fields.
+
+    ``resample``: SMOTE to ``smote_ratio`` and under-sampling to ``under_ratio`` on
+    the training part. ``fit_on="train"`` imputes from training rows alone; the
+    study imputes over all rows. ``inf_policy="null"`` treats infinite ratios as
+    missing before imputation; ``"raise"`` refuses them.
+    """
+
+    def __init__(self, inputs: StudyInputs, resample: bool = True, params: dict[str, dict] | None = None,
+                 smote_ratio: float = 0.1, under_ratio: float = 0.5, test_size: float = 0.2, k_folds: int = 5,
+                 fit_on: str = "all", inf_policy: str = "null", seed: int = SEED) -> None:
+        if fit_on not in ("all", "train") or inf_policy not in ("null", "raise"):
+            raise ValueError("fit_on is 'all' or 'train', inf_policy 'null' or 'raise'")
+        self.inputs, self.resample, self.seed = inputs, resample, seed
+        self.params = {**{n: {} for n in md.MODEL_NAMES}, **(params or {})}
+        self.smote_ratio, self.under_ratio, self.test_size, self.k_folds = smote_ratio, under_ratio, test_size, k_folds
+        self.fit_on, self.inf_policy = fit_on, inf_policy
+        self._fitted: dict[str, md.FittedModel] = {}
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Panel rows with a key, infinite ratios handled, and their split."""
+        panel = flows.labelled_panel(self.inputs)
+
+        def finite(c: str):
+            endless = F.abs(F.col(c)) == float("inf")
+            if self.inf_policy == "raise":
+                return F.when(endless, F.raise_error(F.lit(f"infinite {c}")).cast("double")).otherwise(F.col(c))
+            return F.when(~endless, F.col(c))
+
+        rows = panel.select(
+            (F.col("gvkey") * 100000 + F.datediff("datadate", F.lit("1900-01-01"))).alias(KEY), *ROW_KEYS,
+            F.col("gsector").cast("double").alias("gsector_raw"), "gsector",
+            *[finite(c).alias(c) for c in RAW_FEATURES])
+        return materialize(prep.stratified_split(rows, ["gvkey", "datadate"], "default", self.test_size, seed=self.seed),
+                           "base")
+
+    @cached_property
+    def imputed(self) -> DataFrame:
+        filled = [*RAW_FEATURES, "gsector_raw"]
+        donors = self.base.where(F.col("split") == "train") if self.fit_on == "train" else None
+        return materialize(prep.knn_impute(self.base, KEY, filled, k=5, donors=donors), "imputed")
+
+    @cached_property
+    def levels(self) -> list:
+        return prep.observed_levels(self.imputed, "gsector")
+
+    @property
+    def features(self) -> list[str]:
+        return [*RAW_FEATURES, *[f"gs_{v}" for v in self.levels[1:]]]
+
+    @cached_property
+    def _hot(self) -> DataFrame:
+        return prep.one_hot(self.imputed, "gsector", self.levels, prefix="gs")
+
+    @cached_property
+    def train(self) -> DataFrame:
+        """(key, features, label, fold) of the training rows, resampled if asked for."""
+        rows = self._hot.where(F.col("split") == "train").select(KEY, *self.features, "default")
+        if self.resample:
+            made = rs.smote(rows, KEY, self.features, "default", self.smote_ratio, 5, 1, self.seed)
+            rows = materialize(rows.unionByName(made.drop("synthetic")), "smote")
+            rows = rs.undersample(rows, [KEY], "default", self.under_ratio, minority=1, seed=42)
+        rows = rows.select(KEY, *self.features, F.col("default").cast("double").alias("label"))
+        folded = prep.stratified_folds(rows, [KEY], "label", self.k_folds, seed=self.seed)
+        return md.assemble(materialize(folded, "train"), self.features).persist()
+
+    @cached_property
+    def test(self) -> DataFrame:
+        rows = self._hot.where(F.col("split") == "test").withColumn("label", F.col("default").cast("double"))
+        return md.assemble(materialize(rows, "test"), self.features)
+
+    def close(self) -> None:
+        """Release what the run keeps in memory."""
+        if "train" in self.__dict__:
+            self.train.unpersist()
+
+    def model(self, name: str) -> md.FittedModel:
+        if name not in self._fitted:
+            self._fitted[name] = md.fit(self.train, name, self.params[name], self.seed)
+        return self._fitted[name]
+
+    def search(self, name: str, trials: int = md.TRIALS, parallelism: int = 32, max_trees: int = md.MAX_TREES):
+        """The study's search; the best model and its parameters become the run's (ML10 ML11)."""
+        model, best, found = md.search(self.train, name, trials, self.seed, parallelism, max_trees, self.k_folds)
+        self._fitted[name], self.params[name] = model, best
+        return best, found
+
+    def logit(self) -> md.Logit:
+        return md.Logit(self.train, self.features)
+
+    def test_metrics(self) -> DataFrame:
+        """Held-out accuracy, precision, recall, F-beta per model (ML12 ML13 AG11 AG12)."""
+        preds = None
+        for name in md.MODEL_NAMES:
+            s = self.model(name).score(self.test).select(
+                F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), "pred")
+            preds = s if preds is None else preds.unionByName(s)
+        return classification_metrics(preds, ["model"], "label", "pred")
+
+    def cv_metrics(self) -> DataFrame:
+        """Fold-mean validation metrics of the run's parameters (ML8)."""
+        out = None
+        for name in md.MODEL_NAMES:
+            m = md.cv_metrics(self.train, name, self.params[name], self.k_folds, seed=self.seed)
+            out = m if out is None else out.unionByName(m)
+        return out
+
+    def scored(self, sink: str | None = None) -> DataFrame:
+        """Test rows with keys and each model's (pred, pd), long form (JN9 ML12). ``sink``
+        also writes the wide table (IO2)."""
+        out = None
+        for name in md.MODEL_NAMES:
+            s = self.model(name).score(self.test).select(
+                *ROW_KEYS, F.col("gsector_raw").cast("int").alias("gsector"), F.lit(name).alias("model"), "pred", "pd")
+            out = s if out is None else out.unionByName(s)
+        if sink:
+            io.write_table(wide_scores(out), sink)
+        return out
+
+    def attribution(self) -> DataFrame:
+        """Per-row TreeSHAP attribution of the gradient-boosted model on the test rows (ML15)."""
+        return at.gbt_attribution(self.model("gb").model, self.test, KEY, self.features)
+
+
+def wide_scores(long: DataFrame) -> DataFrame:
+    """One row per firm-year with ``pred_<m>`` and ``pd_<m>``: what entry C prices."""
+    keys = [*ROW_KEYS, "gsector"]
+    wide = long.groupBy(*keys).pivot("model", md.MODEL_NAMES).agg(F.first("pred").alias("pred"), F.first("pd").alias("pd"))
+    return wide.select(*keys, *[F.col(f"{m}_{c}").alias(f"{c}_{m}") for m in md.MODEL_NAMES for c in ("pred", "pd")])
+
+
+# Runs of the registered queries, by session; a session that is gone takes its runs with it.
+_RUNS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def run_of(spark: SparkSession, sf: str, resample: bool = True) -> StudyRun:
+    runs = _RUNS.setdefault(spark, {})
+    if (sf, resample) not in runs:
+        runs[sf, resample] = StudyRun(tb.DriverInputs(spark, sf), resample, PARAMS)
+    return runs[sf, resample]
+
+
+def release(spark: SparkSession) -> None:
+    """Forget the runs of a session and free their memory."""
+    for run in _RUNS.pop(spark, {}).values():
+        run.close()
+
+
+def _both(name: str):
+    """Register a query on the resampled training set and, as ``<name>_raw``, on the plain one."""
+    def deco(fn):
+        query(name)(lambda spark, sf: fn(run_of(spark, sf)))
+        query(f"{name}_raw")(lambda spark, sf: fn(run_of(spark, sf, resample=False)))
+        return fn
+    return deco
+
+
+@_both("logit_table")
+def q_logit_table(run):
+    return run.logit().table()
+
+
+@_both("logit_summary")
+def q_logit_summary(run):
+    return run.logit().summary()
+
+
+@_both("test_metrics")
+def q_test_metrics(run):
+    return run.test_metrics()
+
+
+@_both("cv_metrics")
+def q_cv_metrics(run):
+    return run.cv_metrics()
 
 
 @query("scored_panel")
 def q_scored_panel(spark, sf):
-    """Test rows with keys and each model's (pred, pd), long form (JN9 ML12)."""
-    p = prepare(spark, sf)
-    out = None
-    for name, (m, _) in fitted_models(spark, sf).items():
-        s = m.score(p.test).select("gvkey", "datadate", "fyear", "default", "default_date",
-                                   F.col("gsector_raw").cast("int").alias("gsector"),
-                                   F.lit(name).alias("model"), "pred", "pd")
-        out = s if out is None else out.unionByName(s)
-    return out
+    return run_of(spark, sf).scored()
+
+
+@query("scored_capital")
+def q_scored_capital(spark, sf):
+    """Regulatory capital per model, priced on the models' own scores (entry B into entry C)."""
+    run = run_of(spark, sf)
+    scores = materialize(wide_scores(run.scored()), "scores")
+    return cap.capital_table(flows.capital_long(run.inputs, scores, tb.QUOTE_ORDER))
 
 
 @query("importance")
 def q_importance(spark, sf):
-    p = prepare(spark, sf)
-    gb = md.fit(p.train, "gb", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1}, SEED)
-    return md.importances(gb, p.features, top=10)
+    run = run_of(spark, sf)
+    return md.importances(run.model("gb"), run.features, top=10)
 
 
 @query("attribution")
 def q_attribution(spark, sf):
-    """Per-row TreeSHAP attribution of the gradient-boosted model on the test rows (ML15)."""
-    from ..operators.attribution import gbt_attribution
-    p = prepare(spark, sf)
-    gb = md.fit(p.train, "gb", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1}, SEED)
-    return gbt_attribution(gb.model, p.test, KEY, p.features)
+    return run_of(spark, sf).attribution()
 
 
 @query("attribution_ranking")
 def q_attribution_ranking(spark, sf):
     """Features ranked by mean |SHAP value| over the test rows, top 10 (ML15 summary, ST5)."""
-    from ..operators.attribution import mean_abs_ranking
-    return mean_abs_ranking(q_attribution(spark, sf), top=10)
+    return at.mean_abs_ranking(run_of(spark, sf).attribution(), top=10)
+
+
+@query("attribution_dependence")
+def q_attribution_dependence(spark, sf):
+    """Value against attribution of two chosen ratios."""
+    return at.dependence(run_of(spark, sf).attribution(), DEPENDENCE)
+
+
+@query("attribution_breakdown")
+def q_attribution_breakdown(spark, sf):
+    """All attributions of two rows: the test rows with the highest and lowest default probability."""
+    run = run_of(spark, sf)
+    attr = run.attribution()
+    pd_ = at.probabilities(attr, KEY)
+    ends = pd_.orderBy(F.desc("pd"), KEY).limit(1).unionByName(pd_.orderBy("pd", KEY).limit(1))
+    return at.breakdown(attr, KEY, ends)
+
+
+@query("attribution_probability")
+def q_attribution_probability(spark, sf):
+    """Expected and estimated default probability of every test row."""
+    return at.probabilities(run_of(spark, sf).attribution(), KEY)

@@ -7,12 +7,15 @@ runs on Spark.
 
 from __future__ import annotations
 
-from ..functions.numeric import (ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_LOW, PPF_0999,
-                                 SQRT_2PI, WEST_DEN, WEST_NUM, WEST_SPLIT, WEST_TAIL_DIV,
-                                 WEST_ZERO_BEYOND)
 from ..sources.schemas import RATIOS
-from .testbed import SECTOR_BY_MOD12
 
+# Fixed values, restated: what the twins check must not come from the code they check.
+SECTOR_BY_MOD12 = [10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, None]
+SECTOR_NAMES = [
+    (10, "Energy"), (15, "Materials"), (20, "Industrials"), (25, "Consumer Discretionary"),
+    (30, "Consumer Staples"), (35, "Health Care"), (40, "Financials"), (45, "Information Technology"),
+    (50, "Communication Services"), (55, "Utilities"), (60, "Real Estate"),
+]
 INF = "CAST('Infinity' AS DOUBLE)"
 
 
@@ -271,52 +274,42 @@ def with_ctes(ctes: dict[str, str], body: str, needed: list[str] | None = None)
 
 # --------------------------------------------------------------------------- entry C
 
-def _poly(coefs, x: str) -> str:
-    acc = lit(coefs[0])
-    for c in coefs[1:]:
-        acc = f"({acc} * {x} + {lit(c)})"
-    return acc
+def simpson_cdf(x: str, n: int = 2000) -> str:
+    """Normal CDF by integration: 0.5 + Simpson's rule of the density on [0, x]."""
+    h = f"(({x}) / {n})"
+    return (f"({lit(0.5)} + {h} / 3.0 * list_sum(list_transform(range(0, {n + 1}), lambda i: "
+            f"(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * "
+            f"exp(-0.5 * (i * {h}) * (i * {h})))) / sqrt(2 * pi()))")
 
 
-def cdf_sql(x: str) -> str:
-    """Same published rational form as the Spark expression (for capital checks)."""
-    z = f"abs({x})"
-    e = f"exp(-{z} * {z} / {lit(2.0)})"
-    frac = (f"({z} + {lit(1.0)} / ({z} + {lit(2.0)} / ({z} + {lit(3.0)} / ({z} + {lit(4.0)} / "
-            f"({z} + {lit(0.65)})))))")
-    tail = (f"(CASE WHEN {z} > {lit(WEST_ZERO_BEYOND)} THEN {lit(0.0)} WHEN {z} < {lit(WEST_SPLIT)} "
-            f"THEN {e} * {_poly(WEST_NUM, z)} / {_poly(WEST_DEN, z)} "
-            f"ELSE {e} / {frac} / {lit(WEST_TAIL_DIV)} END)")
-    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0 THEN {tail} ELSE {lit(1.0)} - {tail} END)"
-
-
-def acklam_sql(p: str) -> str:
-    q = f"({p} - {lit(0.5)})"
-    r = f"({q} * {q})"
-    tlo = f"sqrt({lit(-2.0)} * ln({p}))"
-    thi = f"sqrt({lit(-2.0)} * ln({lit(1.0)} - {p}))"
-    return (f"(CASE WHEN {p} < {lit(ACKLAM_LOW)} THEN {_poly(ACKLAM_C, tlo)} / {_poly(ACKLAM_D, tlo)} "
-            f"WHEN {p} > {lit(1.0 - ACKLAM_LOW)} THEN -{_poly(ACKLAM_C, thi)} / {_poly(ACKLAM_D, thi)} "
-            f"ELSE {q} * {_poly(ACKLAM_A, r)} / {_poly(ACKLAM_B, r)} END)")
+def newton_ctes(source: str, prefix: str, iters: int = 16, n: int = 2000) -> dict[str, str]:
+    """Normal quantiles ``x`` of the ``p`` of a CTE, by Newton's method on the integral."""
+    steps = {f"{prefix}0": f"SELECT p, CAST(0.0 AS DOUBLE) AS x FROM {source}"}
+    for k in range(1, iters + 1):
+        steps[f"{prefix}{k}"] = (f"SELECT p, x - ({simpson_cdf('x', n)} - p) / (exp(-0.5 * x * x) / sqrt(2 * pi())) "
+                                 f"AS x FROM {prefix}{k - 1}")
+    return steps
 
 
 def capital_ctes(src: str) -> dict[str, str]:
-    """Staged capital per row of ``src`` (needs pd, LGD, Maturity, FacilityAmt, ExchangeRate)."""
+    """Capital per row of ``src`` (needs pd, LGD, Maturity, FacilityAmt, ExchangeRate). The
+    normal distribution is integrated and inverted once per distinct PD, with no
+    code or coefficients in common with the Spark side."""
+    n = 4000
     return {
-        "cp1": f"SELECT *, CASE WHEN pd > 0 AND pd < 1 THEN {acklam_sql('pd')} END AS x0 FROM {src}",
-        "cp2": f"""SELECT *, x0 - u / ({lit(1.0)} + x0 * u / {lit(2.0)}) AS ppf FROM (
-  SELECT *, ({cdf_sql('x0')} - pd) * {lit(SQRT_2PI)} * exp(x0 * x0 / {lit(2.0)}) AS u FROM cp1)""",
-        "cp3": f"""SELECT *, ppf / sqrt({lit(1.0)} - r) + sqrt(r / ({lit(1.0)} - r)) * {lit(PPF_0999)} AS xin FROM (
+        "pds": f"""SELECT DISTINCT pd AS p FROM {src} WHERE pd >= {lit(2.93e-6)} AND pd < {lit(0.5)}
+UNION SELECT {lit(0.999)} AS p""",
+        **newton_ctes("pds", "q", 14, n),
+        "cp1": f"""SELECT p, x / sqrt({lit(1.0)} - r) + sqrt(r / ({lit(1.0)} - r)) * (SELECT x FROM q14 WHERE p = {lit(0.999)}) AS xin,
+  pow({lit(0.11852)} - {lit(0.05478)} * ln(p), 2) AS b FROM (
   SELECT *, {lit(0.12)} * w + {lit(0.24)} * ({lit(1.0)} - w) AS r FROM (
-    SELECT *, ({lit(1.0)} - exp({lit(-50.0)} * pd)) / ({lit(1.0)} - exp({lit(-50.0)})) AS w FROM cp2))""",
-        "cp4": f"""SELECT *, {cdf_sql('xin')} AS phi,
-  ({lit(0.11852)} - {lit(0.05478)} * ln(CASE WHEN pd > 0 THEN pd END))
-  * ({lit(0.11852)} - {lit(0.05478)} * ln(CASE WHEN pd > 0 THEN pd END)) AS b FROM cp3""",
-        "cpx": f"""SELECT * EXCLUDE (x0, u, ppf, w, r, xin, phi, b),
+    SELECT *, ({lit(1.0)} - exp({lit(-50.0)} * p)) / ({lit(1.0)} - exp({lit(-50.0)})) AS w FROM q14))""",
+        "cp2": f"SELECT p, b, {simpson_cdf('xin', n)} AS phi FROM cp1",
+        "cpx": f"""SELECT s.*,
   CASE WHEN pd IS NULL THEN NULL WHEN pd < {lit(2.93e-6)} THEN {lit(0.0)} WHEN pd >= {lit(0.5)} THEN {lit(0.0)}
   ELSE (LGD * phi - LGD * pd) * ({lit(1.0)} + ({dbl('Maturity')} / {lit(12.0)} - {lit(2.5)}) * b)
        / ({lit(1.0)} - {lit(1.5)} * b) * {lit(1.25)} * {lit(1.06)} * FacilityAmt * ExchangeRate * {lit(0.08)}
-  END AS CR FROM cp4""",
+  END AS CR FROM {src} s LEFT JOIN cp2 ON s.pd = cp2.p""",
     }
 
 
