@@ -88,13 +88,31 @@ def test_prefix_and_bitmap_bounds_lose_no_link():
         if not len(b):
             continue
         common = len(np.intersect1d(a, b))
-        bits = np.bitwise_count(np.frombuffer(ngram_join.bitmap(a), np.uint8) ^ np.frombuffer(ngram_join.bitmap(b), np.uint8)).sum()
+        x, y = ngram_join.bitmap(a), ngram_join.bitmap(b)
+        words = min(len(x), len(y)) // 8
+        bits = np.bitwise_count(ngram_join.folded(x, words) ^ ngram_join.folded(y, words)).sum()
         assert common <= (len(a) + len(b) - int(bits)) // 2
         if ngram_join.linked(common, len(a), len(b)):
             first = lambda s: set(s[:len(s) + (-85 * len(s)) // 100 + 1].tolist())
             assert first(a) & first(b)
 
 
+def test_word_hashes_follow_the_words(monkeypatch):
+    rng = random.Random(12)
+    seen = {}
+    for _ in range(400):
+        t = "".join(rng.choice("aAbZ \t\n\x0b\x1cé ​") for _ in range(rng.randint(0, 60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t))
+        got = ngram_join.word_hashes(t).tolist()
+        monkeypatch.setattr(ngram_join, "CHUNK", 7)
+        assert ngram_join.word_hashes(t).tolist() == got
+        monkeypatch.setattr(ngram_join, "CHUNK", 1 << 20)
+        assert len(got) == len(words)
+        for w, h in zip(words, got):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5), (7, 3)]
