@@ -1,5 +1,8 @@
+import re
+
 import __spark_entry__ as entry
 from riskloom.plans import catalog, flows
+from riskloom.plans.testbed import DriverInputs
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,8 +41,18 @@ def test_partition_invariance(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         b = sorted(map(tuple, catalog.QUERIES["capital_table"](spark, SF).collect()))
-        c = flows.labelled_panel(spark, SF).count()
+        c = flows.labelled_panel(DriverInputs(spark, SF)).count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
-    assert c == flows.labelled_panel(spark, SF).count()
+    assert c == flows.labelled_panel(DriverInputs(spark, SF)).count()
+
+
+def test_labelled_panel_reads_each_source_at_most_twice(spark):
+    plan = _plan(flows.unwinsorized_panel(DriverInputs(spark, SF)))
+    scans = re.findall(r"Location: InMemoryFileIndex.*?\[([^\]]*)\]", plan)
+    source = [s for s in scans if SF in s]
+    assert 0 < len(source) <= 4
+    for name in ("lineitem", "orders", "customer"):
+        assert sum(f"/{name}.parquet" in s for s in source) <= 2, name
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -68,3 +68,11 @@ def test_fround_half_away_from_zero(spark):
     df = spark.createDataFrame([(2.5,), (-2.5,), (0.125,), (INF,), (None,)], "x double")
     assert [r.y for r in df.select(fround("x", 0).alias("y")).collect()][:2] == [3.0, -3.0]
     assert [r.y for r in df.select(fround("x", 2).alias("y")).collect()][2:] == [0.13, INF, None]
+
+
+def test_fround_of_large_values(spark):
+    values = [1e10, 1e12, -5e11, 1e17, float("inf"), 2.5, -2.5, 0.1234567894999, 123456.7890123456]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.y for r in df.select(fround("x", 9).alias("y")).collect()]
+    assert got[:5] == values[:5]
+    assert got[5:] == [2.5, -2.5, 0.123456789, 123456.789012346]

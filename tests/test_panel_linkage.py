@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import labels as lab
@@ -61,9 +62,22 @@ def test_event_window_bounds(spark):
     panel = spark.createDataFrame([(1, D(2000, 2, 29)), (2, D(2001, 6, 30))], "gvkey long, datadate date")
     ev = spark.createDataFrame([(1, D(2000, 2, 29)), (1, D(2001, 2, 28)), (1, D(2001, 2, 27)),
                                 (2, D(2002, 6, 30)), (2, D(2001, 7, 1))], "gvkey long, event_date date")
-    got = {r.gvkey: r.d for r in lk.attach_event_window(panel, ev, "d").collect()}
-    assert got[1] == D(2001, 2, 27)                # on datadate and on +1y (Feb-28) excluded
-    assert got[2] == D(2001, 7, 1)
+    ev = ev.withColumn("kind", F.lit("x")).unionByName(
+        ev.where("gvkey = 1").withColumn("event_date", F.date_sub("event_date", 30)).withColumn("kind", F.lit("y")))
+    out = lk.attach_event_windows(panel, ev, {"d": "x", "e": "y"})
+    got = {r.gvkey: (r.d, r.e) for r in out.collect()}
+    assert got[1] == (D(2001, 2, 27), D(2001, 1, 29))  # on datadate and on +1y (Feb-28) excluded
+    assert got[2] == (D(2001, 7, 1), None)
+    assert out.count() == 2 and out.columns == ["gvkey", "datadate", "d", "e"]
+
+
+def test_malformed_dates_raise_unless_allowed(spark):
+    df = spark.createDataFrame([("20000131",), (None,), ("2000131x",)], "d string")
+    assert [r.x for r in df.select(pn.yyyymmdd_to_date("d", strict=False).alias("x")).collect()] == [D(2000, 1, 31), None, None]
+    fine = spark.createDataFrame([("20000131",), (None,)], "d string")
+    assert [r.x for r in fine.select(pn.yyyymmdd_to_date("d").alias("x")).collect()] == [D(2000, 1, 31), None]
+    with pytest.raises(Exception, match="not a date"):
+        df.select(pn.yyyymmdd_to_date("d").alias("x")).collect()
 
 
 def test_first_default_and_sector_filter(spark):

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from riskloom.operators import prep, resample, stats
+from riskloom.operators import neighbors, prep, resample, stats
 from riskloom.operators.neighbors import knn
 
 INF = float("inf")
@@ -39,6 +39,17 @@ def test_order_statistics_exact_with_small_sketch(spark):
     assert [got[("x", r)] for r in ranks] == [s[r] for r in ranks]
 
 
+def test_order_statistics_narrow_their_brackets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BRACKET_ROWS", 5)
+    rng = random.Random(4)
+    vals = [rng.choice([-INF, 0.0, 1.0, INF]) if rng.random() < 0.3 else rng.gauss(0, 1) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    s = sorted(vals)
+    ranks = [0, 1, 40, 1999, 2000, 3700, 3999]
+    got = stats.order_statistics(df, {"x": ranks}, accuracy=20)
+    assert [got[("x", r)] for r in ranks] == [s[r] for r in ranks]
+
+
 def test_describe_quartiles_linear(spark):
     vals = [1.0, 2.0, 4.0, 8.0, None]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
@@ -82,7 +93,7 @@ def test_knn_matches_brute_force(spark):
     rows = [(i, *[None if np.isnan(v) else float(v) for v in p]) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")
     q = df.where("id < 20")
-    got = {(r.qid, r.nn): r.pid for r in knn(q, df, ["a", "b", "c"], 4, nan_aware=True, exclude_self=True).collect()}
+    got = {(r.qid, r.nn): r.pid for r in knn(q, df, ["a", "b", "c"], 4, exclude_self=True).collect()}
     for i in range(20):
         d = []
         for j in range(300):
@@ -96,6 +107,54 @@ def test_knn_matches_brute_force(spark):
         assert [got[(i, k)] for k in range(1, 5)] == expect
 
 
+def test_knn_blocks_and_cells_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "POINTS_PER_PIVOT", 20)
+    monkeypatch.setattr(neighbors, "POINT_BLOCK", 7)
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(1)
+    pts = rng.normal(size=(200, 3)).round(1)  # many ties
+    pts[rng.random(pts.shape) < 0.2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {}
+    for r in knn(df, df, ["a", "b", "c"], 3, exclude_self=True).collect():
+        got.setdefault(r.qid, []).append((r.nn, r.pid))
+    for i in range(200):
+        d = []
+        for j in range(200):
+            m = ~np.isnan(pts[i]) & ~np.isnan(pts[j])
+            if j != i and m.any():
+                d.append((math.sqrt(((pts[i][m] - pts[j][m]) ** 2).sum() * 3 / m.sum()), j))
+        want = [j for _, j in sorted(d, key=lambda x: (round(x[0], 12), x[1]))[:3]]
+        dist = dict((j, x) for x, j in d)
+        have = [p for _, p in sorted(got.get(i, []))]
+        assert [round(dist[p], 9) for p in have] == [round(dist[p], 9) for p in want]
+
+
+def test_imputation_on_several_missing_patterns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 4))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[0] = np.nan  # no common coordinate with anyone: column means
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in p]) for i, p in enumerate(x)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    got = {r.id: [r.a, r.b, r.c, r.d] for r in prep.knn_impute(df, "id", names, k=5).collect()}
+    mean = np.nanmean(x, axis=0)
+    for i in range(150):
+        for c in range(4):
+            if not np.isnan(x[i, c]):
+                assert got[i][c] == x[i, c]
+                continue
+            d = []
+            for j in range(150):
+                m = ~np.isnan(x[i]) & ~np.isnan(x[j])
+                if not np.isnan(x[j, c]) and m.any():
+                    d.append((math.sqrt(((x[i][m] - x[j][m]) ** 2).sum() * 4 / m.sum()), j))
+            want = np.mean([x[j, c] for _, j in sorted(d)[:5]]) if d else mean[c]
+            assert abs(got[i][c] - want) < 1e-9
+
+
 def test_smote_points_on_segments(spark):
     rng = random.Random(1)
     rows = [(i, rng.random(), rng.random(), 1 if i < 12 else 0) for i in range(400)]
