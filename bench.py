@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from riskloom.plans import catalog  # noqa: E402
+from riskloom.plans import catalog, closed_forms  # noqa: E402
 from riskloom.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -28,6 +28,8 @@ HEADLINE = [
     "corr_pairs",       # 171 correlations in one pass
     "knn_impute",       # exact neighbour search
     "strat_split",      # exact stratified split
+    "smote",            # minority neighbours and synthetic rows
+    "stump_cv",         # five distributed model fits and their metrics
 ]
 
 
@@ -36,15 +38,18 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus),
                           extra={"spark.driver.memory": "16g"})
+    queries = {**catalog.QUERIES, **closed_forms.QUERIES}
     times: dict[str, float] = {}
+    warm: dict[str, float] = {}
     for name in HEADLINE:
-        t0 = time.time()
-        df = catalog.QUERIES[name](spark, sf)
-        df.write.mode("overwrite").format("noop").save()
-        times[name] = round(time.time() - t0, 3)
-        print(f"{name}: {times[name]}s", file=sys.stderr)
+        for kept in (times, warm):  # the second run finds compiled code, nothing else
+            t0 = time.time()
+            queries[name](spark, sf).write.mode("overwrite").format("noop").save()
+            kept[name] = round(time.time() - t0, 3)
+            spark.catalog.clearCache()
+        print(f"{name}: {times[name]}s, warm {warm[name]}s", file=sys.stderr)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")),
+                      "unit": "sec", "queries": times, "warm": warm, "sf": os.path.basename(sf.rstrip("/")),
                       "cpus": int(cpus)}))
     spark.stop()
 
