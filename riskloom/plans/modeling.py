@@ -42,8 +42,8 @@ SEED = 0
 # Parameters of the registered queries; any others can be passed to a StudyRun.
 PARAMS: dict[str, dict] = {
     "lr": {},
-    "lasso": {"C": 1.0, "max_iter": 200},
-    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 200},
+    "lasso": {"C": 1.0, "max_iter": 100},
+    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 50},
     "rf": {"n_estimators": 50, "max_depth": 5},
     "gb": {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1},
 }

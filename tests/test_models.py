@@ -1,6 +1,7 @@
 """Models on data with a planted signal, and the run that ties entry A, B and C."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -15,6 +16,8 @@ from riskloom.sources import io
 from riskloom.sources.schemas import INPUTS, RATIOS
 
 SF = "/root/testdata/sf0.001"
+# many fits of many distributed iterations: minutes on a laptop, so on request only
+slow = pytest.mark.skipif(not os.environ.get("RISKLOOM_SLOW"), reason="set RISKLOOM_SLOW=1")
 
 
 def _planted(spark, n=400, seed=0, ring=False):
@@ -36,6 +39,7 @@ SMALL = {"lr": {"max_iter": 20}, "lasso": {"max_iter": 15}, "svm": {"max_iter":
          "rf": {"n_estimators": 5, "max_depth": 3}, "gb": {"n_estimators": 3}}
 
 
+@slow
 def test_every_family_finds_a_planted_signal(spark):
     train, test = _planted(spark), _planted(spark, seed=1)
     for name in md.MODEL_NAMES:
@@ -47,6 +51,7 @@ def test_every_family_finds_a_planted_signal(spark):
         assert cv.model == name and cv.accuracy > 0.85
 
 
+@slow
 def test_kernels_see_what_a_line_cannot(spark):
     train, test = _planted(spark, ring=True), _planted(spark, seed=1, ring=True)
     def accuracy(**params):
@@ -59,6 +64,7 @@ def test_kernels_see_what_a_line_cannot(spark):
         md.kernel_map({"kernel": "other"}, train)
 
 
+@slow
 def test_random_features_approach_the_kernels(spark):
     df = _planted(spark, n=40)
     x = np.array([r.features.toArray() for r in df.collect()])
@@ -69,6 +75,7 @@ def test_random_features_approach_the_kernels(spark):
         assert np.abs(z @ z.T - kernel).mean() < 0.05
 
 
+@slow
 def test_platt_scaling_uses_margins_of_other_rows(spark):
     rng = random.Random(3)
     rows = [(i, *[rng.gauss(0, 1) for _ in range(12)], float(rng.random() < 0.5)) for i in range(120)]  # noise only
@@ -80,6 +87,7 @@ def test_platt_scaling_uses_margins_of_other_rows(spark):
     assert spread < 0.15  # in-sample margins would look far more certain
 
 
+@slow
 def test_search_tries_all_draws_and_fits_the_best(spark):
     train = _planted(spark)
     draws = [{"n_estimators": 1, "max_depth": 1}, {"n_estimators": 8, "max_depth": 4}, {"n_estimators": 2, "max_depth": 1}]
@@ -147,6 +155,7 @@ def _write_study(spark, folder):
         io.write_table(spark.createDataFrame(values, INPUTS[name]), f"{folder}/{name}.csv", fmt="csv")
 
 
+@slow
 def test_study_from_files_through_all_entries(spark, tmp_path):
     _write_study(spark, str(tmp_path))
     inputs = io.read_study(spark, str(tmp_path))
@@ -174,6 +183,7 @@ def test_study_from_files_through_all_entries(spark, tmp_path):
         r.close()
 
 
+@slow
 def test_smote_above_its_ratio_raises(spark, tmp_path):
     _write_study(spark, str(tmp_path))
     with pytest.raises(ValueError, match="already above"):
