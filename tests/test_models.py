@@ -100,7 +100,7 @@ def test_search_tries_all_draws_and_fits_the_best(spark):
     assert {d["degree"] for d in md.sample_params("svm", 200) if "degree" in d} <= set(range(2, 9))
 
 
-def test_study_iterations_are_the_defaults():
+def test_study_iterations_are_the_defaults(spark):
     assert md.make_estimator("lr", {}, 10).getMaxIter() == 1000
     assert md.make_estimator("lasso", {}, 10).getMaxIter() == 3000
     svm = md.make_estimator("svm", {}, 10)
