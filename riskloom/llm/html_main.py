@@ -3,10 +3,11 @@
 Each page is parsed into blocks of text and the element subtrees that span
 them. Every subtree is hashed over its tags and text; Spark counts, per host,
 how many different pages hold each hash, and subtrees that recur on many pages
-of their host are template and deleted. What a tag or its class already names
-as boilerplate (menus, forms, adverts, comments, ...) is never a block at all,
-and where a page marks its article, only the article counts; inside it, single
-paragraphs are content even if other pages repeat them.
+of their host are template and deleted, inside an article as anywhere else.
+What a tag or its class already names as boilerplate (menus, forms, adverts,
+comments, ...) is never a block at all. The article mark serves as a guard only:
+a short paragraph, item or cell in an article is deleted if most pages hold it,
+since fewer may repeat it by chance.
 
 Pages are parsed twice, for the hashes and for the text, because parsing is
 cheaper than storing the text of all pages in between.
@@ -25,6 +26,8 @@ from riskloom.llm.shared import map_arrow, materialize
 
 MIN_PAGES = 5
 MIN_SHARE = 0.4
+SHORT = 40               # characters under which the guard holds
+GUARD_SHARE = 0.8
 SALTS = 16
 
 _TOKEN = re.compile(
@@ -68,6 +71,10 @@ def _boilerplate(tag: str, attr: str, in_article: bool) -> bool:
     return False
 
 
+def _digest(said: str) -> int:
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 class _Open:
     __slots__ = ("tag", "dropped", "article", "first", "parts", "kids", "start")
 
@@ -77,8 +84,9 @@ class _Open:
 
 
 def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
-    """(blocks, block lies in an article, (hash, first block, end block) of the
-    subtrees that may be template), of a whole page."""
+    """(blocks, block lies in an article, (hash, first block, end block) of every
+    subtree below body that has text), of a whole page. The hash of a guarded
+    subtree is odd, any other is even."""
     blocks: list[str] = []
     in_article: list[bool] = []
     subtrees: list[tuple[int, int, int]] = []
@@ -100,11 +108,11 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         node = stack.pop()
         if node.dropped or node.first == len(blocks):
             return
-        if node.tag in ("html", "body", "article", "main") or (node.article and node.tag in TEXT_LEVEL):
+        if node.tag in ("html", "body"):
             return
-        said = "\x00".join([node.tag, *blocks[node.first:]])
-        digest = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-        subtrees.append((digest, node.first, len(blocks)))
+        digest = _digest("\x00".join([node.tag, *blocks[node.first:]]))
+        guarded = node.article and node.tag in TEXT_LEVEL and sum(map(len, blocks[node.first:])) < SHORT
+        subtrees.append((digest | 1 if guarded else digest & ~1, node.first, len(blocks)))
 
     at, n = 0, len(html)
     while at < n:
@@ -162,24 +170,14 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     return blocks, in_article, subtrees
 
 
-def _parts(html: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Blocks and subtrees of what counts: the article if the page marks one, or else everything."""
-    blocks, inside, trees = parse(html or "")
-    if not any(inside):
-        return blocks, trees
-    at = [0]
-    for x in inside:
-        at.append(at[-1] + x)
-    return [b for b, x in zip(blocks, inside) if x], [(d, at[s], at[e]) for d, s, e in trees if at[s] < at[e]]
-
-
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``.
 
     A subtree is template if at least ``min_pages`` different pages of the host,
-    and ``min_share`` of them, hold it; copies of a page count once. A null or
-    empty html has the empty text. A null url is a host of its own. Repeated
-    rows give repeated results; an empty table gives no rows.
+    and ``min_share`` of them, hold it (``GUARD_SHARE`` of them if it is guarded);
+    pages with the same text count once. A null or empty html has the empty text.
+    A null url is a host of its own. Repeated rows give repeated results; an empty
+    table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -187,18 +185,22 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     def hasher():
         def step(cols):
-            out = {"host": cols["host"], "page": cols["page"], "hashes": []}
+            out = {"host": cols["host"], "page": cols["page"], "said": [], "hashes": []}
             for html in cols["html"]:
-                out["hashes"].append(sorted({t[0] for t in _parts(html)[1]}))
+                blocks, _, trees = parse(html or "")
+                out["said"].append(_digest("\x00".join(blocks)))
+                out["hashes"].append(sorted({t[0] for t in trees}))
             return out
         return step
 
     hashed = materialize(map_arrow(source.select("host", "page", "html"), hasher,
-                                   "host string, page long, hashes array<long>").distinct(), "subtrees")
+                                   "host string, page long, said long, hashes array<long>").distinct(), "subtrees")
     seen = hashed.select("host", "page", F.explode("hashes").alias("hash"))
-    totals = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    template = (counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * min_share)
+    totals = hashed.select("host", "said").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    texts = hashed.select("host", "said", F.explode("hashes").alias("hash")).distinct()
+    counts = texts.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    share = F.when(F.col("hash").bitwiseAND(1) == 1, max(min_share, GUARD_SHARE)).otherwise(min_share)
+    template = (counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * share)
                 .select("host", "hash", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")))
     # the page side of a common subtree is spread over the salts
     hit = (seen.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
@@ -211,7 +213,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         def step(cols):
             texts = []
             for html, template in zip(cols["html"], cols["template"]):
-                blocks, trees = _parts(html)
+                blocks, _, trees = parse(html or "")
                 keep = [True] * len(blocks)
                 lost = set(template or ())
                 for h, s, e in trees:

@@ -218,6 +218,21 @@ def test_recurring_subtrees_go_and_copies_count_once(spark):
     assert got[200] == "Site name Since 1999 Story 0 starts. Of. It ends 0. All rights reserved"
 
 
+def test_counts_decide_inside_and_outside_articles(spark):
+    def html(i):
+        return (f"<body><div>Plain text number {i} beside a teaser.</div><article class=card><h3>Teaser</h3>Read it</article>"
+                f"<main><p>Story {i} has its own words.</p><p>Get our letter every week, it is free</p>"
+                f"<p>{'Of.' if i % 2 else 'So it is.'}</p></main><script>var nonce={i}</script></body>")
+    rows = [(i, f"http://a.example/{i}", html(i)) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", html(7).replace("nonce=7", f"nonce={i}")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows)).collect()}
+    # a short paragraph on half of the pages is a chance repeat (the guard), one on every page is template
+    assert all(got[i] == f"Plain text number {i} beside a teaser. Story {i} has its own words. {'Of.' if i % 2 else 'So it is.'}"
+               for i in range(12))
+    assert got[105] == ("Plain text number 7 beside a teaser. Teaser Read it Story 7 has its own words. "
+                        "Get our letter every week, it is free Of.")
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(9)
     parts = ["<p>", "</p>", "<div class=\"a", "\">", "<li>", "</ul>", "text", "&amp;", "<", ">", "<!--", "-->", "<b>", "</b>",
