@@ -5,7 +5,8 @@ them. Every subtree is hashed over its tags and text; Spark counts, per host,
 how many different pages hold each hash, and subtrees that recur on many pages
 of their host are template and deleted, inside an article as anywhere else.
 What a tag or its class already names as boilerplate (menus, forms, adverts,
-comments, ...) is never a block at all. The article mark serves as a guard only:
+comments, ...) is never a block at all; class names count as a whole, and never
+those of the page, its article or what the article lies in. The article mark serves as a guard only:
 a short paragraph, item or cell in an article is deleted if most pages hold it,
 since fewer may repeat it by chance.
 
@@ -48,6 +49,9 @@ DROP_WORDS = frozenset(
     "disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices paywall popup promo "
     "promoted promotion recommended related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split())
+# What a class name may hold beside such words: "share-box" names a part of a page, "no-sidebar" its layout.
+PART_WORDS = frozenset("area block box container inner items links list outer panel section wrap wrapper".split())
+NEVER_BY_WORD = frozenset("html body main article".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -66,8 +70,19 @@ def _boilerplate(tag: str, attr: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in DROP_ROLES:
             return True
-        if name in ("class", "id") and DROP_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
-            return True
+    return False
+
+
+def _named(tag: str, attr: str) -> bool:
+    """Whether a whole class name or id says boilerplate."""
+    if not attr or tag in NEVER_BY_WORD:
+        return False
+    for name, value in _ATTR.findall(attr):
+        if name.lower() in ("class", "id"):
+            for whole in value.strip("\"'").lower().split():
+                rest = set(re.split(r"[-_]+", whole)) - PART_WORDS
+                if rest and rest <= DROP_WORDS:
+                    return True
     return False
 
 
@@ -76,11 +91,10 @@ def _digest(said: str) -> int:
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "article", "first", "parts", "kids", "start")
+    __slots__ = ("tag", "dropped", "article", "first", "named")
 
-    def __init__(self, tag, dropped, article, first, start):
-        self.tag, self.dropped, self.article, self.first = tag, dropped, article, first
-        self.kids, self.start = [], start
+    def __init__(self, tag, dropped, article, first, named=False):
+        self.tag, self.dropped, self.article, self.first, self.named = tag, dropped, article, first, named
 
 
 def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
@@ -92,6 +106,7 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
     stack: list[_Open] = []
+    marked: set[str] = set()
 
     def dropped():
         return bool(stack) and stack[-1].dropped
@@ -108,6 +123,11 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         node = stack.pop()
         if node.dropped or node.first == len(blocks):
             return
+        if node.named:  # and no article came up in it
+            del blocks[node.first:], in_article[node.first:]
+            while subtrees and subtrees[-1][2] > node.first:
+                subtrees.pop()
+            return
         if node.tag in ("html", "body"):
             return
         digest = _digest("\x00".join([node.tag, *blocks[node.first:]]))
@@ -130,8 +150,9 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         tag = tag.lower()
         if m["close"]:
             if tag in INLINE:
-                if any(o.tag == tag for o in stack[-1:]) and stack[-1].dropped:
-                    stack.pop()
+                if stack and stack[-1].tag == tag:
+                    flush()
+                    pop()
                 continue
             flush()
             if any(o.tag == tag for o in stack):
@@ -149,10 +170,11 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
             continue
         article = (bool(stack) and stack[-1].article) or tag in ("article", "main")
         drop = dropped() or _boilerplate(tag, m["attr"], article)
+        named = not drop and _named(tag, m["attr"])
         if tag in INLINE:
-            if drop and not dropped() and not m["attr"].endswith("/"):
+            if (named or drop) and not dropped() and not m["attr"].endswith("/"):
                 flush()
-                stack.append(_Open(tag, True, article, len(blocks), at))
+                stack.append(_Open(tag, drop, article, len(blocks), named))
             continue
         flush()
         if tag in ENDS_P and any(o.tag == "p" for o in stack[-4:]):
@@ -163,7 +185,11 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         closing = CLOSES.get(tag, ())
         while stack and stack[-1].tag in closing:
             pop()
-        stack.append(_Open(tag, drop or dropped(), article, len(blocks), at))
+        if tag in ("article", "main") and not drop and tag not in marked:
+            marked.add(tag)  # the article itself, not a comment or teaser after it: what it lies in is no boilerplate
+            for o in stack:
+                o.named = False
+        stack.append(_Open(tag, drop, article, len(blocks), named))
     flush()
     while stack:
         pop()

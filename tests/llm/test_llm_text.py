@@ -233,6 +233,23 @@ def test_counts_decide_inside_and_outside_articles(spark):
                         "Get our letter every week, it is free Of.")
 
 
+def test_class_words_on_wrappers_drop_nothing():
+    text = lambda html: " ".join(html_main.parse(html)[0])
+    for wrapper in ("<body class='page no-sidebar'><article>{}</article>", "<body class=sidebar><main>{}</main>",
+                    "<div id='content' class='has-sidebar'><p>{}</p></div>", "<article class='post comments-open'>{}</article>",
+                    "<article class=notice><p>{}</p></article>", "<div class=comments><div class=ad><article>{}</article></div></div>",
+                    "<div class='sidebar'>{}<main>x</main></div>"):
+        assert "all of it" in text(wrapper.format("all of it")), wrapper
+    for wrapper in ("<div class='share-box'>{}</div>", "<div class='x ad'><p>{}</p></div>", "<section id=comments><p>{}</section>",
+                    "<div id='cookie_notice'>{}</div>", "a <span class=ad>{}</span> b", "<div class='menu list'>{}</div>"):
+        assert "all of it" not in text(f"<article>text</article>{wrapper.format('all of it')}<p>end"), wrapper
+        assert text(f"<article>text</article>{wrapper.format('all of it')}<p>end").endswith("end")
+    # the comments' own articles are not the page's
+    assert text("<article>text</article><div class=comments><article>I disagree</article></div>") == "text"
+    blocks, inside, trees = html_main.parse("<div><p>a</p><div class=ad><p>b</p><p>c</p></div><p>d</p></div>")
+    assert blocks == ["a", "d"] and len(inside) == 2 and sorted(t[1:] for t in trees) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(9)
     parts = ["<p>", "</p>", "<div class=\"a", "\">", "<li>", "</ul>", "text", "&amp;", "<", ">", "<!--", "-->", "<b>", "</b>",
