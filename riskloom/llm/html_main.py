@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
 Each page is parsed into blocks of text and the element subtrees that span
-them. Every subtree is hashed over its tags and text; Spark counts, per host,
-how many different pages hold each hash, and subtrees that recur on many pages
-of their host are template and deleted, inside an article as anywhere else.
+them. Every subtree is hashed over its tags and text; Spark counts, per host and
+per section of it (the first segment of the path), how many different pages hold
+each hash, and subtrees that recur on many pages of their host, by share or by
+number, or on a large share of a section are template and deleted, inside an article as anywhere else.
 What a tag or its class already names as boilerplate (menus, forms, adverts,
 comments, ...) is never a block at all; class names count as a whole, and never
 those of the page, its article or what the article lies in. The article mark serves as a guard only:
@@ -29,6 +30,7 @@ MIN_PAGES = 5
 MIN_SHARE = 0.4
 SHORT = 40               # characters under which the guard holds
 GUARD_SHARE = 0.8
+MANY_PAGES = 100         # template whatever the share, but for paragraphs, items and cells under SHORT
 SALTS = 16
 
 _TOKEN = re.compile(
@@ -99,8 +101,9 @@ class _Open:
 
 def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
     """(blocks, block lies in an article, (hash, first block, end block) of every
-    subtree below body that has text), of a whole page. The hash of a guarded
-    subtree is odd, any other is even."""
+    subtree below body that has text), of a whole page. The two low bits of the
+    hash are 3 for a guarded subtree, 1 for any other short paragraph, item or
+    cell, else 0."""
     blocks: list[str] = []
     in_article: list[bool] = []
     subtrees: list[tuple[int, int, int]] = []
@@ -131,8 +134,8 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         if node.tag in ("html", "body"):
             return
         digest = _digest("\x00".join([node.tag, *blocks[node.first:]]))
-        guarded = node.article and node.tag in TEXT_LEVEL and sum(map(len, blocks[node.first:])) < SHORT
-        subtrees.append((digest | 1 if guarded else digest & ~1, node.first, len(blocks)))
+        short = node.tag in TEXT_LEVEL and sum(map(len, blocks[node.first:])) < SHORT
+        subtrees.append((digest & ~3 | ((3 if node.article else 1) if short else 0), node.first, len(blocks)))
 
     at, n = 0, len(html)
     while at < n:
@@ -196,22 +199,25 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     return blocks, in_article, subtrees
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``.
 
     A subtree is template if at least ``min_pages`` different pages of the host,
-    and ``min_share`` of them, hold it (``GUARD_SHARE`` of them if it is guarded);
-    pages with the same text count once. A null or empty html has the empty text.
+    and ``min_share`` of them, hold it (``GUARD_SHARE`` of them if it is guarded),
+    if the same is true of the pages of a section, or if ``many_pages`` of the host
+    hold it and it is no short paragraph, item or cell. Pages with the same text count once. A null or empty html has the empty text.
     A null url is a host of its own. Repeated rows give repeated results; an empty
     table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    section = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/+([^/?#]+)/", 1), F.lit(""))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                          host.alias("host"), F.xxhash64("html").alias("page"), "html")
+                          host.alias("host"), section.alias("section"), F.xxhash64("html").alias("page"), "html")
 
     def hasher():
         def step(cols):
-            out = {"host": cols["host"], "page": cols["page"], "said": [], "hashes": []}
+            out = {"host": cols["host"], "section": cols["section"], "page": cols["page"], "said": [], "hashes": []}
             for html in cols["html"]:
                 blocks, _, trees = parse(html or "")
                 out["said"].append(_digest("\x00".join(blocks)))
@@ -219,21 +225,30 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             return out
         return step
 
-    hashed = materialize(map_arrow(source.select("host", "page", "html"), hasher,
-                                   "host string, page long, said long, hashes array<long>").distinct(), "subtrees")
-    seen = hashed.select("host", "page", F.explode("hashes").alias("hash"))
-    totals = hashed.select("host", "said").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    texts = hashed.select("host", "said", F.explode("hashes").alias("hash")).distinct()
-    counts = texts.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    share = F.when(F.col("hash").bitwiseAND(1) == 1, max(min_share, GUARD_SHARE)).otherwise(min_share)
-    template = (counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * share)
-                .select("host", "hash", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")))
+    hashed = materialize(map_arrow(source.select("host", "section", "page", "html"), hasher,
+                                   "host string, section string, page long, said long, hashes array<long>").distinct(),
+                         "subtrees")
+    seen = hashed.select("host", "section", "page", F.explode("hashes").alias("hash"))
+    share = F.when(F.col("hash").bitwiseAND(2) == 2, max(min_share, GUARD_SHARE)).otherwise(min_share)
+    often = F.col("n") >= F.col("pages") * share
+
+    def recurring(place, enough):
+        totals = hashed.select(*place, "said").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("pages"))
+        texts = hashed.select(*place, "said", F.explode("hashes").alias("hash")).distinct()
+        counts = texts.groupBy(*place, "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+        found = counts.join(totals, place).filter(enough)
+        return found.select(*place, "hash", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+
     # the page side of a common subtree is spread over the salts
-    hit = (seen.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
-           .join(template, ["host", "hash", "salt"])
-           .groupBy("host", "page").agg(F.collect_list("hash").alias("template")))
-    hit = materialize(hit.select(F.col("host").alias("t_host"), F.col("page").alias("t_page"), "template"), "template")
-    joined = source.join(hit, (F.col("host") == F.col("t_host")) & (F.col("page") == F.col("t_page")), "left")
+    salted = seen.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+    many = (F.col("n") >= many_pages) & (F.col("hash").bitwiseAND(1) == 0)
+    of_host = salted.join(recurring(["host"], often | many), ["host", "hash", "salt"])
+    of_section = salted.join(recurring(["host", "section"], often), ["host", "section", "hash", "salt"])
+    key = ["host", "section", "page"]
+    hit = of_host.select(*key, "hash").union(of_section.select(*key, "hash")).groupBy(*key).agg(
+        F.collect_set("hash").alias("template"))
+    hit = materialize(hit.select(*[F.col(c).alias("t_" + c) for c in key], "template"), "template")
+    joined = source.join(hit, [F.col(c) == F.col("t_" + c) for c in key], "left")
 
     def assembler():
         def step(cols):

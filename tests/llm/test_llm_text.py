@@ -233,6 +233,18 @@ def test_counts_decide_inside_and_outside_articles(spark):
                         "Get our letter every week, it is free Of.")
 
 
+def test_template_of_a_section_or_of_many_pages(spark):
+    def html(i, extra):
+        return f"<body><p>Story {i} has its own words.</p>{extra}<p>It ends {i}.</p></body>"
+    rows = [(i, f"http://a.example/{'news' if i < 12 else 'shop'}/{i}", html(i, "<div>All news</div>" if i < 12 else ""))
+            for i in range(40)]  # 30 % of the host, all of a section
+    rows += [(1000 + i, f"http://b.example/{i}.html", html(i, "<div>Buy now</div>" if i % 10 < 3 else "<p>So.</p>" if i % 10 < 6 else ""))
+             for i in range(400)]  # 30 % of a host without sections
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Story {i} has its own words. It ends {i}." for i in range(40))
+    assert all(got[1000 + i] == f"Story {i} has its own words. {'So. ' if 3 <= i % 10 < 6 else ''}It ends {i}." for i in range(400))
+
+
 def test_class_words_on_wrappers_drop_nothing():
     text = lambda html: " ".join(html_main.parse(html)[0])
     for wrapper in ("<body class='page no-sidebar'><article>{}</article>", "<body class=sidebar><main>{}</main>",
