@@ -28,7 +28,7 @@ from riskloom.llm.shared import map_arrow, materialize
 
 MIN_PAGES = 5
 MIN_SHARE = 0.4
-SHORT = 40               # characters under which the guard holds
+SHORT = 100              # characters under which the guards hold
 GUARD_SHARE = 0.8
 MANY_PAGES = 100         # template whatever the share, but for paragraphs, items and cells under SHORT
 SALTS = 16

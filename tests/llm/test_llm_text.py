@@ -245,6 +245,14 @@ def test_template_of_a_section_or_of_many_pages(spark):
     assert all(got[1000 + i] == f"Story {i} has its own words. {'So. ' if 3 <= i % 10 < 6 else ''}It ends {i}." for i in range(400))
 
 
+def test_lines_that_some_articles_share_stay(spark):
+    line = "A sentence that several articles happen to share."
+    rows = [(i, f"http://a.example/news/{i}", f"<article><h1>Story {i}</h1>{f'<p>{line}</p>' if i < 6 else ''}<p>Words of {i}.</p></article>")
+            for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Story {i} {line + ' ' if i < 6 else ''}Words of {i}." for i in range(10))
+
+
 def test_class_words_on_wrappers_drop_nothing():
     text = lambda html: " ".join(html_main.parse(html)[0])
     for wrapper in ("<body class='page no-sidebar'><article>{}</article>", "<body class=sidebar><main>{}</main>",
