@@ -5,11 +5,12 @@ trained from labelled spans: the base spans of a bounded sample of documents,
 and the same spans rewritten as people disguise them ("name [at] host [dot] org",
 a national phone number without its plus).
 
-The model reads every place of a text where personal data can be. A span of any
-kind holds a digit, an at-sign or a spelled-out mark, and none is longer than
-``REACH`` characters, so the windows are cut from all stretches within
-``REACH`` of such a character; the rest of a text cannot hold a span. Longer
-stretches become overlapping windows. What the windows say is reconciled for
+The model reads every place of a text where a span can lie that passes the check
+of its kind: such a span holds a digit, an at-sign or a spelled-out at between
+what can be a name and a host, so the windows are cut from all stretches within
+``REACH`` of such a mark, and longer stretches become windows that overlap by
+half. A number is no longer than ``REACH``; an address may be, and then has a
+window of its own, up to ``LONGEST`` on either side of its at. What the windows say is reconciled for
 the whole text: a span cut by an inner window edge is left to the next window,
 and among overlapping candidates the set with the greatest total posterior
 wins. A span that the model adds must also pass the check of its kind once
@@ -30,7 +31,9 @@ from riskloom.llm.charmodel import Tagger
 from riskloom.llm.shared import map_arrow, restrict, sample_ids
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 48
+REACH = 64
+LONGEST = 320             # characters of an address on one side of its at, spelled-out dots included
+MARGIN = 16
 WINDOW = 2 * REACH
 SAMPLE_DOCS = 1500        # documents with candidates that teach the model
 SAMPLE_WINDOWS = 4        # windows taken of each
@@ -42,11 +45,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SIGN = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"[\[(]\s?(?:at|dot)\s?[\])]|\bdot\b", re.I)
 _AT = re.compile(r"\s?[\[(]\s?at\s?[\])]\s?|\sat\s", re.I)
 _DOT = re.compile(r"\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s", re.I)
+_SPELLED = re.compile(r"[\[(]\s?(?:at|dot)\s?[\])]|\bdot\b|(?<=[\w.%+\-\])])\sat\s(?=[a-z0-9-]++(?:\.|" + _DOT.pattern + r")[a-z0-9-])", re.I)
+_ANY_AT = re.compile("@|" + _AT.pattern, re.I)
+_NAME = re.compile(r"(?:[a-z0-9._%+-]|" + _DOT.pattern + r")+\Z", re.I)
+_HOST = re.compile(r"(?:[a-z0-9.-]|" + _DOT.pattern + r")+", re.I)
 _EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_PHONE_WHOLE = re.compile(r"\(?[0-9]+\)?(?:[\x20.-]\(?[0-9]+\)?){2,}")
+_PHONE_WHOLE = re.compile(r"\(?[0-9]++\)?(?:[\x20.-]?\(?[0-9]++\)?)*")
 
 
 def _digits(s: str) -> str:
@@ -102,8 +108,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def stretches(text: str) -> list[tuple[int, int]]:
     """Maximal stretches within ``REACH`` of a character that a span can hold."""
     marks = [m.start() for m in _SIGN.finditer(text)]
-    low = text if "dot" in text else text.lower()
-    if "dot" in low or "at]" in low or "at)" in low or "at ]" in low or "at )" in low:
+    low = text.lower()
+    if "dot" in low or "at" in low:
         marks = sorted(marks + [m.start() for m in _SPELLED.finditer(text)])
     out: list[tuple[int, int]] = []
     for at in marks:
@@ -126,6 +132,27 @@ def windows(text: str) -> list[tuple[int, int, bool, bool]]:
             if end == e:
                 break
             at += WINDOW // 2
+    for s, e in long_addresses(text):
+        out.append((s, e, s > 0, e < len(text)))
+    return out
+
+
+def long_addresses(text: str) -> list[tuple[int, int]]:
+    """What can be an address of over ``REACH`` characters, with a margin."""
+    if "@" not in text and "at" not in text.lower():
+        return []
+    out = []
+    for m in _ANY_AT.finditer(text):
+        host = _HOST.match(text, m.end(), min(len(text), m.end() + LONGEST))
+        if host is None or not re.search(r"\.|dot", host[0], re.I):
+            continue
+        low = max(0, m.start() - LONGEST)
+        at = m.start()  # the name is matched from the left end of the run that holds it
+        while at > low and (text[at - 1] in _LOCAL or text[at - 1] in "[]()" or text[at - 1].isspace()):
+            at -= 1
+        name = _NAME.search(text[at:m.start()])
+        if name and host.end() - (at + name.start()) > REACH:
+            out.append((max(0, at + name.start() - MARGIN), min(len(text), host.end() + MARGIN)))
     return out
 
 
@@ -175,6 +202,8 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, in
             for kind, a, b, weight in next(decoded):
                 if (left and a == 0) or (right and s + b == e):
                     continue  # the neighbouring window has it whole
+                if kind == 3 and (text[s + a - 1:s + a].isalnum() or text[s + b:s + b + 1].isalnum()):
+                    continue  # part of a longer word
                 if genuine(kind, text[s + a:s + b]):
                     cand.append((s + a, s + b, kind, weight))
         out.append(reconcile(cand))
@@ -191,7 +220,7 @@ def _disguised(kind: int, span: str, rng: random.Random) -> str | None:
         if len(d) < 10:
             return None
         return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}",
-                           f"{d[:3]} {d[3:6]} {d[6:]}"])
+                           f"{d[:3]} {d[3:6]} {d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}", d])
     return None
 
 

@@ -86,6 +86,21 @@ def test_windows_cover_every_candidate():
                 assert any(s <= a and b <= e for s, e, _, _ in cut)
 
 
+def test_windows_hold_every_genuine_form():
+    filler = "some plain words of a text without any number or sign in them " * 6
+    forms = [(0, "jane at example.com"), (0, "jane.doe at mail dot example dot com"), (0, "JANE\tAT\tEXAMPLE.COM"), (0, "jane [at] x [dot] org"),
+             (0, "jane (at\t) x.org"), (0, "a" * 60 + " [at] " + " [dot] ".join(["departments" * 2] * 5)), (0, "x (dot) at y.org"),
+             (3, "(212)555-0199"), (3, "2125550199"), (3, "(212) 555-0199"), (3, "212 555 0199")]
+    for kind, span in forms:
+        assert pii.genuine(kind, span), span
+        for text in (filler + span + " " + filler, span, f"mail {span}, now"):
+            at = text.index(span)
+            assert any(s <= at - l and at + len(span) + r <= e for s, e, left, right in pii.windows(text)
+                       for l, r in [(int(left), int(right))]), span
+    assert pii.windows(filler + "we met at noon. Then at home") == []
+    assert not pii.genuine(3, "1" * 5000) and not pii.genuine(3, "12345678") and not pii.genuine(3, "212--5550199")
+
+
 def test_reconcile_takes_the_heaviest_set():
     rng = random.Random(7)
     for _ in range(200):
