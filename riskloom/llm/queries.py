@@ -13,6 +13,8 @@ from riskloom.llm import (
     bpe_count,
     decontaminate,
     exact_dedup,
+    fim,
+    hard_negatives,
     html_main,
     langid,
     line_dedup,
@@ -20,6 +22,7 @@ from riskloom.llm import (
     ngram_join,
     pii,
     quality,
+    simhash,
 )
 from riskloom.llm.shared import fold, table
 
@@ -92,6 +95,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-middle form and of the text restored from it."""
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and its group of near duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -104,6 +122,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_langid": op9_langid,
         "op10_quality": op10_quality,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_simhash": op13_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -112,4 +133,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
         "op4_line_dedup": line_dedup.SQL,
+        "op11_fill_in_middle": fim.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
     }
