@@ -1,16 +1,20 @@
 """Exact k-nearest-neighbour search for KNN imputation (IM1) and SMOTE (RS1).
 
-Points are dealt to cells: the nearest of a bounded number of pivots, and which
-coordinates are present. Each cell has a bounding box, from which a lower bound
-of the distance of any query to the cell follows, in whatever coordinates the
-two have in common. A query first searches the cell that looks nearest, which
-gives an upper bound of its k-th distance; it then goes only to the cells whose
-lower bound does not exceed that, and the best of all cells are merged.
+Points are dealt to a tree of cells. A cell of the first level is the nearest of a
+bounded number of pivots, and which coordinates are present; a cell that holds
+too many points is dealt to pivots of its own, and so on, so cells stay near
+``POINTS_PER_PIVOT`` points however many there are. Each cell has a bounding box,
+from which a lower bound of the distance of any query to the cell follows, in
+whatever coordinates the two have in common. A query first goes down to the leaf
+that looks nearest, which gives an upper bound of its k-th distance; it then goes
+only to the cells whose lower bound does not exceed that, and the best of all
+leaves are merged.
 
 Queries and points meet by cell in Spark, neither side passes through the
-driver. Large cells are cut into blocks of points and of queries, so a task
-never holds more than one block of each. Pivots and boxes are bounded by
-``MAX_PIVOTS`` and the number of patterns of missing coordinates.
+driver. Large leaves are cut into blocks of points and of queries, so a task
+never holds more than one block of each. The first level (at most ``MAX_PIVOTS``
+times the patterns of missing coordinates) goes to every task; the pivots and
+boxes of deeper levels are tables that points and queries meet by their cell.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 512
+from ..session import materialize
+
+MAX_PIVOTS = 512          # of one cell
 POINTS_PER_PIVOT = 2000
+SPLIT = 4                 # a cell of more than so many times POINTS_PER_PIVOT is dealt again
+MAX_LEVELS = 8            # points that no pivots tell apart stay in one leaf, which is cut into blocks
 POINT_BLOCK = 20_000
 QUERY_BLOCK = 2_000
 MAX_BOXES = 100_000
@@ -72,11 +80,38 @@ def _top(q: pd.DataFrame, p: pd.DataFrame, k: int, exclude_self: bool) -> pd.Dat
                          "pid": best_i[row, col], "dist": best_d[row, col]})
 
 
-class _Cells:
-    """Pivots and boxes, small enough to go with every task."""
+def _box_bounds(x: np.ndarray, need: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Lower bound of the distance of each query to the points of each box."""
+    gap = np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0.0)
+    present = ~np.isnan(gap)
+    n_common = present.sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.sqrt((np.where(present, gap, 0.0) ** 2).sum(axis=2) * x.shape[1] / n_common)
+    out[n_common == 0] = np.inf
+    lacks = np.isnan(low[:, np.maximum(need, 0)]).T & (need >= 0)[:, None]
+    return np.where(lacks, np.inf, out)
+
+
+def _chosen(bound: np.ndarray, size: np.ndarray, radius: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, box) to go on with: all boxes within the radius; without one, the
+    nearest box that holds enough points, if any does."""
+    if radius is not None:
+        return np.nonzero(np.isfinite(bound) & (bound <= radius[:, None] * SLACK))
+    shown = np.where(size[None] > k, bound, np.where(np.isfinite(bound), 1e300, np.inf))
+    best = shown.argmin(axis=1)
+    row = np.flatnonzero(np.isfinite(shown[np.arange(len(best)), best]))
+    return row, best[row]
+
+
+def _nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None]
+    return d.argmin(axis=1)
+
+
+class _Top:
+    """Pivots and boxes of the first level, small enough to go with every task."""
 
     def __init__(self, pivots: np.ndarray) -> None:
-        self.pivots = pivots
         known = (~np.isnan(pivots)).sum(axis=0)
         self.fill = np.nansum(pivots, axis=0) / np.maximum(known, 1)
         self.pivots = np.where(np.isnan(pivots), self.fill, pivots)
@@ -85,65 +120,107 @@ class _Cells:
     def assign(self, x: np.ndarray) -> list[str]:
         """Cell of each point: the pattern of its present coordinates and its nearest pivot."""
         there = ~np.isnan(x)
-        full = np.where(there, x, self.fill)
-        d = (full * full).sum(1)[:, None] - 2 * full @ self.pivots.T + (self.pivots * self.pivots).sum(1)[None]
+        nearest = _nearest_pivot(np.where(there, x, self.fill), self.pivots)
         return [f"{int(pattern, 16):x}:{n}" for pattern, n in
-                zip((np.packbits(t).tobytes().hex() for t in there), d.argmin(axis=1))]
+                zip((np.packbits(t).tobytes().hex() for t in there), nearest)]
 
     def set_boxes(self, rows) -> None:
         self.names = [r["cell"] for r in rows]
-        self.low = np.array([r["low"] for r in rows], float).reshape(len(rows), -1)
-        self.high = np.array([r["high"] for r in rows], float).reshape(len(rows), -1)
+        shape = (len(rows), self.pivots.shape[1])
+        self.low = np.array([r["low"] for r in rows], float).reshape(shape)
+        self.high = np.array([r["high"] for r in rows], float).reshape(shape)
         self.size = np.array([r["n"] for r in rows], np.int64)
 
-    def bounds(self, x: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance of each query to the points of each cell."""
-        gap = np.maximum(np.maximum(self.low[None] - x[:, None], x[:, None] - self.high[None]), 0.0)
-        present = ~np.isnan(gap)
-        n_common = present.sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.sqrt((np.where(present, gap, 0.0) ** 2).sum(axis=2) * x.shape[1] / n_common)
-        out[n_common == 0] = np.inf
-        lacks = np.isnan(self.low[:, np.maximum(need, 0)]).T & (need >= 0)[:, None]
-        return np.where(lacks, np.inf, out)
-
-
-def _visit(queries: DataFrame, cells, nearest: bool, k: int) -> DataFrame:
-    """(qid, need, v, cell): the cells each query goes to."""
-    def run(batches):
-        c = cells.value
-        for b in batches:
-            step = max(1, BLOCK_CELLS // max(1, len(c.names) * (len(c.fill) or 1)))
-            for at in range(0, len(b), step):
-                part = b.iloc[at:at + step]
-                if part.empty or not c.names:
-                    continue
-                bound = c.bounds(np.stack(part["v"].to_numpy()), part["need"].to_numpy(np.int64))
-                if nearest:  # the nearest cell that holds enough points, if any does
-                    shown = np.where(c.size[None] > k, bound, np.where(np.isfinite(bound), 1e300, np.inf))
-                    best = shown.argmin(axis=1)
-                    row = np.flatnonzero(np.isfinite(shown[np.arange(len(best)), best]))
-                    col = best[row]
-                else:
-                    row, col = np.nonzero(np.isfinite(bound) & (bound <= part["radius"].to_numpy()[:, None] * SLACK))
-                yield pd.DataFrame({"qid": part["qid"].to_numpy()[row], "need": part["need"].to_numpy()[row],
-                                    "v": part["v"].to_numpy()[row], "cell": np.array(c.names, object)[col]})
-    return queries.mapInPandas(run, "qid long, need long, v array<double>, cell string")
+
+_VISIT = "qid long, need long, v array<double>, radius double, cell string"
+
+
+def _picked(part: pd.DataFrame, names: np.ndarray, low, high, size, k: int, nearest: bool) -> pd.DataFrame:
+    """The boxes each query goes to, a few queries at a time."""
+    step = max(1, BLOCK_CELLS // max(1, low.size))
+    out = []
+    for at in range(0, len(part), step):
+        q = part.iloc[at:at + step]
+        bound = _box_bounds(np.stack(q["v"].to_numpy()), q["need"].to_numpy(np.int64), low, high)
+        row, col = _chosen(bound, size, None if nearest else q["radius"].to_numpy(), k)
+        out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[row], "need": q["need"].to_numpy()[row],
+                                 "v": q["v"].to_numpy()[row], "radius": q["radius"].to_numpy()[row], "cell": names[col]}))
+    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _VISIT.split(", ")})
+
+
+def _sequence(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _boxes(dealt: DataFrame, dims: int, *more: str) -> DataFrame:
+    """(cell, n, low, high) of every cell."""
+    return dealt.groupBy("cell", *more).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("v")[i]) for i in range(dims)]).alias("low"),
+        F.array(*[F.max(F.col("v")[i]) for i in range(dims)]).alias("high"))
+
+
+def _dealt_again(inside: DataFrame) -> DataFrame:
+    """(pid, v, cell, parent): points of large cells ``inside(pid, v, cell, n)`` at the
+    nearest of some pivots of their own cell. A cell meets its pivots block by block."""
+    fan = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / F.lit(POINTS_PER_PIVOT)))
+    blocks = F.ceil(F.col("n") / F.lit(POINT_BLOCK)).cast("int")
+    h = F.xxhash64("pid")
+    pivots = (inside.groupBy("cell", "n", F.pmod(F.xxhash64("pid", F.lit(1)), fan).alias("slot"))
+              .agg(F.min(F.struct(h.alias("h"), F.col("pid"), F.col("v"))).alias("p"))
+              .select(F.col("cell").alias("cell"), "slot", F.col("p.v").alias("v"), blocks.alias("blocks"))
+              .withColumn("block", _sequence("blocks")).drop("blocks"))
+    points = inside.select("cell", "pid", "v", F.pmod(F.xxhash64("pid", F.lit(2)), blocks).cast("int").alias("block"))
+
+    def deal(p: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if p.empty:
+            return pd.DataFrame({"pid": [], "v": [], "cell": [], "parent": []})
+        near = near.sort_values("slot")
+        at = _nearest_pivot(np.nan_to_num(np.stack(p["v"].to_numpy())), np.nan_to_num(np.stack(near["v"].to_numpy())))
+        return pd.DataFrame({"pid": p["pid"], "v": p["v"], "cell": p["cell"] + "." + near["slot"].to_numpy()[at].astype(str),
+                             "parent": p["cell"]})
+
+    key = ["cell", "block"]
+    return points.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInPandas(
+        deal, "pid long, v array<double>, cell string, parent string")
+
+
+def _block_counts(rows: DataFrame, per_block: int, out: str) -> DataFrame:
+    return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_block)).cast("int").alias(out))
+
+
+def _down(visits: DataFrame, children: DataFrame, k: int, nearest: bool) -> DataFrame:
+    """Visits of cells that were dealt again, passed on to their children; the others as they are."""
+    parents = children.select(F.col("parent").alias("cell")).distinct()
+    going = visits.join(parents, "cell", "left_semi")
+    asked = _block_counts(going, QUERY_BLOCK, "blocks")
+    q = going.join(asked, "cell").withColumn("block", F.pmod(F.xxhash64("qid", "need"), F.col("blocks")).cast("int")).drop("blocks")
+    c = (children.withColumnRenamed("cell", "child").withColumnRenamed("parent", "cell").join(asked, "cell")
+         .withColumn("block", _sequence("blocks")).drop("blocks"))
+
+    def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("child")
+        if left.empty or right.empty:
+            return _picked(left.iloc[:0], np.empty(0, object), np.empty((0, 0)), np.empty((0, 0)), np.empty(0), k, nearest)
+        return _picked(left, right["child"].to_numpy(object), np.stack(right["low"].to_numpy()),
+                       np.stack(right["high"].to_numpy()), right["n"].to_numpy(np.int64), k, nearest)
+
+    key = ["cell", "block"]
+    passed = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(pick, _VISIT)
+    return visits.join(parents, "cell", "left_anti").select(passed.columns).unionByName(passed)
 
 
 def _search(visits: DataFrame, points: DataFrame, sizes: DataFrame, k: int, exclude_self: bool,
             first_block: bool) -> DataFrame:
     """Top k of each visit, block by block. ``first_block`` searches one block per cell."""
-    asked = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("q_blocks"))
-    cut = sizes.select("cell", F.ceil(F.col("n") / F.lit(POINT_BLOCK)).cast("int").alias("p_blocks")).join(asked, "cell")
-    seq = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut = sizes.select("cell", F.ceil(F.col("n") / F.lit(POINT_BLOCK)).cast("int").alias("p_blocks")).join(
+        _block_counts(visits, QUERY_BLOCK, "q_blocks"), "cell")
     p = (points.join(cut, "cell").withColumn("p_block", F.pmod(F.xxhash64("pid"), F.col("p_blocks")).cast("int")))
     q = (visits.join(cut, "cell").withColumn("q_block", F.pmod(F.xxhash64("qid", "need"), F.col("q_blocks")).cast("int")))
     if first_block:
         p, q = p.where(F.col("p_block") == 0), q.withColumn("p_block", F.lit(0))
     else:
-        q = q.withColumn("p_block", seq("p_blocks"))
-    p = p.withColumn("q_block", seq("q_blocks")).select("cell", "p_block", "q_block", "pid", "v")
+        q = q.withColumn("p_block", _sequence("p_blocks"))
+    p = p.withColumn("q_block", _sequence("q_blocks")).select("cell", "p_block", "q_block", "pid", "v")
     q = q.select("cell", "p_block", "q_block", "qid", "need", "v")
     key = ["cell", "p_block", "q_block"]
 
@@ -153,45 +230,105 @@ def _search(visits: DataFrame, points: DataFrame, sizes: DataFrame, k: int, excl
     return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(meet, "qid long, need long, pid long, dist double")
 
 
+def nearest(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of ``found(qid, need, pid, dist)`` per query, numbered in ``nn``."""
+    w = Window.partitionBy("qid", "need").orderBy("dist", "pid")
+    return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
+
+
+class PivotTree:
+    """Points of ``points(id_col, features...)`` in cells, for exact searches.
+
+    ``leaves`` is the table (cell, n) of the cells that are searched, ``levels`` the
+    tables of boxes below the first level.
+    """
+
+    def __init__(self, points: DataFrame, features: Sequence[str], id_col: str = "id") -> None:
+        self.features, self.spark = list(features), points.sparkSession
+        dims = len(self.features)
+        pts = points.select(F.col(id_col).cast("long").alias("pid"), vector(self.features).alias("v"))
+        n_pivots = min(MAX_PIVOTS, max(1, pts.count() // POINTS_PER_PIVOT))
+        chosen = pts.orderBy(F.xxhash64("pid"), "pid").limit(n_pivots).collect()  # at most MAX_PIVOTS
+        top = _Top(np.array([r["v"] for r in chosen], float).reshape(len(chosen), dims))
+        drawn = self.spark.sparkContext.broadcast(top)
+
+        def assign(batches):
+            for b in batches:
+                if len(b):
+                    yield b.assign(cell=drawn.value.assign(np.stack(b["v"].to_numpy())))
+
+        self.points = pts.mapInPandas(assign, "pid long, v array<double>, cell string")
+        rows = _boxes(self.points, dims).limit(MAX_BOXES + 1).collect()
+        if len(rows) > MAX_BOXES:
+            raise ValueError(f"more than {MAX_BOXES} cells: too many patterns of missing coordinates")
+        top.set_boxes(sorted(rows, key=lambda r: r["cell"]))
+        self._top = self.spark.sparkContext.broadcast(top)
+        self.leaves = self.spark.createDataFrame([(r["cell"], r["n"]) for r in rows], "cell string, n long")
+        self.levels: list[DataFrame] = []
+        most = SPLIT * POINTS_PER_PIVOT
+        large = self.leaves.where(F.col("n") > most)
+        while len(self.levels) < MAX_LEVELS and (self.levels or any(r["n"] > most for r in rows)) and not large.isEmpty():
+            again = materialize(_dealt_again(self.points.join(large, "cell")), "dealt")
+            children = materialize(_boxes(again, dims, "parent"), "boxes")
+            rest = self.points.join(large, "cell", "left_anti")
+            self.points = materialize(rest.unionByName(again.drop("parent")), "points")
+            self.levels.append(children)
+            self.leaves = materialize(self.leaves.join(large, "cell", "left_anti").unionByName(children.select("cell", "n")),
+                                      "leaves")
+            # a child that holds nearly all of its parent would only be dealt in vain
+            whole = large.select(F.col("cell").alias("parent"), F.col("n").alias("of"))
+            large = (children.join(whole, "parent").where((F.col("n") > most) & (F.col("n") < 0.95 * F.col("of")))
+                     .select("cell", "n"))
+
+    def visits(self, queries: DataFrame, k: int, nearest: bool) -> DataFrame:
+        """(qid, need, v, radius, cell): the leaves each of ``queries(qid, need, v, radius)`` goes to."""
+        top = self._top
+
+        def run(batches):
+            t = top.value
+            for b in batches:
+                if len(b) and t.names:
+                    yield _picked(b, np.array(t.names, object), t.low, t.high, t.size, k, nearest)
+
+        out = queries.select("qid", "need", "v", "radius").mapInPandas(run, _VISIT)
+        for children in self.levels:
+            out = _down(materialize(out, "visits"), children, k, nearest)
+        return out
+
+    def queries(self, rows: DataFrame, id_col: str, need_col: str | None) -> DataFrame:
+        need = F.col(need_col).cast("long") if need_col else F.lit(-1).cast("long")
+        return rows.select(F.col(id_col).cast("long").alias("qid"), need.alias("need"), vector(self.features).alias("v"))
+
+    def _bounded(self, qs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """Queries with an upper bound of their k-th distance, from the leaf that looks nearest."""
+        first = self.visits(qs.withColumn("radius", F.lit(0.0)), k, True)
+        near = _search(first, self.points, self.leaves, k, exclude_self, True)
+        radius = (near.groupBy("qid", "need").agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("far"))
+                  .select("qid", "need", F.when(F.col("found") >= k, F.col("far")).alias("radius")))
+        return qs.join(radius, ["qid", "need"], "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+
+    def search(self, rows: DataFrame, k: int, id_col: str = "id", need_col: str | None = None,
+               exclude_self: bool = False) -> DataFrame:
+        """``(qid, need, pid, dist, nn)`` as :func:`knn` gives them."""
+        bounded = self._bounded(self.queries(rows, id_col, need_col), k, exclude_self)
+        return nearest(_search(self.visits(bounded, k, False), self.points, self.leaves, k, exclude_self, False), k)
+
+    def work(self, rows: DataFrame, k: int, id_col: str = "id", need_col: str | None = None,
+             exclude_self: bool = False) -> DataFrame:
+        """One row: queries, points, leaves, levels, visits of leaves, and pairs that a search compares."""
+        qs = self.queries(rows, id_col, need_col)
+        visits = self.visits(self._bounded(qs, k, exclude_self), k, False)
+        done = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(self.leaves, "cell").agg(
+            F.coalesce(F.sum("q"), F.lit(0)).alias("visits"), F.coalesce(F.sum(F.col("q") * F.col("n")), F.lit(0)).alias("pairs"))
+        sizes = self.leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_points"), F.count(F.lit(1)).alias("n_leaves"))
+        return (qs.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(sizes).crossJoin(done)  # one row each
+                .withColumn("n_levels", F.lit(1 + len(self.levels))))
+
+
 def knn(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, id_col: str = "id",
         need_col: str | None = None, exclude_self: bool = False) -> DataFrame:
     """``(qid, need, pid, dist, nn)`` for the k nearest points of every query, ``nn`` = 1..k,
     ties broken by point id. Missing coordinates are left out of a distance, which is
     scaled for it. ``need_col`` of a query is the index of a coordinate that its
     neighbours must have (-1 or no column: none)."""
-    feats = list(features)
-    spark = points.sparkSession
-    pts = points.select(F.col(id_col).cast("long").alias("pid"), vector(feats).alias("v"))
-    need = F.col(need_col).cast("long") if need_col else F.lit(-1).cast("long")
-    qs = queries.select(F.col(id_col).cast("long").alias("qid"), need.alias("need"), vector(feats).alias("v"))
-
-    n = pts.count()
-    n_pivots = min(MAX_PIVOTS, max(1, n // POINTS_PER_PIVOT))
-    chosen = pts.orderBy(F.xxhash64("pid"), "pid").limit(n_pivots).collect()  # at most MAX_PIVOTS
-    cells = _Cells(np.array([r["v"] for r in chosen], float).reshape(len(chosen), len(feats)))
-    drawn = spark.sparkContext.broadcast(cells)
-
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                yield b.assign(cell=drawn.value.assign(np.stack(b["v"].to_numpy())))
-
-    dealt = pts.mapInPandas(assign, "pid long, v array<double>, cell string")
-    boxes = dealt.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("v")[i]) for i in range(len(feats))]).alias("low"),
-        F.array(*[F.max(F.col("v")[i]) for i in range(len(feats))]).alias("high"))
-    rows = boxes.limit(MAX_BOXES + 1).collect()
-    if len(rows) > MAX_BOXES:
-        raise ValueError(f"more than {MAX_BOXES} cells: too many patterns of missing coordinates")
-    cells.set_boxes(sorted(rows, key=lambda r: r["cell"]))
-    boxed = spark.sparkContext.broadcast(cells)
-    sizes = spark.createDataFrame([(r["cell"], r["n"]) for r in rows], "cell string, n long")
-
-    near = _search(_visit(qs, boxed, True, k), dealt, sizes, k, exclude_self, True)
-    radius = (near.groupBy("qid", "need").agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("far"))
-              .select("qid", "need", F.when(F.col("found") >= k, F.col("far")).alias("radius")))
-    bounded = qs.join(radius, ["qid", "need"], "left").withColumn(
-        "radius", F.coalesce("radius", F.lit(float("inf"))))
-    found = _search(_visit(bounded, boxed, False, k), dealt, sizes, k, exclude_self, False)
-    w = Window.partitionBy("qid", "need").orderBy("dist", "pid")
-    return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
+    return PivotTree(points, features, id_col).search(queries, k, id_col, need_col, exclude_self)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lsh import lsh_knn
 from .neighbors import knn
 from .prep import class_counts, hash_order, ranks_within
 
@@ -37,7 +38,7 @@ def smote_count(n_min: int, n_maj: int, ratio: float) -> int:
 
 
 def smote(df: DataFrame, key: str, features: Sequence[str], label: str, ratio: float = 0.1,
-          k: int = 5, minority=1, seed: int = 0) -> DataFrame:
+          k: int = 5, minority=1, seed: int = 0, neighbours: str = "exact") -> DataFrame:
     """Synthetic minority rows ``x + u (nb - x)`` between a minority row and one of
     its ``k`` nearest minority neighbours (RS1).
 
@@ -45,7 +46,13 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, ratio: f
     ``h1(j) mod n_min`` (by minority rank), neighbour ``h2(j) mod k`` and
     ``u = h3(j)`` in [0, 1), all seeded md5 hashes, as SQL engines have them too. Returns the new rows only, with
     ``key`` = -(j + 1) and ``synthetic = true``; union them with the input to train.
+
+    ``neighbours="lsh"`` looks for neighbours in hash tables (:mod:`lsh`): in many
+    dimensions, where no cell can be ruled out, a large minority cannot afford to be
+    compared with all of itself.
     """
+    if neighbours not in ("exact", "lsh"):
+        raise ValueError(f"neighbours is 'exact' or 'lsh', not {neighbours!r}")
     feats = list(features)
     spark = df.sparkSession
     counts = class_counts(df, label)
@@ -57,7 +64,8 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, ratio: f
     if n_new == 0 or k_eff == 0:
         return (mino.limit(0).withColumnRenamed("id", key)
                 .withColumns({label: F.lit(minority), "synthetic": F.lit(True)}))
-    nn = knn(mino, mino, feats, k_eff, id_col="id", exclude_self=True)
+    find = knn if neighbours == "exact" else lsh_knn
+    nn = find(mino, mino, feats, k_eff, id_col="id", exclude_self=True)
     ranked = ranks_within(mino.withColumn("_h", hash_order(["id"], seed)), [], ["_h", "id"], "_r")
     j = spark.range(n_new).withColumnRenamed("id", "j")
 

@@ -19,6 +19,7 @@ from ..operators import capital as cap
 from ..operators import evaluate as ev
 from ..operators import labels as lab
 from ..operators import linkage as lk
+from ..operators import lsh, neighbors
 from ..operators import panel as pn
 from ..operators import prep
 from ..operators import resample as rs
@@ -593,3 +594,47 @@ def q_smote(spark, sf):
     values = F.posexplode(F.array(*[F.col(c) for c in dims])).alias("dim", "value")
     return made.select("vec_id", values).select("vec_id", F.col("dim").cast("long").alias("dim"),
                                                 fround("value", 9).alias("value"))
+
+
+def _embedding_queries(spark, sf) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(queries, points, coordinates): every fiftieth embedding against all."""
+    e = embedding_frame(spark, sf)
+    return e.where(F.col("vec_id") % 50 == 0), e, [c for c in e.columns if c not in ("vec_id", "y")]
+
+
+@query("knn_search", f"""
+SELECT qid AS vec_id, pid AS neighbour, nn, {o.fround('dist', 9)} AS dist FROM (
+  SELECT a.vec_id AS qid, b.vec_id AS pid, d AS dist,
+         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS INTEGER) AS nn
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0) a
+  JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id <> b.vec_id,
+  LATERAL (SELECT sqrt(list_sum(list_transform(range(1, len(a.e) + 1),
+             lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) AS d)) WHERE nn <= 10""")
+def q_knn_search(spark, sf):
+    """The ten nearest other embeddings of every fiftieth, exactly."""
+    q, e, dims = _embedding_queries(spark, sf)
+    found = neighbors.knn(q, e, dims, 10, id_col="vec_id", exclude_self=True)
+    return found.select(F.col("qid").alias("vec_id"), F.col("pid").alias("neighbour"), F.col("nn").cast("int").alias("nn"),
+                        fround("dist", 9).alias("dist"))
+
+
+@query("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """The same from hash tables: nearly all of them (recall is tested, so no SQL twin)."""
+    q, e, dims = _embedding_queries(spark, sf)
+    found = lsh.lsh_knn(q, e, dims, 10, id_col="vec_id", exclude_self=True)
+    return found.select(F.col("qid").alias("vec_id"), F.col("pid").alias("neighbour"), F.col("nn").cast("int").alias("nn"),
+                        fround("dist", 9).alias("dist"))
+
+
+@query("knn_work")
+def q_knn_work(spark, sf):
+    """Cells, visits and compared pairs of the imputation and of the search for minority neighbours."""
+    x = _impute_input(spark, sf)
+    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(IMPUTE_FEATS)]))
+    impute = neighbors.PivotTree(x, IMPUTE_FEATS, "p_partkey").work(
+        x.withColumn("need", F.explode(gaps)), 5, "p_partkey", "need")
+    e = embedding_frame(spark, sf)
+    dims, few = [c for c in e.columns if c not in ("vec_id", "y")], e.where("y = 1")
+    smote = neighbors.PivotTree(few, dims, "vec_id").work(few, 5, "vec_id", exclude_self=True)
+    return impute.withColumn("search", F.lit("knn_impute")).unionByName(smote.withColumn("search", F.lit("smote")))
