@@ -1,4 +1,4 @@
-"""Per-row attribution of a gradient-boosted model (ML15).
+"""Per-row attribution of tree and linear models (ML15).
 
 Path-dependent TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized
 feature attribution for tree ensembles", 2018) in log-odds, computed leaf by
@@ -124,6 +124,27 @@ def gbt_attribution(model, df: DataFrame, key: str, features: Sequence[str],
     return arr.mapInPandas(run, schema).withColumn("base", F.lit(base))
 
 
+def linear_attribution(model, df: DataFrame, key: str, features: Sequence[str], background: DataFrame | None = None,
+                       features_col: str = "features") -> DataFrame:
+    """The same long table for a linear model: ``phi = coef (x - mean)`` in log-odds, with the
+    means of ``background`` (default: ``df``), and ``base`` the log-odds at the means, so
+    ``base + sum(phi)`` equals the row's log-odds. Column expressions only.
+
+    These are the Shapley values of a linear model whose features are taken as
+    independent. ``model`` is a fitted Spark classifier with coefficients and intercept.
+    """
+    coef, feats = [float(c) for c in model.coefficients], list(features)
+    given = (df if background is None else background).select(vector_to_array(features_col).alias("_x"))
+    means = given.agg(*[F.avg(F.get("_x", F.lit(j))).alias(f"m{j}") for j in range(len(feats))]).first()
+    mean = [float(means[j] if means[j] is not None else 0.0) for j in range(len(feats))]
+    base = float(model.intercept) + sum(c * m for c, m in zip(coef, mean))
+    terms = F.array(*[F.struct(F.lit(f).alias("feature"), F.get("_x", F.lit(j)).alias("value"),
+                               (F.lit(coef[j]) * (F.get("_x", F.lit(j)) - F.lit(mean[j]))).alias("phi"))
+                      for j, f in enumerate(feats)])
+    rows = df.select(F.col(key), vector_to_array(features_col).alias("_x")).select(key, F.explode(terms).alias("_t"))
+    return rows.select(key, "_t.feature", "_t.value", "_t.phi", F.lit(base).alias("base"))
+
+
 def dependence(attr: DataFrame, features: Sequence[str]) -> DataFrame:
     """Value and attribution of chosen features over all rows."""
     return attr.where(F.col("feature").isin(*features)).drop("base")

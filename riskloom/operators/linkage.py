@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numeric import within_year_after
@@ -84,8 +84,24 @@ def extend_links(link: DataFrame, as_of: dt.date, open_end: dt.date = OPEN_END_D
             .drop("_max_end"))
 
 
+# Why an event has no firm.
+NO_LINK, NONE_VALID = "no link", "several, none valid"
+
+
+def _choices(asked: DataFrame, links: DataFrame) -> DataFrame:
+    """(_id, _at, gvkey) of the distinct (_id, _at) that a link resolves."""
+    lk = links.select(F.col("LPERMNO").alias("_id"), "gvkey", "LINKDT", "LINKENDDT", "n_cand")
+    single = asked.join(lk.where(F.col("n_cand") == 1), "_id").select("_id", "_at", "gvkey")
+    several = (lk.where(F.col("n_cand") > 1)
+               .withColumn("_yr", F.explode(F.sequence(F.year("LINKDT"), F.year("LINKENDDT")))))
+    valid = (asked.withColumn("_yr", F.year("_at")).join(several, ["_id", "_yr"])
+             .where((F.col("LINKDT") < F.col("_at")) & (F.col("LINKENDDT") > F.col("_at")))
+             .groupBy("_id", "_at").agg(F.min_by("gvkey", F.struct("LINKDT", "gvkey")).alias("gvkey")))
+    return single.unionByName(valid)
+
+
 def resolve_links(events: DataFrame, links: DataFrame, id_col: str = "PERMNO",
-                  date_col: str = "DLSTDT") -> DataFrame:
+                  date_col: str = "DLSTDT", dropped: Observation | None = None) -> DataFrame:
     """Attach ``gvkey`` to each event row (JN5).
 
     One candidate link: take it, dates ignored. Several: the first (by
@@ -96,18 +112,40 @@ def resolve_links(events: DataFrame, links: DataFrame, id_col: str = "PERMNO",
     The choice depends on the identifier and the date alone, so it is made per
     distinct pair with a keyed aggregate and joined back; repeated events keep
     their multiplicity and need no row ids.
+
+    ``dropped`` observes the join on its way: after an action on the result it holds
+    the numbers of events ``resolved``, ``no_link`` and ``none_valid``.
     """
     asked = events.select(F.col(id_col).alias("_id"), F.col(date_col).alias("_at")).distinct()
-    lk = links.select(F.col("LPERMNO").alias("_id"), "gvkey", "LINKDT", "LINKENDDT", "n_cand")
-    single = asked.join(lk.where(F.col("n_cand") == 1), "_id").select("_id", "_at", "gvkey")
-    several = (lk.where(F.col("n_cand") > 1)
-               .withColumn("_yr", F.explode(F.sequence(F.year("LINKDT"), F.year("LINKENDDT")))))
-    valid = (asked.withColumn("_yr", F.year("_at")).join(several, ["_id", "_yr"])
-             .where((F.col("LINKDT") < F.col("_at")) & (F.col("LINKENDDT") > F.col("_at")))
-             .groupBy("_id", "_at").agg(F.min_by("gvkey", F.struct("LINKDT", "gvkey")).alias("gvkey")))
-    chosen = single.unionByName(valid)
-    return (events.join(chosen, (F.col(id_col) == F.col("_id")) & F.col(date_col).eqNullSafe(F.col("_at")))
-            .select(*events.columns, "gvkey"))
+    chosen = _choices(asked, links)
+    same = (F.col(id_col) == F.col("_id")) & F.col(date_col).eqNullSafe(F.col("_at"))
+    if dropped is None:
+        return events.join(chosen, same).select(*events.columns, "gvkey")
+    out = _with_reason(events, links, chosen, id_col, date_col)
+    count = lambda of: F.count(F.when(of, 1))
+    out = out.observe(dropped, count(F.col("_reason").isNull()).alias("resolved"),
+                      count(F.col("_reason") == NO_LINK).alias("no_link"),
+                      count(F.col("_reason") == NONE_VALID).alias("none_valid"))
+    return out.where(F.col("_reason").isNull()).select(*events.columns, "gvkey")
+
+
+def _with_reason(events: DataFrame, links: DataFrame, chosen: DataFrame, id_col: str, date_col: str) -> DataFrame:
+    """All events with ``gvkey`` and, where no link resolves them, ``_reason``."""
+    found = chosen.withColumn("_found", F.lit(True))
+    linked = links.select(F.col("LPERMNO").alias("_linked")).distinct()
+    out = (events.join(found, (F.col(id_col) == F.col("_id")) & F.col(date_col).eqNullSafe(F.col("_at")), "left")
+           .join(linked, F.col(id_col) == F.col("_linked"), "left"))
+    reason = F.when(F.col("_found"), F.lit(None)).when(F.col("_linked").isNull(), NO_LINK).otherwise(NONE_VALID)
+    return out.withColumn("_reason", reason)
+
+
+def unresolved_events(events: DataFrame, links: DataFrame, id_col: str = "PERMNO",
+                      date_col: str = "DLSTDT") -> DataFrame:
+    """(reason, n_events) of the events that :func:`resolve_links` drops."""
+    asked = events.select(F.col(id_col).alias("_id"), F.col(date_col).alias("_at")).distinct()
+    out = _with_reason(events, links, _choices(asked, links), id_col, date_col)
+    return (out.where(F.col("_reason").isNotNull()).groupBy(F.col("_reason").alias("reason"))
+            .agg(F.count(F.lit(1)).alias("n_events")))
 
 
 def attach_event_windows(panel: DataFrame, events: DataFrame, kinds: dict[str, str], key: str = "gvkey",

@@ -6,6 +6,8 @@ are distributed. Differences in kind are documented per function.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sigmoid
+from ..session import materialize
 from .evaluate import BETA, fold_mean_metrics
 
 MODEL_NAMES = ["lr", "lasso", "svm", "rf", "gb"]
@@ -31,6 +34,9 @@ MAX_ITER = {"lr": 1000, "lasso": 3000, "svm": 3000, "logit": 1000}
 TRIALS = 100
 MAX_TREES = 2000
 RANDOM_FEATURES = 256     # of the kernel maps
+PARTITION_BYTES = 16 << 20
+MIN_STEP = 1e-6           # of Newton steps that are halved
+TOLERANCE = 1e-6          # at which solvers stop
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -38,6 +44,13 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def sized(df: DataFrame, n_features: int) -> DataFrame:
+    """``df`` in as many partitions as its rows fill: every iteration of a solver is a job
+    over all of them, and near-empty ones cost more than they hold."""
+    cells = df.count() * (n_features + 4)
+    return df.coalesce(max(1, math.ceil(8 * cells / PARTITION_BYTES)))
+
+
 def fbeta_evaluator(beta: float = BETA) -> MulticlassClassificationEvaluator:
     """F-beta of the positive class as the selection metric (ML9)."""
     return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=beta, metricLabel=1.0,
@@ -46,6 +59,21 @@ def fbeta_evaluator(beta: float = BETA) -> MulticlassClassificationEvaluator:
 
 # --------------------------------------------------------------------------- kernel maps
 
+def uniform_draw(seed: int | str, *place: int | str) -> float:
+    """A number in (0, 1) from the first 52 bits of an md5 of the place, as SQL can draw it too."""
+    h = hashlib.md5(":".join(map(str, (seed, *place))).encode()).hexdigest()
+    return (int(h[:13], 16) + 0.5) / 2 ** 52
+
+
+def _uniform(seed, tag: str, *shape: int) -> np.ndarray:
+    return np.array([uniform_draw(seed, tag, *at) for at in np.ndindex(*shape)]).reshape(shape)
+
+
+def _normal(seed, *shape: int) -> np.ndarray:
+    """Box-Muller of two draws each."""
+    return np.sqrt(-2 * np.log(_uniform(seed, "r", *shape))) * np.cos(2 * math.pi * _uniform(seed, "a", *shape))
+
+
 def kernel_map(params: dict, train: DataFrame, seed: int = 0, col: str = "features") -> Callable[[DataFrame], DataFrame]:
     """Feature map that turns a linear SVM into the kernel's (ML4, re-aimed).
 
@@ -53,6 +81,8 @@ def kernel_map(params: dict, train: DataFrame, seed: int = 0, col: str = "featur
     (Rahimi and Recht, 2007) and ``poly`` random Maclaurin features (Kar and
     Karnick, 2012) of ``(gamma <x, y>) ^ degree``; both approach the kernel as
     their number grows. ``gamma`` is 1 / (features x variance), as in the study.
+    The draws are md5 hashes of seed and place (:func:`uniform_draw`), so they depend
+    on no library's generator.
     """
     kernel = params.get("kernel", "linear")
     if kernel == "linear":
@@ -64,12 +94,11 @@ def kernel_map(params: dict, train: DataFrame, seed: int = 0, col: str = "featur
         var = train.select(value.alias("v")).agg(F.var_pop("v")).first()[0]
         gamma = 1.0 / (n * var) if var else 1.0 / n
     d = int(params.get("n_random", RANDOM_FEATURES))
-    rng = np.random.default_rng(seed)
     if kernel == "rbf":
-        w, b = rng.normal(0, math.sqrt(2 * gamma), (n, d)), rng.uniform(0, 2 * math.pi, d)
+        w, b = math.sqrt(2 * gamma) * _normal(seed, n, d), 2 * math.pi * _uniform(seed, "b", d)
         mapped = lambda x: math.sqrt(2 / d) * np.cos(x @ w + b)
     elif kernel == "poly":
-        signs = rng.choice([-1.0, 1.0], (int(params.get("degree", 3)), n, d))
+        signs = np.where(_uniform(seed, "s", int(params.get("degree", 3)), n, d) < 0.5, -1.0, 1.0)
         mapped = lambda x: np.prod(math.sqrt(gamma) * (x @ signs), axis=0) / math.sqrt(d)
     else:
         raise ValueError(f"unknown kernel {kernel}")
@@ -95,24 +124,27 @@ def make_estimator(name: str, params: dict, n_train: int, seed: int = 0):
     * ``gb``: gradient-boosted trees (ML7); learning rate clipped to (0, 1].
 
     ``params["max_iter"]`` overrides the study's iterations; solvers stop
-    earlier when they have converged.
+    earlier when they have converged (``params["tol"]``). ``rf`` takes
+    ``params["bootstrap"]`` and ``params["subset"]``, the features tried at a split.
     """
+    tol = float(params.get("tol", TOLERANCE))
     if name == "lr":
-        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", MAX_ITER["lr"]))
+        return LogisticRegression(regParam=0.0, maxIter=params.get("max_iter", MAX_ITER["lr"]), tol=tol)
     if name == "lasso":
         c = float(params.get("C", 1.0))
         return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n_train, 1)),
-                                  standardization=False, maxIter=params.get("max_iter", MAX_ITER["lasso"]))
+                                  standardization=False, maxIter=params.get("max_iter", MAX_ITER["lasso"]), tol=tol)
     if name == "svm":
         c = float(params.get("C", 1.0))
         return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), standardization=False,
-                         maxIter=params.get("max_iter", MAX_ITER["svm"]))
+                         maxIter=params.get("max_iter", MAX_ITER["svm"]), tol=tol)
     if name == "rf":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
                                       maxDepth=int(params.get("max_depth", 5)),
                                       impurity=params.get("criterion", "gini"),
                                       minWeightFractionPerNode=float(params.get("min_samples_leaf", 0.0)),
-                                      seed=seed)
+                                      bootstrap=bool(params.get("bootstrap", True)),
+                                      featureSubsetStrategy=params.get("subset", "auto"), seed=seed)
     if name == "gb":
         return GBTClassifier(maxIter=int(params.get("n_estimators", 100)),
                              maxDepth=int(params.get("max_depth", 3)),
@@ -154,27 +186,56 @@ def sample_params(name: str, n: int = TRIALS, seed: int = 0, max_trees: int = MA
     return out
 
 
+def fold_scores(train: DataFrame, name: str, draws: Sequence[dict], seed: int = 0, parallelism: int = 32,
+                k: int = 5) -> list[list[float]]:
+    """Validation F-beta of every draw on every fold (ML9 ML10).
+
+    The folds are taken one after the other: the rows of a fold are kept in memory
+    while all draws are fitted on them, ``parallelism`` at a time, so a fold is
+    read and assembled once however many draws there are.
+    """
+    out: list[list[float]] = [[] for _ in draws]
+    with ThreadPool(max(1, min(parallelism, len(draws)))) as pool:
+        for f in range(k):
+            rest, held = train.where(F.col("fold") != f).persist(), train.where(F.col("fold") == f).persist()
+            try:
+                found = pool.map(lambda params: evaluate_fbeta(  # noqa: B023
+                    fit(rest, name, params, seed, probabilities=False).predict(held)), draws)  # noqa: B023
+            finally:
+                rest.unpersist()
+                held.unpersist()
+            for scores, score in zip(out, found):
+                scores.append(score)
+    return out
+
+
+def best_draw(scores: Sequence[Sequence[float]]) -> int:
+    """The draw with the highest mean over its folds, the first of equals."""
+    mean = [sum(s) / len(s) for s in scores]
+    return max(range(len(mean)), key=lambda i: (mean[i], -i))
+
+
 def search(train: DataFrame, name: str, trials: int = TRIALS, seed: int = 0, parallelism: int = 32,
            max_trees: int = MAX_TREES, k: int = 5, draws: Sequence[dict] | None = None):
     """Search by mean fold F-beta on fixed folds, then the best draw fitted on all rows
-    (ML9 ML10 ML11). Returns (fitted model, params, F-beta of every draw).
-
-    Every trial is a distributed fit per fold; ``parallelism`` trials share the
-    cluster at a time.
-    """
+    (ML9 ML10 ML11). Returns (fitted model, params, F-beta of every draw)."""
     draws = list(draws) if draws is not None else sample_params(name, trials, seed, max_trees)
     if name == "lr" or not draws:
         return fit(train, name, {}, seed), {}, []
+    scores = fold_scores(train, name, draws, seed, parallelism, k)
+    best = best_draw(scores)
+    return fit(train, name, draws[best], seed), draws[best], [sum(s) / len(s) for s in scores]
 
-    def trial(params: dict) -> float:
-        scores = [evaluate_fbeta(fit(train.where(F.col("fold") != f), name, params, seed, probabilities=False)
-                                 .predict(train.where(F.col("fold") == f))) for f in range(k)]
-        return sum(scores) / k
 
-    with ThreadPool(max(1, min(parallelism, len(draws)))) as pool:
-        found = pool.map(trial, draws)
-    best = max(range(len(draws)), key=lambda i: (found[i], -i))
-    return fit(train, name, draws[best], seed), draws[best], found
+def search_table(train: DataFrame, name: str, draws: Sequence[dict], seed: int = 0, parallelism: int = 32,
+                 k: int = 5) -> DataFrame:
+    """(draw, parameters, fold, f_beta, mean_f_beta, best) of a search over ``draws``."""
+    scores = fold_scores(train, name, draws, seed, parallelism, k)
+    best = best_draw(scores)
+    rows = [(i, json.dumps(draws[i], sort_keys=True), f, float(x), sum(s) / len(s), i == best)
+            for i, s in enumerate(scores) for f, x in enumerate(s)]
+    return train.sparkSession.createDataFrame(
+        rows, "draw int, parameters string, fold int, f_beta double, mean_f_beta double, best boolean")
 
 
 def evaluate_fbeta(predictions: DataFrame) -> float:
@@ -210,40 +271,89 @@ def _margins(model: FittedModel, df: DataFrame) -> DataFrame:
     return model.predict(df).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
 
 
-def platt_scaling(train: DataFrame, params: dict, seed: int, k: int = 5) -> tuple[float, float]:
+def platt_fit(margins: DataFrame, margin: str = "m", label: str = "label", max_iter: int = 100,
+              tol: float = 1e-10) -> tuple[float, float]:
+    """(slope, intercept) of Platt's sigmoid over margins (ML5): Newton steps with halving on
+    the log-loss against his smoothed targets ``(n1 + 1) / (n1 + 2)`` and ``1 / (n0 + 2)``, so
+    margins that part the classes entirely give finite numbers. Each step is one
+    aggregate over the table. Rows without margin or label take no part."""
+    rows = margins.where(F.col(margin).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(margin).cast("double").alias("m"), F.col(label).cast("double").alias("y"))
+    n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
+    target = F.when(F.col("y") > 0, (n1 + 1) / (n1 + 2)).otherwise(1 / (n0 + 2))
+
+    def sums(a: float, b: float):
+        z = F.lit(a) * F.col("m") + F.lit(b)
+        p, m = sigmoid(z), F.col("m")
+        loss = F.greatest(z, F.lit(0.0)) - target * z + F.log1p(F.exp(-F.abs(z)))
+        r = rows.agg(F.sum(loss), F.sum((p - target) * m), F.sum(p - target), F.sum(p * (1 - p) * m * m),
+                     F.sum(p * (1 - p) * m), F.sum(p * (1 - p))).first()
+        return [float(x or 0.0) for x in r]
+
+    a, b = 0.0, math.log((n1 + 1) / (n0 + 1))
+    loss, ga, gb, haa, hab, hbb = sums(a, b)
+    for _ in range(max_iter):
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        if det <= 0:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        if ga * da + gb * db <= tol:     # twice what a full step can still gain: this one is the last
+            return a - da, b - db
+        step = 1.0
+        while (now := sums(a - step * da, b - step * db))[0] > loss and step > MIN_STEP:
+            step /= 2
+        a, b = a - step * da, b - step * db
+        loss, ga, gb, haa, hab, hbb = now
+    return a, b
+
+
+OfFold = Callable[[int], FittedModel]
+
+
+def fold_models(train: DataFrame, name: str, params: dict | None = None, seed: int = 0) -> OfFold:
+    """The model without the rows of a fold, fitted when first asked for and kept."""
+    kept: dict[int, FittedModel] = {}
+
+    def of(f: int) -> FittedModel:
+        if f not in kept:
+            kept[f] = fit(train.where(F.col("fold") != f), name, params, seed, probabilities=False)
+        return kept[f]
+    return of
+
+
+def platt_scaling(train: DataFrame, of_fold: OfFold, k: int = 5) -> tuple[float, float]:
     """Slope and intercept of the probability over margins of rows that the SVM was not
     fitted on: one fit per fold, as margins of its own rows would be too extreme (ML5)."""
     margins = None
     for f in range(k):
-        model = fit(train.where(F.col("fold") != f), "svm", params, seed, probabilities=False)
-        m = _margins(model, train.where(F.col("fold") == f))
+        m = _margins(of_fold(f), train.where(F.col("fold") == f))
         margins = m if margins is None else margins.unionByName(m)
-    lr = LogisticRegression(featuresCol="mf", regParam=0.0, maxIter=MAX_ITER["lr"]).fit(assemble(margins, ["m"], "mf"))
-    return float(lr.coefficients[0]), float(lr.intercept)
+    return platt_fit(materialize(margins, "margins"))
 
 
 def fit(train: DataFrame, name: str, params: dict | None = None, seed: int = 0,
-        probabilities: bool = True) -> FittedModel:
+        probabilities: bool = True, of_fold: OfFold | None = None) -> FittedModel:
     """Fit one family on ``train(features, label, fold)``. The SVM's probabilities cost
-    a fit per fold; without ``probabilities`` it can only predict classes."""
+    a fit per fold (``of_fold``, if they are there already); without ``probabilities``
+    it can only predict classes."""
     params = params or {}
     n = train.count() if name in ("lasso", "svm") else 0
     mapped = kernel_map(params, train, seed) if name == "svm" else None
     model = make_estimator(name, params, n, seed).fit(mapped(train) if mapped else train)
     out = FittedModel(name, model, mapped)
     if name == "svm" and probabilities:
-        out.platt = platt_scaling(train, params, seed)
+        out.platt = platt_scaling(train, of_fold or fold_models(train, name, params, seed))
     return out
 
 
 def cv_metrics(train: DataFrame, name: str, params: dict | None = None, k: int = 5,
-               fold_col: str = "fold", seed: int = 0) -> DataFrame:
+               fold_col: str = "fold", seed: int = 0, of_fold: OfFold | None = None) -> DataFrame:
     """Mean over folds of accuracy, precision, recall and F-beta (ML8): one fit per
     fold, all four metrics from one long prediction table."""
-    preds = None
+    preds, of_fold = None, of_fold or fold_models(train, name, params, seed)
     for f in range(k):
-        m = fit(train.where(F.col(fold_col) != f), name, params, seed, probabilities=False)
-        p = m.predict(train.where(F.col(fold_col) == f)).select(
+        p = of_fold(f).predict(train.where(F.col(fold_col) == f)).select(
             F.lit(name).alias("model"), F.lit(f).alias("fold"), F.col("label").cast("int").alias("label"),
             F.col("prediction").cast("int").alias("pred"))
         preds = p if preds is None else preds.unionByName(p)
@@ -311,3 +421,30 @@ def importances(model: FittedModel, feature_names: Sequence[str], top: int | Non
                                                "feature string, importance double")
     df = df.orderBy(F.desc("importance"), "feature")
     return df.limit(top) if top else df
+
+
+def optimality(model: FittedModel, train: DataFrame, params: dict | None = None) -> DataFrame:
+    """(term, coef, gap) of a fitted ``lr`` or ``lasso`` (ML2 ML3): how far each term is from
+    the optimality conditions of its objective, per standard deviation of the feature.
+
+    With ``g`` the gradient of the mean log-loss and ``r = 1 / (C n)`` (lasso) or 0, the
+    gap is ``|g + r sign(coef)|`` for a coefficient that is not zero, what ``|g|`` exceeds
+    ``r`` by for one that is, and ``|g|`` for the intercept. At the optimum all are zero.
+    One aggregate over the rows. A constant feature has no gap.
+    """
+    fitted = model.model
+    coef, intercept = [float(c) for c in fitted.coefficients], float(fitted.intercept)
+    x = train.select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
+    z = F.aggregate(F.zip_with("x", F.lit(coef), lambda a, b: a * b), F.lit(intercept), lambda acc, v: acc + v)
+    miss = x.withColumn("e", sigmoid(z) - F.col("y"))
+    at = lambda j: F.get("x", F.lit(j))
+    r = miss.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("g"),
+                 *[F.avg(F.col("e") * at(j)).alias(f"g{j}") for j in range(len(coef))],
+                 *[F.stddev_pop(at(j)).alias(f"s{j}") for j in range(len(coef))]).first()
+    reg = 1.0 / (float((params or {}).get("C", 1.0)) * max(r["n"], 1)) if model.name == "lasso" else 0.0
+    rows = [("intercept", intercept, abs(r["g"]))]
+    for j, c in enumerate(coef):
+        g, sd = r[f"g{j}"], r[f"s{j}"]
+        gap = abs(g + math.copysign(reg, c)) if c else max(0.0, abs(g) - reg)
+        rows.append((f"x{j}", c, gap / sd if sd else 0.0))
+    return train.sparkSession.createDataFrame(rows, "term string, coef double, gap double")

@@ -88,6 +88,18 @@ def _round_half_up(x: float) -> int:
     return int(math.floor(x + 0.5))
 
 
+def threshold_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 0,
+                    out: str = "split") -> DataFrame:
+    """``'test'`` where the seeded hash of the key lies below ``test_size`` of its range (SP1).
+
+    A row decides for itself: no rank, no window, no count, no shuffle, and a row
+    keeps its side when others come or go. Shares hold on average, not exactly, in
+    every class alike. A null key part counts as absent.
+    """
+    cut = int(test_size * 2 ** HASH_BITS)
+    return df.withColumn(out, F.when(hash_order(key, seed) < F.lit(cut), "test").otherwise("train"))
+
+
 def stratified_folds(df: DataFrame, key: Sequence[str], label: str, k: int = 5,
                      seed: int = 0, out: str = "fold") -> DataFrame:
     """Fold id = rank within class (seeded hash order) mod k (SP2): class counts per

@@ -179,6 +179,17 @@ def q_link_resolve(spark, sf):
     return flows.resolved_delistings(tb.DriverInputs(spark, sf)).select("PERMNO", "DLSTDT", "DLSTCD", "gvkey")
 
 
+@query("link_unresolved", W("""
+SELECT CASE WHEN lk.LPERMNO IS NULL THEN 'no link' ELSE 'several, none valid' END AS reason, count(*) AS n_events
+FROM ev LEFT JOIN (SELECT DISTINCT LPERMNO FROM lk) lk ON ev.PERMNO = lk.LPERMNO
+WHERE NOT EXISTS (SELECT 1 FROM lk l WHERE l.LPERMNO = ev.PERMNO
+                  AND (l.n_cand = 1 OR (l.LINKDT < ev.DLSTDT AND l.LINKENDDT > ev.DLSTDT)))
+GROUP BY 1""", ctes=_PANEL_C))
+def q_link_unresolved(spark, sf):
+    """How many default delistings have no firm, and why."""
+    return flows.unresolved_delistings(tb.DriverInputs(spark, sf))
+
+
 @query("rating_first", W("SELECT gvkey, datadate, splticrm FROM rdef", ctes=_PANEL_C))
 def q_rating_first(spark, sf):
     return flows.rating_events(tb.DriverInputs(spark, sf)).select("gvkey", "datadate", "splticrm")
@@ -387,6 +398,27 @@ def q_eco_loss(spark, sf):
     return cap.eco_loss(_capital_long(spark, sf))
 
 
+@query("loss_skipped", W("""
+SELECT model, count(*) AS n_rows,
+  count(*) FILTER (WHERE "default" = 1 AND pred = 0 AND FacilityAmt * ExchangeRate * LGD IS NULL) AS skipped_ii,
+  count(*) FILTER (WHERE "default" = 0 AND pred = 1 AND FacilityAmt * ExchangeRate * rate IS NULL) AS skipped_i,
+  count(*) FILTER (WHERE CR IS NULL) AS skipped_cr FROM cpx GROUP BY model""", ctes=C))
+def q_loss_skipped(spark, sf):
+    """Rows that the sums of the loss table leave out for want of an amount."""
+    return cap.skipped_rows(_capital_long(spark, sf))
+
+
+@query("eco_loss_exact", W(f"""
+SELECT model, {o.fround('t', 3)} AS loss_total, {o.fround('b - t', 3)} AS gains, {o.fround('(b - t) / nullif(b, 0) * 100.0', 1)} AS percent
+FROM (SELECT *, (SELECT t FROM t2 WHERE model = 'lr') AS b FROM t2)""", ctes={**C, "t2": f"""SELECT model,
+  (COALESCE(sum(CASE WHEN "default" = 1 AND pred = 0 THEN FacilityAmt * ExchangeRate * LGD END), 0.0)
+   + COALESCE(sum(CASE WHEN "default" = 0 AND pred = 1 THEN FacilityAmt * ExchangeRate * rate END), 0.0)
+   + COALESCE({o.lit(0.115)} * sum(CR), 0.0)) / 1e9 AS t FROM cpx GROUP BY model"""}))
+def q_eco_loss_exact(spark, sf):
+    """Gains taken before rounding."""
+    return cap.eco_loss(_capital_long(spark, sf), exact=True).select("model", "loss_total", "gains", "percent")
+
+
 # --------------------------------------------------------------------------- normal distribution
 
 @query("normal_cdf", f"""
@@ -539,6 +571,14 @@ def q_strat_split(spark, sf):
     return prep.stratified_split(lb, ["doc_id"], "toxic", 0.2, seed=0)
 
 
+@query("hash_split", f"""
+SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) < {int(0.2 * 2 ** 52)}
+  THEN 'test' ELSE 'train' END AS split FROM documents""")
+def q_hash_split(spark, sf):
+    """Split by a hash threshold: a projection of the scan."""
+    return prep.threshold_split(io.read_table(spark, sf, "documents").select("doc_id"), ["doc_id"], 0.2, seed=0)
+
+
 @query("folds", f"""
 SELECT doc_id, toxic, CAST(({_rank_sql(0)}) % 5 AS INTEGER) AS fold FROM labels""")
 def q_folds(spark, sf):

@@ -62,6 +62,11 @@ def resolved_delistings(inputs: StudyInputs) -> DataFrame:
     return lk.resolve_links(lk.default_delistings(inputs.delist), materialize(extended_links(inputs), "links"))
 
 
+def unresolved_delistings(inputs: StudyInputs) -> DataFrame:
+    """How many default delistings have no firm, and why."""
+    return lk.unresolved_events(lk.default_delistings(inputs.delist), materialize(extended_links(inputs), "links"))
+
+
 def rating_events(inputs: StudyInputs) -> DataFrame:
     return lk.rating_defaults(inputs.rating)
 

@@ -42,12 +42,15 @@ SEED = 0
 # Parameters of the registered queries; any others can be passed to a StudyRun.
 PARAMS: dict[str, dict] = {
     "lr": {},
-    "lasso": {"C": 1.0, "max_iter": 100},
-    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 50},
+    "lasso": {"C": 1.0},
+    "svm": {"C": 1.0, "kernel": "linear"},
     "rf": {"n_estimators": 50, "max_depth": 5},
     "gb": {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1},
 }
 DEPENDENCE = ("L3", "R2")
+# Draws and trees of the registered search; the study's are the defaults of StudyRun.search.
+SEARCHED = {"rf": (3, 10), "gb": (2, 5), "lasso": (3, 0), "svm": (2, 0)}
+GAP = 1e-4                # of the optimality conditions, per standard deviation of a feature
 
 
 def query(name: str):
@@ -77,6 +80,7 @@ class StudyRun:
         self.smote_ratio, self.under_ratio, self.test_size, self.k_folds = smote_ratio, under_ratio, test_size, k_folds
         self.fit_on, self.inf_policy = fit_on, inf_policy
         self._fitted: dict[str, md.FittedModel] = {}
+        self._folds: dict[str, md.OfFold] = {}
 
     @cached_property
     def base(self) -> DataFrame:
@@ -124,7 +128,7 @@ class StudyRun:
             rows = rs.undersample(rows, [KEY], "default", self.under_ratio, minority=1, seed=42)
         rows = rows.select(KEY, *self.features, F.col("default").cast("double").alias("label"))
         folded = prep.stratified_folds(rows, [KEY], "label", self.k_folds, seed=self.seed)
-        return md.assemble(materialize(folded, "train"), self.features).persist()
+        return md.assemble(md.sized(materialize(folded, "train"), len(self.features)), self.features).persist()
 
     @cached_property
     def test(self) -> DataFrame:
@@ -138,15 +142,32 @@ class StudyRun:
 
     def model(self, name: str) -> md.FittedModel:
         if name not in self._fitted:
-            self._fitted[name] = md.fit(self.train, name, self.params[name], self.seed)
+            self._fitted[name] = md.fit(self.train, name, self.params[name], self.seed, of_fold=self._of_fold(name))
         return self._fitted[name]
 
+    def _of_fold(self, name: str) -> md.OfFold:
+        """Models without one fold each: cross-validation and Platt scaling share them."""
+        if name not in self._folds:
+            self._folds[name] = md.fold_models(self.train, name, self.params[name], self.seed)
+        return self._folds[name]
+
     def search(self, name: str, trials: int = md.TRIALS, parallelism: int = 32, max_trees: int = md.MAX_TREES):
         """The study's search; the best model and its parameters become the run's (ML10 ML11)."""
         model, best, found = md.search(self.train, name, trials, self.seed, parallelism, max_trees, self.k_folds)
         self._fitted[name], self.params[name] = model, best
+        self._folds.pop(name, None)
         return best, found
 
+    def search_table(self, name: str, trials: int = md.TRIALS, parallelism: int = 32,
+                     max_trees: int = md.MAX_TREES) -> DataFrame:
+        """Every draw of the search with its F-beta on every fold (ML9 ML10)."""
+        draws = md.sample_params(name, trials, self.seed, max_trees)
+        return md.search_table(self.train, name, draws, self.seed, parallelism, self.k_folds)
+
+    def linear_attribution(self, name: str) -> DataFrame:
+        """Attribution of ``lr`` or ``lasso`` on the test rows against the training rows (ML15)."""
+        return at.linear_attribution(self.model(name).model, self.test, KEY, self.features, self.train)
+
     def logit(self) -> md.Logit:
         return md.Logit(self.train, self.features)
 
@@ -163,7 +184,7 @@ class StudyRun:
         """Fold-mean validation metrics of the run's parameters (ML8)."""
         out = None
         for name in md.MODEL_NAMES:
-            m = md.cv_metrics(self.train, name, self.params[name], self.k_folds, seed=self.seed)
+            m = md.cv_metrics(self.train, name, self.params[name], self.k_folds, seed=self.seed, of_fold=self._of_fold(name))
             out = m if out is None else out.unionByName(m)
         return out
 
@@ -287,3 +308,29 @@ def q_attribution_breakdown(spark, sf):
 def q_attribution_probability(spark, sf):
     """Expected and estimated default probability of every test row."""
     return at.probabilities(run_of(spark, sf).attribution(), KEY)
+
+
+@query("search_table")
+def q_search_table(spark, sf):
+    """A few draws of every family that is searched, each on every fold (ML9 ML10 ML11)."""
+    run, out = run_of(spark, sf), None
+    for name, (trials, trees) in SEARCHED.items():
+        t = run.search_table(name, trials, max_trees=trees).withColumn("model", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("linear_attribution")
+def q_linear_attribution(spark, sf):
+    run = run_of(spark, sf)
+    return run.linear_attribution("lr").withColumn("model", F.lit("lr")).unionByName(
+        run.linear_attribution("lasso").withColumn("model", F.lit("lasso")))
+
+
+def optimality(run: StudyRun) -> DataFrame:
+    """(model, term, coef, gap) of the linear models at the study's iterations."""
+    out = None
+    for name in ("lr", "lasso"):
+        t = md.optimality(run.model(name), run.train, run.params[name]).select(F.lit(name).alias("model"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out

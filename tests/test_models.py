@@ -1,7 +1,7 @@
 """Models on data with a planted signal, and the run that ties entry A, B and C."""
 
+import json
 import math
-import os
 import random
 
 import numpy as np
@@ -16,11 +16,9 @@ from riskloom.sources import io
 from riskloom.sources.schemas import INPUTS, RATIOS
 
 SF = "/root/testdata/sf0.001"
-# many fits of many distributed iterations: minutes on a laptop, so on request only
-slow = pytest.mark.skipif(not os.environ.get("RISKLOOM_SLOW"), reason="set RISKLOOM_SLOW=1")
 
 
-def _planted(spark, n=400, seed=0, ring=False):
+def _planted(spark, n=120, seed=0, ring=False):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
@@ -28,7 +26,7 @@ def _planted(spark, n=400, seed=0, ring=False):
         y = (a * a + b * b < 1.2) if ring else (a - b + 0.3 * rng.gauss(0, 1) > 0)
         rows.append((i, a, b, c, 1.0 if y else 0.0))
     df = spark.createDataFrame(rows, "k long, a double, b double, c double, label double").coalesce(1)
-    return md.assemble(prep.stratified_folds(df, ["k"], "label", 5, seed=1).persist(), ["a", "b", "c"])
+    return md.assemble(prep.stratified_folds(df, ["k"], "label", 5, seed=1).coalesce(1).persist(), ["a", "b", "c"])
 
 
 def _accuracy(model, df):
@@ -39,55 +37,52 @@ SMALL = {"lr": {"max_iter": 20}, "lasso": {"max_iter": 15}, "svm": {"max_iter":
          "rf": {"n_estimators": 5, "max_depth": 3}, "gb": {"n_estimators": 3}}
 
 
-@slow
 def test_every_family_finds_a_planted_signal(spark):
     train, test = _planted(spark), _planted(spark, seed=1)
     for name in md.MODEL_NAMES:
         m = md.fit(train, name, SMALL[name])
-        assert _accuracy(m, test) > 0.85, name
+        assert _accuracy(m, test) > 0.8, name
         p = m.score(test).agg(F.min("pd"), F.max("pd")).first()
-        assert 0 <= p[0] < 0.35 and 0.65 < p[1] <= 1, name
-        cv = md.cv_metrics(train, name, SMALL[name]).first()
-        assert cv.model == name and cv.accuracy > 0.85
+        assert 0 <= p[0] < 0.4 and 0.6 < p[1] <= 1, name
+        if name in ("lasso", "rf"):
+            cv = md.cv_metrics(train, name, SMALL[name]).first()
+            assert cv.model == name and cv.accuracy > 0.8
 
 
-@slow
 def test_kernels_see_what_a_line_cannot(spark):
-    train, test = _planted(spark, ring=True), _planted(spark, seed=1, ring=True)
+    train, test = _planted(spark, n=300, ring=True), _planted(spark, n=300, seed=1, ring=True)
+
     def accuracy(**params):
         m = md.fit(train, "svm", {"C": 10.0, "max_iter": 20, "n_random": 64, **params}, probabilities=False)
         return m.predict(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
     linear, rbf, poly = accuracy(), accuracy(kernel="rbf"), accuracy(kernel="poly", degree=2)
-    assert rbf > 0.85 and poly > 0.85 and linear < 0.75
+    assert rbf > 0.8 and poly > 0.8 and linear < 0.75
     with pytest.raises(ValueError):
         md.kernel_map({"kernel": "other"}, train)
 
 
-@slow
 def test_random_features_approach_the_kernels(spark):
     df = _planted(spark, n=40)
     x = np.array([r.features.toArray() for r in df.collect()])
     gamma = 1 / (3 * x.var())
     for params, kernel in (({"kernel": "rbf"}, np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2))),
                            ({"kernel": "poly", "degree": 2}, (gamma * x @ x.T) ** 2)):
-        z = np.array([r.features.toArray() for r in md.kernel_map({**params, "n_random": 20_000}, df)(df).collect()])
-        assert np.abs(z @ z.T - kernel).mean() < 0.05
+        z = np.array([r.features.toArray() for r in md.kernel_map({**params, "n_random": 4000}, df)(df).collect()])
+        assert np.abs(z @ z.T - kernel).mean() < 0.1
 
 
-@slow
 def test_platt_scaling_uses_margins_of_other_rows(spark):
     rng = random.Random(3)
     rows = [(i, *[rng.gauss(0, 1) for _ in range(12)], float(rng.random() < 0.5)) for i in range(120)]  # noise only
     names = [f"x{i}" for i in range(12)]
     df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} double" for n in names) + ", label double").coalesce(1)
-    train = md.assemble(prep.stratified_folds(df, ["k"], "label", 5).persist(), names)
+    train = md.assemble(prep.stratified_folds(df, ["k"], "label", 5).coalesce(1).persist(), names)
     m = md.fit(train, "svm", {"C": 10.0, "max_iter": 15})
     spread = m.score(train).agg(F.stddev("pd")).first()[0]
     assert spread < 0.15  # in-sample margins would look far more certain
 
 
-@slow
 def test_search_tries_all_draws_and_fits_the_best(spark):
     train = _planted(spark)
     draws = [{"n_estimators": 1, "max_depth": 1}, {"n_estimators": 8, "max_depth": 4}, {"n_estimators": 2, "max_depth": 1}]
@@ -100,6 +95,67 @@ def test_search_tries_all_draws_and_fits_the_best(spark):
     assert {d["degree"] for d in md.sample_params("svm", 200) if "degree" in d} <= set(range(2, 9))
 
 
+def test_search_table_has_every_draw_and_fold(spark):
+    train = _planted(spark)
+    draws = [{"C": 1e-4}, {"C": 1.0}, {"C": 1.0}]
+    rows = md.search_table(train, "lasso", draws).collect()
+    assert sorted((r.draw, r.fold) for r in rows) == [(d, f) for d in range(3) for f in range(5)]
+    by_draw = {d: [r for r in rows if r.draw == d] for d in range(3)}
+    for d, of in by_draw.items():
+        assert abs(sum(r.f_beta for r in of) / 5 - of[0].mean_f_beta) < 1e-12 and json.loads(of[0].parameters) == draws[d]
+    assert {r.draw for r in rows if r.best} == {1}     # the first of equals
+    assert by_draw[0][0].mean_f_beta < by_draw[1][0].mean_f_beta
+    fold0 = md.fit(train.where("fold <> 0"), "lasso", {"C": 1.0}).predict(train.where("fold = 0"))
+    y = [(r.label, r.prediction) for r in fold0.collect()]
+    tp, fn, fp = (sum(v == w for v in y) for w in ((1, 1), (1, 0), (0, 1)))
+    assert abs(5 * tp / (5 * tp + 4 * fn + fp) - next(r.f_beta for r in by_draw[1] if r.fold == 0)) < 1e-12
+
+
+def test_linear_models_reach_their_optimum(spark):
+    train = _planted(spark)
+    for name, params in (("lr", {}), ("lasso", {"C": 0.05})):
+        m = md.fit(train, name, params)
+        gaps = {r.term: r for r in md.optimality(m, train, params).collect()}
+        assert set(gaps) == {"intercept", "x0", "x1", "x2"} and max(r.gap for r in gaps.values()) < 1e-4
+        if name == "lasso":
+            assert gaps["x2"].coef == 0.0          # the feature that tells nothing
+    early = md.fit(train, "lr", {"max_iter": 1})
+    assert max(r.gap for r in md.optimality(early, train).collect()) > 1e-3
+
+
+def test_platt_matches_a_dense_search(spark):
+    rng = random.Random(8)
+    pairs = [(rng.gauss(1.5 * y, 1), float(y)) for y in (0, 1) for _ in range(60)]
+    a, b = md.platt_fit(spark.createDataFrame(pairs + [(None, 1.0), (1.0, None)], "m double, label double").coalesce(1))
+    m, y = np.array(pairs).T
+    t = np.where(y > 0, 61 / 62, 1 / 62)
+
+    def loss(a, b):
+        z = a * m + b
+        return (np.logaddexp(0, z) - t * z).sum()
+
+    best = loss(a, b)
+    assert all(loss(a + da, b + db) >= best for da in (-1e-4, 0, 1e-4) for db in (-1e-4, 0, 1e-4))
+    parted = spark.createDataFrame([(-1.0, 0.0), (-2.0, 0.0), (1.0, 1.0), (2.0, 1.0)], "m double, label double").coalesce(1)
+    a, b = md.platt_fit(parted)
+    assert 0 < a < 10 and abs(b) < 1e-6              # smoothed targets keep it finite
+    assert md.platt_fit(parted.limit(0)) == (0.0, 0.0)
+
+
+def test_kernel_draws_are_hashes_of_seed_and_place():
+    draws = [md.uniform_draw(0, "b", i) for i in range(2000)]
+    assert draws == [md.uniform_draw(0, "b", i) for i in range(2000)] and min(draws) > 0 and max(draws) < 1
+    assert abs(np.mean(draws) - 0.5) < 0.03 and md.uniform_draw(1, "b", 0) != draws[0]
+    z = md._normal(0, 3, 500)
+    assert abs(z.mean()) < 0.1 and abs(z.std() - 1) < 0.1
+
+
+def test_sized_follows_the_rows(spark):
+    df = spark.range(1000).repartition(8)
+    assert md.sized(df, 3).rdd.getNumPartitions() == 1
+    assert md.sized(df, 10 ** 7).rdd.getNumPartitions() == 8       # never more than there are
+
+
 def test_study_iterations_are_the_defaults(spark):
     assert md.make_estimator("lr", {}, 10).getMaxIter() == 1000
     assert md.make_estimator("lasso", {}, 10).getMaxIter() == 3000
@@ -113,7 +169,7 @@ def test_logit_summary_and_chi_square(spark):
     assert abs(md.chi2_tail(11.070497693516351, 5) - 0.05) < 1e-12
     train = _planted(spark)
     s = md.Logit(train, ["a", "b", "c"]).summary().first()
-    assert s.n_obs == 400 and s.df_model == 2 and s.llf > s.llnull and 0.3 < s.pseudo_r2 < 1 and s.llr_p < 1e-6
+    assert s.n_obs == 120 and s.df_model == 2 and s.llf > s.llnull and 0.3 < s.pseudo_r2 < 1 and s.llr_p < 1e-4
     y = [r.label for r in train.collect()]
     p = sum(y) / len(y)
     assert abs(s.llnull - len(y) * (p * math.log(p) + (1 - p) * math.log(1 - p))) < 1e-9
@@ -155,7 +211,6 @@ def _write_study(spark, folder):
         io.write_table(spark.createDataFrame(values, INPUTS[name]), f"{folder}/{name}.csv", fmt="csv")
 
 
-@slow
 def test_study_from_files_through_all_entries(spark, tmp_path):
     _write_study(spark, str(tmp_path))
     inputs = io.read_study(spark, str(tmp_path))
@@ -183,7 +238,6 @@ def test_study_from_files_through_all_entries(spark, tmp_path):
         r.close()
 
 
-@slow
 def test_smote_above_its_ratio_raises(spark, tmp_path):
     _write_study(spark, str(tmp_path))
     with pytest.raises(ValueError, match="already above"):

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskloom.operators import labels as lab
@@ -56,6 +57,13 @@ def test_link_resolution_branches(spark):
                                "PERMNO long, DLSTDT date, DLSTCD int")
     res = sorted((r.PERMNO, r.gvkey) for r in lk.resolve_links(ev, ext).collect())
     assert res == [(1, 100), (2, 201), (2, 201)]   # duplicates kept; none-valid and unlinked dropped
+    why = {r.reason: r.n_events for r in lk.unresolved_events(ev.unionByName(ev.where("PERMNO = 4")), ext).collect()}
+    assert why == {lk.NO_LINK: 2, lk.NONE_VALID: 1}
+    seen = Observation()
+    observed = lk.resolve_links(ev, ext, dropped=seen)
+    assert sorted((r.PERMNO, r.gvkey) for r in observed.collect()) == res
+    assert seen.get == {"resolved": 3, "no_link": 1, "none_valid": 1}
+    assert lk.unresolved_events(ev.limit(0), ext).count() == 0
 
 
 def test_event_window_bounds(spark):
