@@ -2,8 +2,7 @@
 
 The library never creates a session inside an operator; callers pass one in.
 ``build_session`` is for tests, the bench and local runs. On a cluster the
-session comes from the platform and only ``checkpoint_dir`` / ``cut_lineage``
-are used.
+session comes from the platform and only the scratch helpers are used.
 """
 
 from __future__ import annotations
@@ -23,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the driver keeps the text of every plan it has run, pages of it for wide tables
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.sql.ui.explainMode": "simple",
+    "spark.sql.maxPlanStringLength": "100000",
 }
 
 
@@ -73,9 +76,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"riskloom/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -175,3 +175,15 @@ def test_smote_points_on_segments(spark):
                 if -1e-9 <= t <= 1 + 1e-9 and abs(x[0] + t * ux - r.a) < 1e-9 and abs(x[1] + t * uy - r.b) < 1e-9:
                     ok = True
         assert ok
+
+
+def test_threshold_split_needs_no_shuffle(spark):
+    df = spark.range(20_000).withColumn("part", F.col("id") % 4)
+    out = prep.threshold_split(df, ["id", "part"], 0.2, seed=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    shares = {r.part: r.s for r in out.groupBy("part").agg(F.avg((F.col("split") == "test").cast("double")).alias("s")).collect()}
+    assert len(shares) == 4 and all(abs(s - 0.2) < 0.03 for s in shares.values())
+    less = prep.threshold_split(df.where("id % 3 = 0"), ["id", "part"], 0.2, seed=5)
+    assert less.join(out, ["id", "part", "split"], "left_anti").count() == 0     # a row keeps its side
+    assert prep.threshold_split(df, ["id"], 0.0).where("split = 'test'").count() == 0
