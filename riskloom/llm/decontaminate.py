@@ -4,7 +4,9 @@ An item of m characters may occur with up to k = m * ``ERROR_RATE`` edits. It is
 cut into k + 1 pieces; k edits cannot touch all of them, so every occurrence
 holds at least one piece unchanged. One Aho-Corasick pass over a text finds all
 pieces of all items; around each hit, Myers' bit-parallel algorithm gives the
-least edit distance between the item and a passage of the text.
+least edit distance between the item and a passage of the text. An item of fewer
+than ``MIN_CHARS`` characters is one piece, which must stand in the text as it is and
+between word boundaries: with edits or inside words it would be found by chance.
 
 Items are the query set and texts the data: items go out in blocks of bounded
 size, each block is one pass over the texts, and no text is ever moved.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.shared import filter_arrow, map_arrow
 
 ERROR_RATE = 0.08
-MIN_CHARS = 16
+MIN_CHARS = 16           # shorter items are matched exactly
 BLOCK_BYTES = 4 << 20
 
 
@@ -69,14 +71,21 @@ def char_masks(item: str) -> dict[str, int]:
     return masks
 
 
+def _runs_on(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word. Scripts from U+2E80 on
+    write no spaces, so any place in them is a boundary."""
+    return a.isalnum() and b.isalnum() and a < "\u2e80" and b < "\u2e80"
+
+
 class Matcher:
     """One block of items: the automaton of their pieces and their bit masks."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS) -> None:
         self.items = []
+        self.min_chars = min_chars
         words: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = math.floor(len(text) * rate)
+            k = math.floor(len(text) * rate) if len(text) >= min_chars else 0
             self.items.append((item_id, text, k, char_masks(text)))
             for offset, piece in pieces(text, k):
                 words.setdefault(piece, []).append((len(self.items) - 1, offset))
@@ -88,9 +97,15 @@ class Matcher:
     def match(self, text: str) -> list[tuple[int, int]]:
         """(item id, least distance) of the items that occur in a whole text."""
         spans: dict[int, list[tuple[int, int]]] = {}
+        if not self.items:
+            return []
         for end, (size, places) in self.auto.iter(text):
             for which, offset in places:
                 _, item, k, _ = self.items[which]
+                if len(item) < self.min_chars and (
+                        (end >= size and _runs_on(text[end - size], item[0]))
+                        or (end + 1 < len(text) and _runs_on(item[-1], text[end + 1]))):
+                    continue
                 s = max(0, end + 1 - size - offset - k)
                 e = end + 1 - size - offset + len(item) + k
                 own = spans.setdefault(which, [])
@@ -114,16 +129,16 @@ class Matcher:
 _matchers: dict[str, Matcher] = {}
 
 
-def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
+def _matcher(items: list[tuple[int, str]], rate: float, min_chars: int) -> Matcher:
     """The automaton of a block, built once per Python worker."""
-    key = hashlib.md5(repr((items, rate)).encode()).hexdigest()
+    key = hashlib.md5(repr((items, rate, min_chars)).encode()).hexdigest()
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(items, rate)
+        _matchers[key] = Matcher(items, rate, min_chars)
     return _matchers[key]
 
 
-def _blocks(benchmark: DataFrame, min_chars: int, block_bytes: int):
+def _blocks(benchmark: DataFrame, block_bytes: int):
     """Broadcasts of about ``block_bytes`` of normalised items each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
         F.col("text").isNotNull()).distinct()
@@ -133,7 +148,7 @@ def _blocks(benchmark: DataFrame, min_chars: int, block_bytes: int):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
         yield benchmark.sparkSession.sparkContext.broadcast(
             sorted((r["item_id"] if r["item_id"] is not None else -1, t) for r in rows
-                   if len(t := normal(r["text"])) >= min_chars))
+                   if (t := normal(r["text"]))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
@@ -141,19 +156,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
     """(doc_id, item_id, distance) for every document that holds an item of
     ``benchmark(item_id, text)`` within ``rate`` edits per character of the item.
 
-    Null, empty and shorter items than ``min_chars`` (normalised) match nothing;
-    equal items each give their row; a null ``item_id`` shows as -1. Null or
+    Items shorter than ``min_chars`` (normalised) are found exactly and between word
+    boundaries alone. Null and empty items match nothing; equal items each give their row; a null ``item_id`` shows as -1. Null or
     empty texts hold nothing. Repeated rows of a document give one row per item,
     with the least distance. Empty tables give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
-    for sent in _blocks(benchmark, min_chars, block_bytes):
+    for sent in _blocks(benchmark, block_bytes):
         def make(sent=sent):
             def step(cols):
                 found = []
                 if sent.value:
-                    matcher = _matcher(sent.value, rate)
+                    matcher = _matcher(sent.value, rate, min_chars)
                     found = [(d, i, n) for d, t in zip(cols["doc_id"], cols["text"]) if t
                              for i, n in matcher.match(normal(t))]
                 return {"doc_id": [f[0] for f in found], "item_id": [f[1] for f in found],
@@ -168,12 +183,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, all columns; rules as in ``matches``."""
-    for sent in _blocks(benchmark, min_chars, block_bytes):
+    for sent in _blocks(benchmark, block_bytes):
         def make(sent=sent):
             def keep(texts):
                 if not sent.value:
                     return [True] * len(texts)
-                matcher = _matcher(sent.value, rate)
+                matcher = _matcher(sent.value, rate, min_chars)
                 return [not t or not matcher.match(normal(t)) for t in texts]
             return keep
 

@@ -3,9 +3,11 @@
 Documents are counted by (source, exact length in words). A source's target is
 met by taking every document the whole number of times that fits, and then a
 subset for the rest of the budget: lengths in proportion first, so the subset
-looks like its source, and the last ``DP_WORDS`` words by a bounded-knapsack
-dynamic program that comes as near to the budget as the lengths allow. Which
-documents of a length are taken is decided by a seeded hash.
+looks like its source, and what is left by a bounded-knapsack dynamic program that
+comes as near to it as the lengths allow. At least ``COVER - 1`` times the longest
+length is left to the program, so texts of any length take part in it, and a
+budget below ``COVER`` times the longest length is its own alone. Which documents of
+a length are taken is decided by a seeded hash.
 
 Only counts by length meet in one place, one source at a time. Documents are
 ranked inside hash buckets of their (source, length), so a length that a third
@@ -22,7 +24,8 @@ from riskloom.llm.shared import body, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-DP_WORDS = 20_000
+DP_WORDS = 20_000        # the dynamic program has at least so many words to fit
+COVER = 4                # and so many times the longest length
 BUCKET_BITS = 12
 SEED = 7
 
@@ -30,27 +33,35 @@ SEED = 7
 def knapsack(sizes: list[int], counts: list[int], budget: int) -> dict[int, int]:
     """Counts per size with the greatest sum that does not exceed ``budget``.
 
-    Bounded subset-sum: the reachable sums are the bits of an integer, a count is
-    split into powers of two, and the choices are traced back at the end.
+    Bounded subset-sum: a count is split into powers of two, each a step that adds
+    sums to those reached so far. The step that first reached a sum is kept, and
+    the choices are traced back from the greatest; the steps on the way back only
+    get earlier, so none is used twice. Memory is a few bytes a unit of the budget.
     """
-    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
+    reached = np.zeros(budget + 1, bool)
+    reached[0] = True
+    first = np.zeros(budget + 1, np.int32)
+    steps: list[tuple[int, int]] = []
     for size, count in zip(sizes, counts):
         if size <= 0 or size > budget:
             continue
         count, chunk = min(count, budget // size), 1
-        while count > 0 and not reach >> budget & 1:
+        while count > 0 and not reached[budget]:
             take = min(chunk, count)
-            steps.append((size, take, reach))
-            reach |= (reach << (size * take)) & mask
+            jump = size * take
+            new = reached[:-jump] & ~reached[jump:]
+            first[jump:][new] = len(steps)
+            reached[jump:] |= new
+            steps.append((size, take))
             count -= take
             chunk *= 2
-        if reach >> budget & 1:
+        if reached[budget]:
             break
-    at, chosen = reach.bit_length() - 1, {}
-    for size, take, before in reversed(steps):
-        if not before >> at & 1:
-            chosen[size] = chosen.get(size, 0) + take
-            at -= size * take
+    at, chosen = int(np.flatnonzero(reached)[-1]), {}
+    while at:
+        size, take = steps[first[at]]
+        chosen[size] = chosen.get(size, 0) + take
+        at -= size * take
     return chosen
 
 
@@ -59,14 +70,16 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
     """How many documents of each size to take so that their words come near ``budget``.
 
     Every document is offered once; the dynamic program turns to further copies,
-    up to ``copies`` of each, only if single ones cannot reach the budget.
+    up to ``copies`` of each, only if single ones cannot reach the budget. Its part
+    of the budget grows with the longest length on offer.
     """
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    share = counts * (budget / total)
+    dp_words = max(dp_words, COVER * int(sizes.max()))
+    share = counts * (max(0, budget - dp_words) / total)
     taken = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((sizes * taken).sum())
     for i in np.lexsort((sizes, -(share - taken))):  # largest remainders first
@@ -79,14 +92,14 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
         if rest <= dp_words:
             break
         if sizes[i] > 0:
-            more = min(int(counts[i] - taken[i]), max(0, rest - dp_words // 2) // int(sizes[i]))
+            more = min(int(counts[i] - taken[i]), max(0, rest - dp_words) // int(sizes[i]))
             taken[i] += more
             rest -= more * int(sizes[i])
     if rest > 0:
         order = np.argsort(-sizes, kind="stable")
         offer = [(int(sizes[i]), int(counts[i] - taken[i])) for i in order]
         offer += [(int(sizes[i]), int(counts[i]) * (copies - 1)) for i in order]
-        chosen = knapsack([o[0] for o in offer], [o[1] for o in offer], min(rest, 2 * dp_words))
+        chosen = knapsack([o[0] for o in offer], [o[1] for o in offer], rest)
         at = {int(s): i for i, s in enumerate(sizes)}
         for size, n in chosen.items():
             taken[at[size]] += n

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from riskloom.llm.shared import map_arrow, sample_ids
 
 SAMPLE_PER_LABEL = 3000   # labelled documents per label, for training only
-SAMPLE_LINES = 2000       # longer documents are not in the training sample
+SAMPLE_LINES = 2000       # lines of a piece of text that the model learns from
+SAMPLE_CHARS = 200_000    # and its characters
+SAMPLE_PIECES = 4         # pieces of a longer document, spread over all of it
 EPOCHS = 40
 BATCH = 256
 
@@ -183,19 +185,46 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return model
 
 
+def sample_pieces(text: str) -> list[str]:
+    """What the model learns from of one document: the text, or of a longer one
+    ``SAMPLE_PIECES`` runs of whole lines, spread evenly from its start to its end. A
+    line of more than ``SAMPLE_CHARS`` is cut there."""
+    cuts, at, lines = [0], 0, 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        end = min(end, at + SAMPLE_CHARS)
+        if lines == SAMPLE_LINES or end - cuts[-1] > SAMPLE_CHARS:
+            cuts.append(at)
+            lines = 0
+        at, lines = end, lines + 1
+    spans = list(zip(cuts, cuts[1:] + [len(text)]))
+    if len(spans) > SAMPLE_PIECES:
+        spans = [spans[round(i * (len(spans) - 1) / (SAMPLE_PIECES - 1))] for i in range(SAMPLE_PIECES)]
+    return [text[a:b].removesuffix("\n") if b < len(text) else text[a:b] for a, b in spans]
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    def make():
+        def step(cols):
+            found = [(d, p, q) for d, t, q in zip(cols["doc_id"], cols["text"], cols["stratum"]) for p in sample_pieces(t)]
+            return {"doc_id": [f[0] for f in found], "text": [f[1] for f in found], "stratum": [f[2] for f in found]}
+        return step
+
+    return map_arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("stratum").cast("int").alias("stratum")),
+                     make, "doc_id long, text string, stratum int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, seed: int = 7) -> LineCrf:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``; at most
-    ``per_label`` documents per label. Rows without a label teach nothing; without
+    ``per_label`` documents per label, of long ones a few pieces. Rows without a label teach nothing; without
     two labels every text gets the same score."""
     marked = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     known = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = sample_ids(known, "quality", per_label, seed)  # at most 2 x per_label rows
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(picked), "doc_id")
-            .filter(F.length("text") - F.length(F.translate("text", "\n", "")) < SAMPLE_LINES)
-            .filter(F.length("text") < 100 * SAMPLE_LINES))
-    found = sorted({(r["doc_id"], r["text"], r["stratum"]) for r in rows.collect()})
+            .join(F.broadcast(picked), "doc_id"))
+    found = sorted({(r["doc_id"], r["text"], r["stratum"]) for r in _pieces(rows).collect()})
     return train([t for _, t, _ in found], [q for _, _, q in found], seed=seed)
 
 

@@ -353,3 +353,12 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.matches(docs(spark, []), bench).count() == 0
     assert decontaminate.matches(docs(spark, awkward()), none).count() == 0
     assert decontaminate.clean(docs(spark, awkward()), none).count() == len(awkward())
+
+
+def test_short_items_are_found_whole_and_exactly(spark):
+    items = [(1, "What is 2 + 2?"), (2, "中国首都是哪里"), (3, "one"), (4, " \n")]
+    rows = [(1, "so, what is  2 + 2? Four"), (2, "somewhat is 2 + 2?"), (3, "问题：中国首都是哪里呢"), (4, "none of the ones"),
+            (5, "(One)"), (6, "what is 2 - 2?"), (7, "none, then one"), (8, "")]
+    got = sorted(map(tuple, decontaminate.matches(
+        docs(spark, rows, clash=True), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == [(1, 1, 0), (3, 2, 0), (5, 3, 0), (7, 3, 0)]
