@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, langid, line_dedup, mixing, ngram_join
 from riskloom.llm.shared import fold, materialize, restrict, table
 
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose text is near no language: null, without letters, or rejected."""
@@ -19,13 +22,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that an earlier document holds already."""
-    return line_dedup.line_dedup(docs)
+    """Drops the lines that an earlier document holds already, and the documents that had
+    words before and have none left. A text without words stays as it is."""
+    had = "had_words"
+    while had in docs.columns:
+        had = "_" + had
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return line_dedup.line_dedup(docs.withColumn(had, words)).filter(words | ~F.col(had)).drop(had)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each group of near duplicates."""
-    found = ngram_join.jaccard_join(docs)
+    """Keeps the smallest ``doc_id`` of each group of near duplicates: five words a
+    shingle, a similarity of 0.8 or more."""
+    found = ngram_join.jaccard_join(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     return restrict(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
