@@ -206,10 +206,24 @@ def cloud(rng, n, centres, most):
     return out
 
 
-@pytest.mark.parametrize("limit,step,pairs,run", [(1 << 17, 4, 1 << 16, 1 << 17), (20, 4, 8, 50), (4, 24, 64, 1)])
-def test_trie_join_matches_brute_force(spark, monkeypatch, limit, step, pairs, run):
-    monkeypatch.setattr(simhash, "STEP", step)
+@pytest.mark.parametrize("pairs", [1 << 16, 8, 1])
+def test_descent_in_small_steps(monkeypatch, pairs):
     monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "DIRECT", 16 if pairs > 1 else 1)
+    for seed in range(8):
+        rng = random.Random(seed)
+        some = sorted(set(cloud(rng, 200, [rng.getrandbits(64) for _ in range(5)], 6) + [0, 1, (1 << 64) - 1]))
+        none = np.zeros(len(some), np.int64)
+        i, j = simhash.joined(none, np.array(some, np.uint64), none, 3)
+        got = list(range(len(some)))
+        for a, b in zip(i.tolist(), j.tolist()):
+            got[a] = b                       # the first of its component
+        assert got == brute_components(list(enumerate(some)))
+
+
+@pytest.mark.parametrize("limit,step,run", [(1 << 17, 4, 1 << 17), (20, 4, 50), (4, 24, 1)])
+def test_trie_join_matches_brute_force(spark, monkeypatch, limit, step, run):
+    monkeypatch.setattr(simhash, "STEP", step)
     rng = random.Random(limit)
     centres = [rng.getrandbits(64) for _ in range(6)]
     some = sorted(set(cloud(rng, 260, centres, 6) + [rng.getrandbits(64) for _ in range(40)] + [0, 1, (1 << 64) - 1]))
