@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN = 10, 16
+ENOUGH = 0.99             # share of held-out texts read right that ends training
 N_CHARS = 99  # padding, 95 printable ASCII, white space, letter, anything else
 
 
@@ -16,10 +17,6 @@ def char_ids(text: str) -> list[int]:
     return [ord(c) - 31 if " " < c <= "~" else 96 if c.isspace() else 97 if c.isalpha() else 98 for c in text]
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _lse(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -61,13 +58,15 @@ class Tagger:
         x = np.stack([e, back])                                  # 2 B T E
         gx = np.matmul(x.reshape(2, -1, EMBED), p["wx"]).reshape(2, *ids.shape, 4 * HIDDEN) + p["b"][:, None]
         n, width = ids.shape
-        h, c = np.zeros((2, n, HIDDEN)), np.zeros((2, n, HIDDEN))
-        hs = np.empty((2, n, width, HIDDEN))
+        h, c = np.zeros((2, n, HIDDEN), x.dtype), np.zeros((2, n, HIDDEN), x.dtype)
+        hs = np.empty((2, n, width, HIDDEN), x.dtype)
         tape = []
+        half = np.repeat(np.array([0.5, 1.0], x.dtype), [3 * HIDDEN, HIDDEN])
         for t in range(width):
             g = gx[:, :, t] + np.matmul(h, p["wh"])
-            i, f, o = (_sigmoid(g[..., a * HIDDEN:(a + 1) * HIDDEN]) for a in range(3))
-            u = np.tanh(g[..., 3 * HIDDEN:])
+            act = np.tanh(g * half)  # a gate's sigmoid is (1 + tanh(x / 2)) / 2
+            gates, u = 0.5 * act[..., :3 * HIDDEN] + 0.5, act[..., 3 * HIDDEN:]
+            i, f, o = (gates[..., a * HIDDEN:(a + 1) * HIDDEN] for a in range(3))
             c_new = f * c + i * u
             tc = np.tanh(c_new)
             if keep:
@@ -84,9 +83,9 @@ class Tagger:
         d_both = d_score @ p["out"].T
         d_hs = np.stack([d_both[..., :HIDDEN], np.zeros_like(d_both[..., HIDDEN:])])
         np.put_along_axis(d_hs[1], at[..., None], d_both[..., HIDDEN:], axis=1)
-        d_g = np.empty((2, n, width, 4 * HIDDEN))
+        d_g = np.empty((2, n, width, 4 * HIDDEN), x.dtype)
         grad["wh"] = np.zeros_like(p["wh"])
-        dh, dc = np.zeros((2, n, HIDDEN)), np.zeros((2, n, HIDDEN))
+        dh, dc = np.zeros((2, n, HIDDEN), x.dtype), np.zeros((2, n, HIDDEN), x.dtype)
         wh_t = p["wh"].transpose(0, 2, 1)
         for t in range(width - 1, -1, -1):
             i, f, o, u, c_old, tc, h_old = tape[t]
@@ -110,7 +109,7 @@ class Tagger:
     def _posterior(self, score, length, with_moves=True):
         """Tag marginals (B T Y) and expected transitions (Y Y)."""
         n, width, y = score.shape
-        move = self.p["trans"] + self.allowed
+        move = (self.p["trans"] + self.allowed).astype(score.dtype)
         live = np.arange(width)[None] < length[:, None]
         a, b = np.empty_like(score), np.zeros_like(score)
         a[:, 0] = score[:, 0] + self.first
@@ -154,14 +153,22 @@ class Tagger:
             ids[i, :len(t)] = char_ids(t)
         return ids, length
 
-    def train(self, texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int, batch: int = 32,
-              rate: float = 0.012, seed: int = 7) -> None:
-        """``spans``: (kind index, start, end) of each text. Adam on the exact CRF gradient."""
+    def train(self, texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int, batch: int = 64,
+              rate: float = 0.01, seed: int = 7, held=None) -> None:
+        """``spans``: (kind index, start, end) of each text. Adam on the exact CRF gradient,
+        in single precision, with a rate that falls to a tenth. With ``held`` (texts, spans)
+        training ends once ``ENOUGH`` of its texts are read without fault, and the
+        parameters that read most of them right are kept."""
         rng = np.random.default_rng(seed)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        best, kept = -1.0, self.p
+        lengths = np.array([len(t) for t in texts])
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(texts), batch)
+            # a batch holds texts of about the same length, since it is as wide as its longest
+            pick = rng.integers(0, len(texts), 4 * batch)
+            pick = pick[np.argsort(lengths[pick], kind="stable")].reshape(4, batch)[rng.integers(4)]
             ids, length = self.pack([texts[i] for i in pick])
             gold = np.zeros(ids.shape, np.int64)
             for row, i in enumerate(pick):
@@ -171,17 +178,31 @@ class Tagger:
             score, cache = self._forward(ids, length, keep=True)
             live = np.arange(ids.shape[1])[None] < length[:, None]
             marginal, moved = self._posterior(score, length)
-            d_score = (marginal - np.eye(self.n_tags)[gold] * live[..., None]) / batch
+            d_score = ((marginal - np.eye(self.n_tags)[gold] * live[..., None]) / batch).astype(score.dtype)
             grad = self._backward(ids, cache, d_score)
             seen = np.zeros_like(moved)
             np.add.at(seen, (gold[:, :-1][live[:, 1:]], gold[:, 1:][live[:, 1:]]), 1)
             grad["trans"] = (moved - seen) / batch
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            now = rate * (0.1 + 0.9 * (1 - step / steps))
             for k, g in grad.items():
                 g = g * min(1.0, 5.0 / max(norm, 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+                self.p[k] = self.p[k] - np.float32(now) * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+            if held and held[0] and (step % 100 == 0 or step == steps):
+                right = self.accuracy(*held)
+                if right > best:
+                    best, kept = right, dict(self.p)
+                if right >= ENOUGH:
+                    break
+        if best >= 0:
+            self.p = kept
+
+    def accuracy(self, texts: list[str], spans: list[list[tuple[int, int, int]]]) -> float:
+        """Share of the texts whose spans are decoded exactly, none more and none less."""
+        got = self.decode(texts)
+        return sum({x[:3] for x in g} == set(want) for g, want in zip(got, spans)) / len(texts)
 
     def decode(self, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int, float]]]:
         """(kind index, start, end, sum of the posteriors of its characters) per text."""

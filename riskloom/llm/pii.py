@@ -2,8 +2,10 @@
 
 Base spans follow the stated patterns. The model (``charmodel.Tagger``) is
 trained from labelled spans: the base spans of a bounded sample of documents,
-and the same spans rewritten as people disguise them ("name [at] host [dot] org",
-a national phone number without its plus).
+and the same spans with other letters and digits, rewritten as people disguise them
+("name [at] host [dot] org", a national phone number without its plus) and set
+between other words. Training ends when windows held out of it are read right, or
+after ``TRAIN_STEPS``.
 
 The model reads every place of a text where a span can lie that passes the check
 of its kind: such a span holds a digit, an at-sign or a spelled-out at between
@@ -19,11 +21,13 @@ spelled-out marks are put back; base spans always stay.
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from bisect import bisect_right
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,10 @@ MARGIN = 16
 WINDOW = 2 * REACH
 SAMPLE_DOCS = 1500        # documents with candidates that teach the model
 SAMPLE_WINDOWS = 4        # windows taken of each
-TRAIN_STEPS = 400
+SHARES = (5, 1, 1, 3)     # of the lessons, by kind: more for what is written in more forms
+LESSONS = 24_000          # windows made of those with spans reworded
+TRAIN_STEPS = 1000        # at most; training ends when held-out windows are read right
+HELD_SHARE = 10           # one of so many sampled windows is held out of training
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -210,38 +217,134 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, in
     return out
 
 
-def _disguised(kind: int, span: str, rng: random.Random) -> str | None:
+# The marks by which people write an address, plain ones included.
+AT_FORMS = ("@", " [at] ", " (at) ", "[at]", "(at)", " at ")
+DOT_FORMS = (".", " [dot] ", " (dot) ", "[dot]", "(dot)", " dot ")
+PHONE_FORMS = ("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}", "({0}){1}-{2}", "{0}{1}{2}")
+
+
+def _number(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def _word(words: list[str], rng: random.Random) -> str:
+    return rng.choice(words) if rng.random() < 0.5 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz")
+                                                                for _ in range(rng.randint(1, 9)))
+
+
+def reworded(kind: int, span: str, words: list[str], rng: random.Random) -> str | None:
+    """The span with other letters and digits, in one of the forms people write it in;
+    None if that is no span of its kind."""
     if kind == 0:
-        at = rng.choice([" [at] ", " (at) ", "[at]", " at "])
-        dot = rng.choice([" [dot] ", " dot ", "[dot]", " (dot) "])
-        return span.replace("@", at).replace(".", dot) if span.count(".") < 4 else None
-    if kind == 3:
-        d = _digits(span)[-10:]
-        if len(d) < 10:
-            return None
-        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}",
-                           f"{d[:3]} {d[3:6]} {d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}", d])
-    return None
-
-
-def lessons(rows: list[str], seed: int = 7):
-    """Training windows and their spans: as found, and with one span disguised."""
+        name, host = span.split("@")
+        if rng.random() < 0.7:
+            name = rng.choice("._-").join(_word(words, rng) for _ in range(rng.randint(1, 3)))
+            name += _number(rng, rng.choice([0, 0, 1, 2, 4]))
+        if rng.random() < 0.7:
+            labels = [rng.choice(["-", ""]).join(_word(words, rng) for _ in range(rng.choice([1, 1, 2])))
+                      for _ in range(rng.randint(1, 2))]
+            host = ".".join([*labels, _word(words, rng)[:rng.randint(2, 4)]])
+        at, dot = rng.choice(AT_FORMS), rng.choice(DOT_FORMS)
+        if rng.random() < 0.5:
+            name = name.replace(".", dot)
+        new = name + at + host.replace(".", dot)
+        new = new.upper() if rng.random() < 0.1 else new
+    elif kind == 1:
+        new = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    elif kind == 2:
+        n = len(_digits(span))
+        body = _number(rng, n - 1)
+        digits = iter(body + next(c for c in "0123456789" if luhn(body + c)))
+        new = "".join(next(digits) if c in "0123456789" else c for c in span)
+    elif rng.random() < 0.15:
+        new = re.sub("[0-9]", lambda _: rng.choice("0123456789"), span)
+        return new if _PHONE.fullmatch(new) else None
+    else:
+        new = rng.choice(PHONE_FORMS).format(_number(rng, 3), _number(rng, 3), _number(rng, 4))
+    return new if genuine(kind, new) else None
+
+
+def harmless(rng: random.Random) -> str:
+    """A date, time, amount, count or key, which is no span of any kind."""
+    own = rng.randint(1900, 2050)
+    year, month, day = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+    clock = f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}"
+    return rng.choice([
+        f"{year}-{month:02}-{day:02}", f"{year}-{month:02}-{day:02} {clock}", f"{day:02}.{month:02}.{year}",
+        f"{month}/{day}/{year}", clock, f"{year}", f"{year}-{year + 1}",
+        f"{own} {own + rng.randint(1, 9)} {own + rng.randint(10, 19)}", f"ISBN 978-{rng.randint(0, 9)}-{_number(rng, 2)}-{_number(rng, 6)}-{_number(rng, 1)}",
+        f"{rng.randint(1, 999)},{_number(rng, 3)}.{_number(rng, 2)}",
+        f"{rng.randint(0, 99)}.{_number(rng, rng.randint(1, 3))}", f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        _number(rng, rng.randint(1, 8)), _number(rng, rng.randint(20, 40)), "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40))),
+        f"@{''.join(rng.choice('abcdefghij') for _ in range(5))}", f"at {clock}", f"at {_number(rng, 2)} dot"])
+
+
+def _placed(window: str, taken: list[tuple[int, int, int]], new: str, rng: random.Random):
+    """``new`` in a gap between words of the window: (text, spans, start), or None without a gap."""
+    gaps = [m.start() for m in re.finditer(" ", window) if not any(s <= m.start() < e for s, _, e in taken)]
+    gaps += [i for i in (0, len(window)) if not any(s < i < e for s, _, e in taken)]
+    if not gaps:
+        return None
+    at = rng.choice(gaps)
+    before = rng.choice([" ", " ", " ", ": ", " (", "\n"]) if at else ""
+    after = rng.choice([" ", " ", " ", ". ", ", ", ") ", "\n"]) if at < len(window) else rng.choice(["", "", ".", " "])
+    rest = window[at:].lstrip(" ")
+    start = at + len(before)
+    shift = start + len(new) + len(after) - (len(window) - len(rest))
+    moved = [(s, k, e) if e <= at else (s + shift, k, e + shift) for s, k, e in taken]
+    return window[:at] + before + new + after + rest, moved, start
+
+
+def _cropped(text: str, spans: list[tuple[int, int, int]], lo: int, hi: int):
+    """The text from ``lo`` to ``hi``, moved outward where that would cut a span."""
+    lo = min([s for s, _, e in spans if s < lo < e], default=lo)
+    hi = max([e for s, _, e in spans if s < hi < e], default=hi)
+    return text[lo:hi], [(k, s - lo, e - lo) for s, k, e in spans if lo <= s and e <= hi]
+
+
+def lessons(rows: list[str], seed: int = 7, size: int = LESSONS):
+    """Training windows and their spans: as found, and about ``size`` more, by the
+    ``SHARES`` of their kinds, in which a span is reworded, where it stood or between words of any window,
+    with more or less of the text around it; every fifth holds a harmless number instead."""
     rng = random.Random(seed)
     texts, spans = [], []
+    clear: dict[str, list[tuple[int, int, int]]] = {}
+    by_kind: dict[int, list[tuple[str, tuple[int, int, int]]]] = {}
     for window in rows:
         own = base_spans(window)
-        clear = [(s, k, e) for i, (s, k, e) in enumerate(own)
-                 if all(e <= o[0] or o[2] <= s for j, o in enumerate(own) if j < i)]
+        clear[window] = [(s, k, e) for i, (s, k, e) in enumerate(own)
+                         if all(e <= o[0] or o[2] <= s for j, o in enumerate(own) if j < i)]
         texts.append(window)
-        spans.append([(k, s, e) for s, k, e in clear])
-        for pick in clear:
-            new = _disguised(pick[1], window[pick[0]:pick[2]], rng)
-            if new is None:
+        spans.append([(k, s, e) for s, k, e in clear[window]])
+        for span in clear[window]:
+            by_kind.setdefault(span[1], []).append((window, span))
+    words = sorted({w.lower() for row in rows for w in re.findall("[A-Za-z]{2,10}", row)}) or ["a"]
+    kinds = [k for k in sorted(by_kind) for _ in range(SHARES[k])]
+    for i in range(size if kinds else 0):
+        kind = kinds[i % len(kinds)]
+        window, (s, _, e) = rng.choice(by_kind[kind])
+        new = harmless(rng) if i % 5 == 4 else reworded(kind, window[s:e], words, rng)
+        if new is None:
+            continue
+        if i % 5 != 4 and rng.random() < 0.3:
+            shift = len(new) - (e - s)
+            text = window[:s] + new + window[e:]
+            held = [(a, k, b) if b <= s else (a + shift, k, b + shift) for a, k, b in clear[window] if (a, b) != (s, e)]
+            start = s
+        else:
+            place = rng.choice(rows)
+            found = _placed(place, clear[place], new, rng)
+            if found is None:
                 continue
-            shift = len(new) - (pick[2] - pick[0])
-            texts.append(window[:pick[0]] + new + window[pick[2]:])
-            spans.append([(k, s, e) if e <= pick[0] else (k, s, s + len(new)) if s == pick[0] else (k, s + shift, e + shift)
-                          for s, k, e in clear])
+            text, held, start = found
+        if i % 5 != 4:
+            held = sorted([*held, (start, kind, start + len(new))])
+        else:
+            held = sorted(held)
+        lo, hi = max(0, start - rng.randint(0, REACH // 2)), min(len(text), start + len(new) + rng.randint(0, REACH // 2))
+        text, held = _cropped(text, held, lo, hi)
+        texts.append(text)
+        spans.append(held)
     return texts, spans
 
 
@@ -265,12 +368,24 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEP
             return {"piece": out}
         return step
 
-    pieces = sorted({r["piece"] for r in map_arrow(restrict(some, ids), make, "piece string").collect()})
-    if not pieces:
-        return None
+    def teach(batches):
+        pieces = sorted({p for batch in batches for p in batch.column("piece").to_pylist()})
+        if pieces:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(trained(pieces, steps, seed))]})
+
+    # training is one task on an executor: at most sample_docs * SAMPLE_WINDOWS windows
+    pieces = map_arrow(restrict(some, ids), make, "piece string").distinct().repartition(1)
+    made = pieces.mapInArrow(teach, schema="model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
+
+
+def trained(pieces: list[str], steps: int = TRAIN_STEPS, seed: int = 7, size: int = LESSONS) -> Tagger:
+    """A model taught by ``lessons`` of the windows, every ``HELD_SHARE``-th of which is held out."""
     model = Tagger(KINDS, seed)
-    texts, spans = lessons(pieces, seed)
-    model.train(texts, spans, steps, seed=seed)
+    apart = len(pieces) >= 2 * HELD_SHARE
+    held = lessons(pieces[::HELD_SHARE], seed + 1, size // 40) if apart else None
+    own = lessons([p for i, p in enumerate(pieces) if i % HELD_SHARE or not apart], seed, size)
+    model.train(*own, steps, seed=seed, held=held)
     return model
 
 
