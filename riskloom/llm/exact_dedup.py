@@ -33,8 +33,14 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int) -> None:
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+    def create(self) -> DigestIndex:
+        """Make the table, without rows, if it is not there."""
+        if not self.spark.catalog.tableExists(self.name):
+            self.append(self.spark.range(0).select(F.unhex(F.lit("")).alias("digest"), F.col("id").alias("keep_id")))
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
         (rows.select("digest", "keep_id")
@@ -64,8 +70,7 @@ def absorb(index: DigestIndex, docs: DataFrame, hot_parts: int = HOT_PARTS) -> D
                        "digests")
     groups = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("least"),
                                                     F.count(F.lit(1)).alias("group_size")), "groups")
-    known = index.read()
-    new = groups if known is None else groups.join(known.hint("merge"), "digest", "left_anti")
+    new = groups.join(index.create().read().hint("merge"), "digest", "left_anti")
     index.append(new.select("digest", F.col("least").alias("keep_id")))
 
     held = index.read().withColumnRenamed("digest", "held_digest")
@@ -88,7 +93,7 @@ def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """A new, empty index below the shared folder."""
     tag = uuid.uuid4().hex
     return DigestIndex(spark, f"digest_index_{tag}", scratch_path(spark, f"riskloom/index-{tag}"),
-                       buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+                       buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))).create()
 
 
 SQL = r"""

@@ -33,6 +33,7 @@ def test_exact_dedup_matches_brute_force(spark, hot_parts):
 
 def test_index_persists_across_batches(spark):
     index = exact_dedup.fresh_index(spark, 4)
+    assert index.read().columns == ["digest", "keep_id"] and index.read().count() == 0  # the anti-join has its table
     exact_dedup.absorb(index, docs(spark, [(5, "a b"), (6, "c")])).collect()
     again = {r["doc_id"]: r for r in exact_dedup.absorb(index, docs(spark, [(1, "a  b"), (2, "d"), (3, "d")])).collect()}
     assert (again[1]["keep_id"], again[1]["kept"]) == (5, False)
