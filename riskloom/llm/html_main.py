@@ -40,9 +40,14 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 # The void, raw-text, inline and paragraph-like elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp annotation annotation-xml desc "
+                "metadata".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
+                   "strike strong sub sup time tt u var wbr "
+                    # of formulas and drawings, whose text reads on
+                    "math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup mover munder "
+                    "munderover mpadded mphantom menclose mtable mtr mtd svg g text tspan textpath path rect circle ellipse line "
+                    "polyline polygon use defs symbol".split())
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th tr caption".split())
 # Elements and class words that name what is not the article.
 DROP = frozenset("head nav footer aside form button select dialog object canvas audio video menu".split())
@@ -92,6 +97,10 @@ def _digest(said: str) -> int:
     return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+# Blocks are hashed into a running polynomial, so that of any run of them is known at once.
+PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79
+
+
 class _Open:
     __slots__ = ("tag", "dropped", "article", "first", "named")
 
@@ -109,6 +118,8 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
     stack: list[_Open] = []
+    depth: dict[str, int] = {}             # open elements by tag
+    run, size, power = [0], [0], [1]       # of the blocks so far: polynomial and length; powers of its base
     marked: set[str] = set()
 
     def dropped():
@@ -121,20 +132,30 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
             if words:
                 blocks.append(words)
                 in_article.append(bool(stack) and stack[-1].article)
+                run.append((run[-1] * BASE + _digest(words)) % PRIME)
+                size.append(size[-1] + len(words))
+                if len(power) < len(run):
+                    power.append(power[-1] * BASE % PRIME)
+
+    def push(node):
+        stack.append(node)
+        depth[node.tag] = depth.get(node.tag, 0) + 1
 
     def pop():
         node = stack.pop()
+        depth[node.tag] -= 1
         if node.dropped or node.first == len(blocks):
             return
         if node.named:  # and no article came up in it
-            del blocks[node.first:], in_article[node.first:]
+            del blocks[node.first:], in_article[node.first:], run[node.first + 1:], size[node.first + 1:]
             while subtrees and subtrees[-1][2] > node.first:
                 subtrees.pop()
             return
         if node.tag in ("html", "body"):
             return
-        digest = _digest("\x00".join([node.tag, *blocks[node.first:]]))
-        short = node.tag in TEXT_LEVEL and sum(map(len, blocks[node.first:])) < SHORT
+        n = len(blocks) - node.first
+        digest = _digest(f"{node.tag}\x00{n}\x00{(run[-1] - run[node.first] * power[n]) % PRIME}")
+        short = node.tag in TEXT_LEVEL and size[-1] - size[node.first] < SHORT
         subtrees.append((digest & ~3 | ((3 if node.article else 1) if short else 0), node.first, len(blocks)))
 
     at, n = 0, len(html)
@@ -158,7 +179,7 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
                     pop()
                 continue
             flush()
-            if any(o.tag == tag for o in stack):
+            if depth.get(tag):
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -177,7 +198,7 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
         if tag in INLINE:
             if (named or drop) and not dropped() and not m["attr"].endswith("/"):
                 flush()
-                stack.append(_Open(tag, drop, article, len(blocks), named))
+                push(_Open(tag, drop, article, len(blocks), named))
             continue
         flush()
         if tag in ENDS_P and any(o.tag == "p" for o in stack[-4:]):
@@ -192,7 +213,7 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
             marked.add(tag)  # the article itself, not a comment or teaser after it: what it lies in is no boilerplate
             for o in stack:
                 o.named = False
-        stack.append(_Open(tag, drop, article, len(blocks), named))
+        push(_Open(tag, drop, article, len(blocks), named))
     flush()
     while stack:
         pop()
@@ -207,7 +228,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     and ``min_share`` of them, hold it (``GUARD_SHARE`` of them if it is guarded),
     if the same is true of the pages of a section, or if ``many_pages`` of the host
     hold it and it is no short paragraph, item or cell. Pages with the same text count once. A null or empty html has the empty text.
-    A null url is a host of its own. Repeated rows give repeated results; an empty
+    Very long pages are read whole, in time that grows with their length however deep
+    they nest. A null url is a host of its own. Repeated rows give repeated results; an empty
     table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))

@@ -295,6 +295,31 @@ def test_class_words_on_wrappers_drop_nothing():
     assert blocks == ["a", "d"] and len(inside) == 2 and sorted(t[1:] for t in trees) == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_formulas_and_drawings_keep_their_text():
+    text = lambda html: " ".join(html_main.parse(html)[0])
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math>"
+    assert text(f"<p>Energy is {formula} here</p>") == "Energy is E=m here"
+    assert text("<p>See <svg><title>icon</title><path d='M0'/><text>Fig. 1</text></svg> there") == "See Fig. 1 there"
+    assert text("<p>See <svg aria-hidden=true><text>x</text></svg> there") == "See there"
+
+
+def test_subtree_hashes_follow_tag_and_text():
+    of = lambda html: {t[1:]: t[0] for t in html_main.parse(html)[2]}
+    a, b = of("<div><p>one</p><p>two</p></div><div><p>x</p></div>"), of("<h1>top</h1><div><p>one</p><i>a</i><p>two</p></div>")
+    c = of("<h1>top</h1><div class=k><p>one</p><p>two</p></div><section><p>one</p><p>two</p></section>")
+    assert a[0, 2] != a[2, 3] and of("<div>a</div>") != of("<p>a</p>")
+    assert c[1, 3] == a[0, 2] != c[3, 5] and a[0, 2] not in b.values()
+    assert of("<div><p>one</p><div class=ad>x<p>y</p></div><p>two</p></div>")[0, 2] == a[0, 2]  # what is dropped leaves no trace
+
+
+def test_deep_nesting_is_read_in_time():
+    n = 200_000
+    blocks, _, trees = html_main.parse("<div>" * n + "end" + "</p></div>" * n)
+    assert blocks == ["end"] and len(trees) == n
+    blocks, _, trees = html_main.parse("<div>a" * n)
+    assert len(blocks) == n and len(trees) == n
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(9)
     parts = ["<p>", "</p>", "<div class=\"a", "\">", "<li>", "</ul>", "text", "&amp;", "<", ">", "<!--", "-->", "<b>", "</b>",
