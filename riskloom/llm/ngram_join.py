@@ -186,14 +186,22 @@ def _signatures(texts: DataFrame, rank, n: int, percent: int) -> DataFrame:
     return map_arrow(texts, make, "node long, size long, digest binary, prefix array<long>, bitmap binary")
 
 
-def _tiles(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _tiles(tokens: DataFrame, sizes: DataFrame, percent: int, hot_parts: int = HOT_PARTS) -> DataFrame:
     """(tile, band, own, node, size): who meets whom. A class belongs to the band of
     its size and visits the next one, where sets up to 1/t larger are."""
+    both = [F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))]
+    # what over 1 / HOT_PARTS of the rows hold is summed by parts and sent to its rows: at most HOT_PARTS tokens
+    total = tokens.count()
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") * hot_parts > total)
+    hot = materialize(held.filter(F.col("m") >= 2).select("token"), "hot-tokens")
+    sums = tokens.join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(
+        both[0].alias("x"), both[1].alias("y"), F.count(F.lit(1)).alias("m"))
+    of_hot = tokens.join(F.broadcast(sums), "token").select("node", "x", "y", "m")
     same = Window.partitionBy("token")
-    met = (tokens.withColumn("m", F.count(F.lit(1)).over(same)).filter(F.col("m") >= 2)
-           .select("node",
-                   F.bit_xor(F.xxhash64("node")).over(same).alias("x"),
-                   F.bit_xor(F.xxhash64("node", F.lit(1))).over(same).alias("y"), "m"))
+    calm = (tokens.join(F.broadcast(hot), "token", "left_anti")
+            .withColumn("m", F.count(F.lit(1)).over(same)).filter(F.col("m") >= 2)
+            .select("node", both[0].over(same).alias("x"), both[1].over(same).alias("y"), "m"))
+    met = calm.unionByName(of_hot)
     # tiles with the same members are one; should two others share a hash, they meet for nothing
     met = met.select(F.xxhash64("x", "y", "m").alias("tile"), "node").distinct()
     width = math.log(100 / percent) * (1 + 1e-9)  # a rounding error never parts linked sizes by two bands
@@ -368,8 +376,8 @@ null if it reaches no other. An empty table gives no rows.
     heads = (rows.filter(F.col("digest").isNotNull()).groupBy("node", "digest").agg(F.min("rid").alias("rid"))
              .join(groups.select(F.col("set_id").alias("node")).distinct(), "node", "left_semi").select("rid"))
     heads = materialize(heads, "heads")
-    tokens = (rows.select("rid", "node", "prefix").hint("merge").join(heads, "rid", "left_semi")
-              .select("node", F.explode("prefix").alias("token")))
+    tokens = materialize(rows.select("rid", "node", "prefix").hint("merge").join(heads, "rid", "left_semi")
+                         .select("node", F.explode("prefix").alias("token")), "tokens")
     slim = materialize(rows.select("rid", "node", "size", "bitmap").hint("merge").join(heads, "rid", "left_semi")
                        .drop("rid"), "bitmaps")
     tiles = _tiles(tokens, slim.select("node", "size"), percent)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from riskloom.llm import fim, hard_negatives, simhash
+from riskloom.llm import fim, hard_negatives, ngram_join, simhash
 from tests.llm.helpers import CLASH, awkward, docs
 
 UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -272,3 +272,13 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, hot_parts):
     assert got.columns == ["doc_id", "fingerprint", "component_id", "copy_id"]
     assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_hot_tokens_make_the_same_tiles(spark):
+    rng = random.Random(12)
+    held = {(n, rng.choice([1, 2, rng.randint(3, 40)])) for n in range(60) for _ in range(4)}  # tokens 1 and 2 are hot
+    tokens = spark.createDataFrame(sorted(held), "node long, token long")
+    sizes = spark.createDataFrame([(n, 20 + n % 9) for n in range(60)], "node long, size long")
+    calm, some, every = (sorted(map(tuple, ngram_join._tiles(tokens, sizes, 85, parts).collect())) for parts in (1, 8, 10 ** 6))
+    assert calm == some == every and len(calm) > 60
+    assert ngram_join._tiles(tokens.limit(0), sizes, 85).count() == 0
