@@ -1,10 +1,13 @@
 """Main text of web pages by site template removal.
 
 Each page is parsed into blocks of text and the element subtrees that span
-them. Every subtree is hashed over its tags and text; Spark counts, per host and
+them. Every subtree is hashed twice: over its tags and text, and as a shape, over tags,
+class words and the shapes of its children without any text. Spark counts, per host and
 per section of it (the first segment of the path), how many different pages hold
 each hash, and subtrees that recur on many pages of their host, by share or by
 number, or on a large share of a section are template and deleted, inside an article as anywhere else.
+A shape says less than a text, so the page's core has none: what lies in an article or holds
+one or, on a page without, lies in or holds the smallest element with ``CORE_SHARE`` of the text.
 What a tag or its class already names as boilerplate (menus, forms, adverts,
 comments, ...) is never a block at all; class names count as a whole, and never
 those of the page, its article or what the article lies in. The article mark serves as a guard only:
@@ -30,6 +33,7 @@ MIN_PAGES = 5
 MIN_SHARE = 0.4
 SHORT = 100              # characters under which the guards hold
 GUARD_SHARE = 0.8
+CORE_SHARE = 0.75        # of a page's characters, in the element taken for its article if none is marked
 MANY_PAGES = 100         # template whatever the share, but for paragraphs, items and cells under SHORT
 SALTS = 16
 
@@ -102,10 +106,27 @@ PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "article", "first", "named")
+    __slots__ = ("tag", "dropped", "article", "first", "named", "kind", "shape", "last", "articles")
 
-    def __init__(self, tag, dropped, article, first, named=False):
+    def __init__(self, tag, dropped, article, first, named=False, kind="", articles=0):
         self.tag, self.dropped, self.article, self.first, self.named = tag, dropped, article, first, named
+        self.kind = kind                  # class words
+        self.shape, self.last = 0, None   # polynomial of the children's shapes, the last of them
+        self.articles = articles          # of the page before this element
+
+    def add(self, shape):
+        """A child; a run of like children counts as one, so that lists of any length are alike."""
+        if shape != self.last:
+            self.shape, self.last = (self.shape * BASE + shape) % PRIME, shape
+
+
+def _class_words(attr: str) -> str:
+    """The class words of an element without those that hold a number."""
+    if not attr:
+        return ""
+    words = {w for name, value in _ATTR.findall(attr) if name.lower() == "class"
+             for w in value.strip("\"'").lower().split() if not any(c.isdigit() for c in w)}
+    return " ".join(sorted(words))
 
 
 def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
@@ -113,9 +134,19 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
     subtree below body that has text), of a whole page. The two low bits of the
     hash are 3 for a guarded subtree, 1 for any other short paragraph, item or
     cell, else 0."""
+    return read(html)[:3]
+
+
+def read(html: str, lists: bool = True) -> tuple[list[str], list[bool], list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """What ``parse`` gives, and (hash, first block, end block) of the shape of every
+    subtree outside the page's core that has a class word or a child and is no
+    paragraph, item or cell. ``lists=False`` drops nothing for its tag, role or class."""
     blocks: list[str] = []
     in_article: list[bool] = []
     subtrees: list[tuple[int, int, int]] = []
+    shapes: list[tuple[int, int, int]] = []
+    held: list[tuple[int, int]] = []       # blocks of the elements that can be a core
+    articles = 0
     text: list[str] = []
     stack: list[_Open] = []
     depth: dict[str, int] = {}             # open elements by tag
@@ -148,11 +179,19 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
             return
         if node.named:  # and no article came up in it
             del blocks[node.first:], in_article[node.first:], run[node.first + 1:], size[node.first + 1:]
-            while subtrees and subtrees[-1][2] > node.first:
-                subtrees.pop()
+            for found in (subtrees, shapes, held):
+                while found and found[-1][-1] > node.first:
+                    found.pop()
             return
         if node.tag in ("html", "body"):
             return
+        shape = _digest(f"{node.tag}\x00{node.kind}\x00{node.shape}")
+        if stack:
+            stack[-1].add(shape)
+        if node.tag not in TEXT_LEVEL and node.tag not in INLINE:
+            held.append((node.first, len(blocks)))
+            if (node.kind or node.last is not None) and not node.article and node.articles == articles:
+                shapes.append((shape & ~3, node.first, len(blocks)))
         n = len(blocks) - node.first
         digest = _digest(f"{node.tag}\x00{n}\x00{(run[-1] - run[node.first] * power[n]) % PRIME}")
         short = node.tag in TEXT_LEVEL and size[-1] - size[node.first] < SHORT
@@ -193,9 +232,11 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
                 text.append("\n")
             continue
         article = (bool(stack) and stack[-1].article) or tag in ("article", "main")
-        drop = dropped() or _boilerplate(tag, m["attr"], article)
-        named = not drop and _named(tag, m["attr"])
+        drop = dropped() or lists and _boilerplate(tag, m["attr"], article)
+        named = lists and not drop and _named(tag, m["attr"])
         if tag in INLINE:
+            if tag == "a" and stack:
+                stack[-1].add(1)
             if (named or drop) and not dropped() and not m["attr"].endswith("/"):
                 flush()
                 push(_Open(tag, drop, article, len(blocks), named))
@@ -213,21 +254,29 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
             marked.add(tag)  # the article itself, not a comment or teaser after it: what it lies in is no boilerplate
             for o in stack:
                 o.named = False
-        push(_Open(tag, drop, article, len(blocks), named))
+        push(_Open(tag, drop, article, len(blocks), named, _class_words(m["attr"]), articles))
+        if tag in ("article", "main") and not drop:
+            articles += 1
     flush()
     while stack:
         pop()
-    return blocks, in_article, subtrees
+    if not articles:
+        core = min((h for h in held if size[h[1]] - size[h[0]] >= CORE_SHARE * size[-1]),
+                   key=lambda h: h[1] - h[0], default=(0, len(blocks)))
+        shapes = [t for t in shapes if t[2] <= core[0] or t[1] >= core[1]]
+    return blocks, in_article, subtrees, shapes
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-            many_pages: int = MANY_PAGES) -> DataFrame:
+            many_pages: int = MANY_PAGES, lists: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``.
 
     A subtree is template if at least ``min_pages`` different pages of the host,
     and ``min_share`` of them, hold it (``GUARD_SHARE`` of them if it is guarded),
     if the same is true of the pages of a section, or if ``many_pages`` of the host
-    hold it and it is no short paragraph, item or cell. Pages with the same text count once. A null or empty html has the empty text.
+    hold it and it is no short paragraph, item or cell; so is a subtree whose shape
+    recurs like that. Pages with the same text count once. ``lists=False`` leaves
+    everything to the counts. A null or empty html has the empty text.
     Very long pages are read whole, in time that grows with their length however deep
     they nest. A null url is a host of its own. Repeated rows give repeated results; an empty
     table gives no rows.
@@ -241,9 +290,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         def step(cols):
             out = {"host": cols["host"], "section": cols["section"], "page": cols["page"], "said": [], "hashes": []}
             for html in cols["html"]:
-                blocks, _, trees = parse(html or "")
+                blocks, _, trees, shapes = read(html or "", lists)
                 out["said"].append(_digest("\x00".join(blocks)))
-                out["hashes"].append(sorted({t[0] for t in trees}))
+                out["hashes"].append(sorted({t[0] for t in trees + shapes}))
             return out
         return step
 
@@ -276,10 +325,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         def step(cols):
             texts = []
             for html, template in zip(cols["html"], cols["template"]):
-                blocks, _, trees = parse(html or "")
+                blocks, _, trees, shapes = read(html or "", lists)
                 keep = [True] * len(blocks)
                 lost = set(template or ())
-                for h, s, e in trees:
+                for h, s, e in trees + shapes:
                     if h in lost:
                         keep[s:e] = [False] * (e - s)
                 texts.append(" ".join(b for b, k in zip(blocks, keep) if k))

@@ -312,6 +312,69 @@ def test_subtree_hashes_follow_tag_and_text():
     assert of("<div><p>one</p><div class=ad>x<p>y</p></div><p>two</p></div>")[0, 2] == a[0, 2]  # what is dropped leaves no trace
 
 
+def test_shapes_follow_tags_and_classes_without_text():
+    of = lambda html: {t[1:]: t[0] for t in html_main.read(html)[3]}
+    article = "<article><h1>t</h1><div class=x>story</div></article>"
+    a = of(f"<div class='top p1'><ul><li><a>one</a><li><a>two</a></ul></div>{article}<div>bare</div>")
+    b = of(f"<div class='p2 top'><ul><li><a>three</a></ul></div>{article}<div class=x>end</div>")
+    assert set(a) == {(0, 2)} and set(b) == {(0, 1), (3, 4)}  # the inner list spans the same blocks
+    assert a[0, 2] == b[0, 1] != b[3, 4]
+    shapes = lambda html: [t[1:] for t in html_main.read(html)[3]]
+    assert shapes(f"<div class=w>{article}<div class=k>x</div></div>") == [(2, 3)]
+    # without an article the core is the smallest element with most of the text
+    page = "<div class=k>ab</div><div class=w><div class=k>abcdefghij</div><p>klm</p></div>"
+    assert shapes(page) == [(0, 1)] and shapes(page.replace("ab<", "abcdefghij<")) == []
+    assert html_main.read("<nav><ul><li>x</ul></nav><p>y")[0] == ["y"]
+    assert html_main.read("<nav><ul><li>x</ul></nav><p>y", lists=False)[0] == ["x", "y"]
+
+
+def test_menus_with_new_words_on_every_page_go_by_their_shape(spark):
+    def html(i):
+        links = "".join(f"<li><a href=/{i}-{k}>word{i}x{k}</a></li>" for k in range(3 + i % 3))
+        return (f"<body><div class=top{i}><ul>{links}</ul></div><div class=offer>Buy {i} now</div>"
+                f"<article><div class=lead>Story {i} starts.</div><p>It ends {i}.</p></article><div>Plain {i}</div></body>")
+    rows = [(i, f"http://a.example/{i}", html(i)) for i in range(12)]
+    rows += [(200 + i, f"http://c.example/{i}", html(i)) for i in range(3)]  # too few pages
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Story {i} starts. It ends {i}. Plain {i}" for i in range(12))
+    assert got[200] == "word0x0 word0x1 word0x2 Buy 0 now Story 0 starts. It ends 0. Plain 0"
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_counts_equal_brute_force(spark, lists):
+    rng = random.Random(12)
+    parts = ["<div class=k>{}</div>", "<p>{}</p>", "<div><ul><li>{}<li>x</ul></div>", "<nav><ul><li>{}</ul></nav>",
+             "<section class='ad'>{}</section>", "<div>{}</div>"]
+    rows = []
+    for i in range(160):
+        inner = lambda n: "".join(rng.choice(parts).format(rng.choice(["same", "also", f"new {rng.random()}"]))
+                                  for _ in range(rng.randint(0, n)))
+        body = f"<article><p>Story {rng.randint(0, 90)}</p>{inner(2)}</article>" if i % 4 else f"<div>{'long ' * 30}{i}</div>"
+        rows.append((i, f"http://h{min(rng.randint(0, 9), 4)}.example/{rng.choice('ab')}/{i}", f"<body>{inner(3)}{body}{inner(2)}"))
+    rows += [(500, rows[0][1], rows[0][2]), (501, None, None)]
+    read = {html: html_main.read(html or "", lists) for _, _, html in rows}
+    places = {}
+    for _, url, html in rows:
+        host, section = (url.split("/")[2], url.split("/")[3]) if url else ("", "")
+        for place in ((host,), (host, section)):
+            said = tuple(read[html][0])
+            places.setdefault(place, {}).setdefault(said, set()).update(t[0] for t in read[html][2] + read[html][3])
+    want = {}
+    for page_id, url, html in rows:
+        host, section = (url.split("/")[2], url.split("/")[3]) if url else ("", "")
+        blocks, _, trees, shapes = read[html]
+        keep = [True] * len(blocks)
+        for h, s, e in trees + shapes:
+            for place in ((host,), (host, section)):
+                n, of = sum(h in held for held in places[place].values()), len(places[place])
+                if n >= 4 and (n >= (0.8 if h & 2 else 0.3) * of or len(place) == 1 and n >= 20 and not h & 1):
+                    keep[s:e] = [False] * (e - s)
+        want[page_id] = " ".join(b for b, k in zip(blocks, keep) if k)
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows), 4, 0.3, 20, lists).collect()}
+    assert got == want
+    assert sum(want[p] != " ".join(read[h][0]) for p, _, h in rows) > 50
+
+
 def test_deep_nesting_is_read_in_time():
     n = 200_000
     blocks, _, trees = html_main.parse("<div>" * n + "end" + "</p></div>" * n)
