@@ -53,6 +53,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "munderover mpadded mphantom menclose mtable mtr mtd svg g text tspan textpath path rect circle ellipse line "
                     "polyline polygon use defs symbol".split())
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th tr caption".split())
+PLAIN = frozenset("div section center".split())  # say nothing without a class or a child
 # Elements and class words that name what is not the article.
 DROP = frozenset("head nav footer aside form button select dialog object canvas audio video menu".split())
 DROP_WORDS = frozenset(
@@ -139,8 +140,8 @@ def parse(html: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]
 
 def read(html: str, lists: bool = True) -> tuple[list[str], list[bool], list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """What ``parse`` gives, and (hash, first block, end block) of the shape of every
-    subtree outside the page's core that has a class word or a child and is no
-    paragraph, item or cell. ``lists=False`` drops nothing for its tag, role or class."""
+    subtree outside the page's core that is no paragraph, item or cell and no plain
+    division without class word and child. ``lists=False`` drops nothing for its tag, role or class."""
     blocks: list[str] = []
     in_article: list[bool] = []
     subtrees: list[tuple[int, int, int]] = []
@@ -190,7 +191,7 @@ def read(html: str, lists: bool = True) -> tuple[list[str], list[bool], list[tup
             stack[-1].add(shape)
         if node.tag not in TEXT_LEVEL and node.tag not in INLINE:
             held.append((node.first, len(blocks)))
-            if (node.kind or node.last is not None) and not node.article and node.articles == articles:
+            if (node.kind or node.last is not None or node.tag not in PLAIN) and not node.article and node.articles == articles:
                 shapes.append((shape & ~3, node.first, len(blocks)))
         n = len(blocks) - node.first
         digest = _digest(f"{node.tag}\x00{n}\x00{(run[-1] - run[node.first] * power[n]) % PRIME}")

@@ -332,12 +332,13 @@ def test_menus_with_new_words_on_every_page_go_by_their_shape(spark):
     def html(i):
         links = "".join(f"<li><a href=/{i}-{k}>word{i}x{k}</a></li>" for k in range(3 + i % 3))
         return (f"<body><div class=top{i}><ul>{links}</ul></div><div class=offer>Buy {i} now</div>"
-                f"<article><div class=lead>Story {i} starts.</div><p>It ends {i}.</p></article><div>Plain {i}</div></body>")
+                f"<article><div class=lead>Story {i} starts.</div><p>It ends {i}.</p></article><div>Plain {i}</div>"
+                f"<site-foot>Line {i}</site-foot></body>")
     rows = [(i, f"http://a.example/{i}", html(i)) for i in range(12)]
     rows += [(200 + i, f"http://c.example/{i}", html(i)) for i in range(3)]  # too few pages
     got = {r["page_id"]: r["text"] for r in html_main.extract(pages(spark, rows)).collect()}
     assert all(got[i] == f"Story {i} starts. It ends {i}. Plain {i}" for i in range(12))
-    assert got[200] == "word0x0 word0x1 word0x2 Buy 0 now Story 0 starts. It ends 0. Plain 0"
+    assert got[200] == "word0x0 word0x1 word0x2 Buy 0 now Story 0 starts. It ends 0. Plain 0 Line 0"
 
 
 @pytest.mark.parametrize("lists", [True, False])
