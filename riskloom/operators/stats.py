@@ -3,9 +3,10 @@
 Exact order statistics (quartiles, winsorizing bounds) never put a whole column
 into one task or the driver:
 
-1. a quantile sketch (``percentile_approx``) gives, for each wanted rank of each
-   column, a value bracket that should hold it;
-2. one wide aggregate counts the values below and inside every bracket; a
+1. a quantile sketch (``percentile_approx``), one for all ranks of a column, gives
+   for each of them a value bracket that should hold it; a column of at most
+   ``BRACKET_ROWS`` values is one bracket as it is;
+2. one pass counts the values below and inside every bracket; a
    bracket that misses its rank is moved, one with over ``BRACKET_ROWS`` rows is
    narrowed by a sketch of its inside, until every bracket is small;
 3. the rows inside the brackets are counted by distinct value, and a running
@@ -93,31 +94,64 @@ class _Bracket:
                                       and self.inside <= BRACKET_ROWS)
 
 
+def _shared(brackets: list[_Bracket]) -> list[list[_Bracket]]:
+    """Brackets of the same column and values together."""
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.column, b.lo, b.hi), []).append(b)
+    return list(groups.values())
+
+
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Set every bracket to sketch values around its rank among the values it holds."""
+    """Set every bracket to sketch values around its rank among the values it holds,
+    one sketch for all brackets that hold the same values."""
+    groups = _shared(brackets)
     aggs = []
-    for i, b in enumerate(brackets):
-        n = b.inside
-        slack = 2 * math.ceil(n / accuracy) + 2
-        at = b.rank - b.below
-        probes = [max(at - slack, 0) / max(n - 1, 1), min(at + slack, n - 1) / max(n - 1, 1)]
-        aggs.append(F.percentile_approx(F.when(b.holds(), F.col(b.column).cast("double")),
+    for i, group in enumerate(groups):
+        probes = []
+        for b in group:
+            n = b.inside
+            slack = 2 * math.ceil(n / accuracy) + 2
+            at = b.rank - b.below
+            probes += [max(at - slack, 0) / max(n - 1, 1), min(at + slack, n - 1) / max(n - 1, 1)]
+        aggs.append(F.percentile_approx(F.when(group[0].holds(), F.col(group[0].column).cast("double")),
                                         F.array(*[F.lit(p) for p in probes]), accuracy).alias(f"b{i}"))
     row = df.agg(*aggs).first()
-    for i, b in enumerate(brackets):
-        b.lo, b.hi = float(row[f"b{i}"][0]), float(row[f"b{i}"][1])
+    for i, group in enumerate(groups):
+        for j, b in enumerate(group):
+            b.lo, b.hi = float(row[f"b{i}"][2 * j]), float(row[f"b{i}"][2 * j + 1])
+
+
+def _masked(df: DataFrame, groups: list[list[_Bracket]], per_batch, schema: str) -> DataFrame:
+    """``per_batch(i, x, lo, hi)`` for the i-th group's column of every Arrow batch."""
+    cols = sorted({g[0].column for g in groups})
+    bounds = [(cols.index(g[0].column), g[0].lo, g[0].hi) for g in groups]
+
+    def run(batches):
+        for batch in batches:
+            x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(cols))]
+            for i, (k, lo, hi) in enumerate(bounds):
+                out = per_batch(i, x[k], lo, hi)
+                if out is not None:
+                    yield out
+
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(run, schema)
 
 
 def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Count the values below and inside every bracket, one wide aggregate."""
-    aggs = []
-    for i, b in enumerate(brackets):
-        v = F.col(b.column).cast("double")
-        aggs.append(F.sum(F.when(v < F.lit(b.lo), 1).otherwise(0)).alias(f"u{i}"))
-        aggs.append(F.sum(F.when(b.holds(), 1).otherwise(0)).alias(f"i{i}"))
-    row = df.agg(*aggs).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = int(row[f"u{i}"] or 0), int(row[f"i{i}"] or 0)
+    """Count the values below and inside every bracket, one pass with sums per batch."""
+    groups = _shared(brackets)
+
+    def sums(i, x, lo, hi):
+        return pa.RecordBatch.from_pydict({
+            "i": np.full(1, i, np.int32), "below": np.array([np.count_nonzero(x < lo)], np.int64),
+            "inside": np.array([np.count_nonzero((x >= lo) & (x <= hi))], np.int64)})
+
+    found = {r["i"]: r for r in _masked(df, groups, sums, "i int, below long, inside long")
+             .groupBy("i").agg(F.sum("below").alias("below"), F.sum("inside").alias("inside")).collect()}
+    for i, group in enumerate(groups):
+        for b in group:
+            b.below, b.inside = (int(found[i]["below"]), int(found[i]["inside"])) if i in found else (0, 0)
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
@@ -131,7 +165,7 @@ def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
     brackets = [_Bracket(c, r) for c, rs in wanted.items() for r in rs if 0 <= r < counts[c]]
     for b in brackets:
         b.inside = counts[b.column]
-    todo = list(brackets)
+    todo = [b for b in brackets if not b.small()]
     while todo:
         before = {id(b): (b.lo, b.hi, b.below) for b in todo}
         _narrow(df, todo, accuracy)
@@ -157,27 +191,22 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], floa
     open_ = [b for b in brackets if b.lo != b.hi]
     if not open_:
         return result
-    cols = sorted({b.column for b in open_})
-    bounds = [(cols.index(b.column), b.lo, b.hi) for b in open_]
+    groups = _shared(open_)
 
-    def inside(batches):
-        for batch in batches:
-            x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(cols))]
-            for i, (k, lo, hi) in enumerate(bounds):
-                v, c = np.unique(x[k][(x[k] >= lo) & (x[k] <= hi)], return_counts=True)
-                if len(v):
-                    yield pa.RecordBatch.from_pydict({"i": np.full(len(v), i, np.int32), "v": v, "c": c})
+    def distinct(i, x, lo, hi):
+        v, c = np.unique(x[(x >= lo) & (x <= hi)], return_counts=True)
+        return pa.RecordBatch.from_pydict({"i": np.full(len(v), i, np.int32), "v": v, "c": c}) if len(v) else None
 
-    counted = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-               .mapInArrow(inside, "i int, v double, c long")
+    counted = (_masked(df, groups, distinct, "i int, v double, c long")
                .groupBy("i", "v").agg(F.sum("c").alias("c")))
     w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    want = F.element_at(F.array(*[F.lit(b.rank - b.below) for b in open_]), F.col("i") + 1)
-    picked = (counted.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > want)
-              .groupBy("i").agg(F.min("v").alias("v")).collect())
+    wants = F.element_at(F.array(*[F.array(*[F.lit(b.rank - b.below) for b in g]) for g in groups]), F.col("i") + 1)
+    picked = (counted.withColumn("cum", F.sum("c").over(w)).withColumn("wants", wants)
+              .groupBy("i").agg(*[F.min(F.when(F.col("cum") > F.get("wants", F.lit(j)), F.col("v"))).alias(f"v{j}")
+                                  for j in range(max(map(len, groups)))]).collect())
     for r in picked:
-        b = open_[r["i"]]
-        result[b.column, b.rank] = float(r["v"])
+        for j, b in enumerate(groups[r["i"]]):
+            result[b.column, b.rank] = float(r[f"v{j}"])
     return result
 
 
