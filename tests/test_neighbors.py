@@ -134,3 +134,34 @@ def test_smote_with_hash_tables(spark):
     assert on >= 36                      # between a row and one of its true neighbours
     with pytest.raises(ValueError):
         resample.smote(df, "id", names, "y", neighbours="other")
+
+
+def test_a_block_is_not_compared_with_all_of_another(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(_clusters(rng, 6_000, 20), 2)
+    x[:, 5:] *= 0.05
+    x[40:60] = x[40]                     # copies: ties go to the smaller id
+    q = x[:300].copy()
+    q[::3, 2] = np.nan
+    need = np.where(np.isnan(q[:, 2]), 2, -1)
+    seen = []
+    add = neighbors._Best.add
+    monkeypatch.setattr(neighbors._Best, "add", lambda self, rows, d, ids: seen.append(d.size) or add(self, rows, d, ids))
+    points = neighbors.pd.DataFrame({"pid": range(len(x)), "v": list(x)})
+    queries = neighbors.pd.DataFrame({"qid": range(300), "need": need, "v": list(q)})
+    got = neighbors._top(queries, points, 4, True)
+    assert sum(seen) < 0.25 * len(q) * len(x)
+    d = neighbors.distances(q, x)
+    d[np.arange(300), np.arange(300)] = np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :4]
+    assert (got["pid"].to_numpy().reshape(300, 4) == order).all()
+    assert (got["dist"].to_numpy().reshape(300, 4) == np.take_along_axis(d, order, axis=1)).all()
+
+
+def test_visits_leave_a_task_in_pieces(monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_CELLS", 600)
+    rng = np.random.default_rng(10)
+    low = rng.normal(size=(50, 4))
+    part = neighbors.pd.DataFrame({"qid": range(40), "need": -1, "v": list(rng.normal(size=(40, 4))), "radius": np.inf})
+    pieces = list(neighbors._picked(part, np.arange(50).astype(str).astype(object), low, low + 1, np.full(50, 9), 3, False))
+    assert all(len(p) <= 150 for p in pieces) and sum(map(len, pieces)) == 40 * 50
