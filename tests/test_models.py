@@ -240,3 +240,14 @@ def test_runs_follow_their_session(spark):
     assert modeling.run_of(spark, SF) is a and isinstance(a.inputs, DriverInputs)
     modeling.release(spark)
     assert modeling.run_of(spark, SF) is not a
+
+
+def test_folds_are_fitted_at_the_same_time():
+    from threading import Barrier
+
+    together = Barrier(5, timeout=20)
+
+    def of(f):
+        together.wait()
+        return f
+    assert md.all_folds(of, 5) == [0, 1, 2, 3, 4]
