@@ -165,3 +165,31 @@ def test_visits_leave_a_task_in_pieces(monkeypatch):
     part = neighbors.pd.DataFrame({"qid": range(40), "need": -1, "v": list(rng.normal(size=(40, 4))), "radius": np.inf})
     pieces = list(neighbors._picked(part, np.arange(50).astype(str).astype(object), low, low + 1, np.full(50, 9), 3, False))
     assert all(len(p) <= 150 for p in pieces) and sum(map(len, pieces)) == 40 * 50
+
+
+def test_patterns_of_many_columns():
+    there = np.random.default_rng(3).random((400, 130)) < 0.98
+    there[200:] = there[:200]
+    found = neighbors._patterns(there)
+    assert sorted(r for _, rows in found for r in rows) == list(range(400))
+    assert len(found) == len({r.tobytes() for r in there})
+    assert all((there[rows] == p).all() for p, rows in found)
+    assert neighbors._patterns(np.zeros((0, 3), bool)) == []
+    (none, rows), = neighbors._patterns(np.zeros((4, 0), bool))
+    assert len(none) == 0 and list(rows) == [0, 1, 2, 3]
+
+
+def test_few_queries_of_one_cell_are_spread(spark, monkeypatch):
+    """A class that fits one cell was searched by a task or two, however many cores there are."""
+    monkeypatch.setattr(neighbors, "MIN_QUERY_BLOCK", 50)
+    rows = spark.range(1200).select("id", *[F.rand(i).alias(f"x{i}") for i in range(3)]).collect()
+    df = spark.createDataFrame(rows)
+    tree = neighbors.PivotTree(df, ["x0", "x1", "x2"])
+    block = tree._query_block(tree.queries(df, "id", None))
+    assert 50 <= block <= 1200 // spark.sparkContext.defaultParallelism
+    x = np.array([r[1:] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    d = neighbors.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(int(i), int(ids[j])) for i, near in zip(ids, np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :3]) for j in near}
+    assert {(r["qid"], r["pid"]) for r in tree.search(df, 3, exclude_self=True).collect()} == want
