@@ -251,3 +251,28 @@ def test_folds_are_fitted_at_the_same_time():
         together.wait()
         return f
     assert md.all_folds(of, 5) == [0, 1, 2, 3, 4]
+
+
+def test_search_fits_folds_and_draws_at_the_same_time(spark, monkeypatch):
+    """The folds were taken one after the other, with as many fits at a time as there are draws."""
+    import threading
+
+    met = threading.Barrier(6)
+
+    class Fitted:
+        def __init__(self, draw):
+            self.draw = draw
+
+        def predict(self, held):
+            return self.draw["C"] + held.first()["fold"]
+
+    def fit(rest, name, params, seed, probabilities):
+        met.wait(30)
+        return Fitted(params)
+
+    monkeypatch.setattr(md, "fit", fit)
+    monkeypatch.setattr(md, "evaluate_fbeta", float)
+    train = spark.createDataFrame([(f,) for f in range(3)], "fold int")
+    assert md.fold_scores(train, "lasso", [{"C": 10}, {"C": 20}], k=3) == [[10.0, 11.0, 12.0], [20.0, 21.0, 22.0]]
+    assert md.fold_scores(train, "lasso", [], k=3) == []
+    assert not train.is_cached
