@@ -1,10 +1,15 @@
+import contextlib
+import io
 import math
+import re
 import statistics
+import tempfile
 
 from pyspark.sql import functions as F
 
 from riskloom.functions.capital import with_capital, with_risk_weight
-from riskloom.functions.numeric import fround, ieee_div, ln_ieee, normal_cdf, normal_ppf, sub
+from riskloom.functions.numeric import fround, ieee_div, ln_ieee, normal_cdf, normal_ppf, sub, with_normal_ppf
+from riskloom.operators import capital as cap
 
 INF = float("inf")
 
@@ -76,3 +81,30 @@ def test_fround_of_large_values(spark):
     got = [r.y for r in df.select(fround("x", 9).alias("y")).collect()]
     assert got[:5] == values[:5]
     assert got[5:] == [2.5, -2.5, 0.123456789, 123456.789012346]
+
+
+def test_capital_is_compiled_by_the_jvm(spark):
+    """HotSpot interprets methods over 8,000 bytes for ever, so the generated code has to stay below."""
+    path = tempfile.mkdtemp(prefix="riskloom-capital-") + "/t"
+    spark.range(10).selectExpr("id / 20.0D AS pd_lr", "0 AS pred_lr", "id / 30.0D AS pd_gb", "1 AS pred_gb",
+                               "0.4D AS LGD", "36.0D AS Maturity", "2.0D AS FacilityAmt", "1.0D AS ExchangeRate",
+                               "0.05D AS rate", "CAST(id % 2 AS INT) AS default").write.parquet(path)
+    long = cap.add_capital(cap.scores_long(spark.read.parquet(path), models=["lr", "gb"]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")      # an adaptive plan has no code yet
+    try:
+        for of in (cap.capital_table, cap.eco_loss):
+            text = io.StringIO()
+            with contextlib.redirect_stdout(text):
+                of(long).explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_staged_quantile_equals_the_expression(spark):
+    ps = [None, float("nan"), -1.0, 0.0, 1e-9, 2.95e-6, 0.02424, 0.02425, 0.3, 0.5, 0.97575, 0.97576, 0.9999, 1.0, 2.0]
+    rows = with_normal_ppf(spark.createDataFrame([(p,) for p in ps], "p double"), "p", "q").withColumn(
+        "one", normal_ppf("p"))
+    assert rows.columns == ["p", "q", "one"]
+    assert rows.where(~F.col("q").eqNullSafe(F.col("one"))).count() == 0

@@ -1,4 +1,5 @@
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import Observation
@@ -106,3 +107,31 @@ def test_asof_picks_most_recent(spark):
     assert got == [(5.0, 2001), (5.0, 2001)]       # duplicates kept, start on a bound unmatched
     plan = lk.asof_match(loans, panel)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_asof_reads_the_loans_once(spark):
+    path = tempfile.mkdtemp(prefix="riskloom-asof-") + "/loans"
+    spark.createDataFrame([(1, 20010201, 5.0), (1, 20020101, 7.0), (1, None, 1.0), (None, 20010201, 2.0),
+                           (2, 20000331, 3.0), (2, 20010331, 4.0)], "gvkey long, d int, amt double").write.parquet(path)
+    loans = spark.read.parquet(path).select("gvkey", pn.yyyymmdd_to_date("d").alias("FacilityStartDate"), "amt")
+    panel = spark.createDataFrame(
+        [(1, D(2000, 12, 31), 2000, None), (1, D(2001, 1, 15), 2000, 0.5), (1, D(2001, 1, 15), 2001, None),
+         (1, D(2001, 2, 1), 2002, 0.1), (1, None, 2003, 0.1), (None, D(2001, 1, 1), 2001, 0.2),
+         (2, D(2000, 3, 31), 2000, 0.3)], "gvkey long, datadate date, fyear int, pd double")
+    out = lk.asof_match(loans, panel)
+    assert out.columns == ["gvkey", "FacilityStartDate", "amt", "datadate", "fyear", "pd"]
+    # the greatest row of a date; no match on either bound, without start or without firm
+    assert sorted((r.amt, r.fyear, r.pd) for r in out.collect()) == [(5.0, 2001, None), (7.0, 2002, 0.1)]
+    plan = lk.asof_match(loans, panel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/loans]") == 1
+
+
+def test_integer_dates_as_their_text(spark):
+    n = spark.createDataFrame([(v,) for v in (20000101, 20000229, 20010229, 20001231, 20001301, 20000100, 20000431,
+                                              9990101, 120000101, 0, None)], "n int")
+    got = n.select(pn.yyyymmdd_number_to_date("n", strict=False).alias("a"),
+                   pn.yyyymmdd_to_date("n", strict=False).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert [r.a for r in got][:4] == [D(2000, 1, 1), D(2000, 2, 29), None, D(2000, 12, 31)]
+    with pytest.raises(Exception, match="not a date"):
+        n.select(pn.yyyymmdd_number_to_date("n").alias("a")).collect()
