@@ -193,3 +193,51 @@ def test_few_queries_of_one_cell_are_spread(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = {(int(i), int(ids[j])) for i, near in zip(ids, np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :3]) for j in near}
     assert {(r["qid"], r["pid"]) for r in tree.search(df, 3, exclude_self=True).collect()} == want
+
+
+def test_few_pairs_are_compared_exactly(monkeypatch):
+    """A matrix product rules the others out, also among far offsets, copies and several needs of a row."""
+    rng = np.random.default_rng(11)
+    x = _clusters(rng, 3_000, 20) + 1e6
+    x[::7, 3] = np.nan
+    x[100:140] = x[100]
+    q = x[:400].copy()
+    q[::2, 5] = np.nan
+    q[::2, 6] = np.nan
+    rows = [(i, n) for i in range(400) for n in ((5, 6) if i % 2 == 0 else (-1,))]
+    seen = []
+    add = neighbors._Best.add_pairs
+    monkeypatch.setattr(neighbors._Best, "add_pairs", lambda self, r, d, *more: seen.append(len(d)) or add(self, r, d, *more))
+    points = neighbors.pd.DataFrame({"pid": np.arange(3_000) * 3, "v": list(x)})
+    queries = neighbors.pd.DataFrame({"qid": [3 * i for i, _ in rows], "need": [n for _, n in rows],
+                                      "v": neighbors._bytes(q[[i for i, _ in rows]])})
+    got = neighbors._top(queries, points, 4, True, values=True)
+    assert sum(seen) < 0.05 * len(rows) * len(x)
+    d = neighbors.distances(q, x)
+    d[np.arange(400), np.arange(400)] = np.inf
+    for (i, n), (_, of) in zip(rows, got.groupby(np.arange(len(got)) // 4)):
+        order = np.lexsort((np.arange(3_000), d[i]))[:4]
+        assert (of["pid"].to_numpy() == 3 * order).all() and (of["dist"].to_numpy() == d[i][order]).all()
+        assert np.array_equal(of["value"].to_numpy(), x[order, n] if n >= 0 else np.full(4, np.nan), equal_nan=True)
+
+
+def test_a_query_goes_to_its_first_leaf_once(spark, small_cells, monkeypatch):
+    monkeypatch.setattr(neighbors, "POINT_BLOCK", 400)      # a leaf is one block
+    monkeypatch.setattr(neighbors, "COUNTED_FROM", 1)
+    rng = np.random.default_rng(12)
+    x = _clusters(rng, 200, 3)
+    df, names = _frame(spark, x)
+    asking = df.withColumn("need", F.lit(1)).withColumn("x1", F.when(F.col("id") % 2 == 0, F.col("x1")))
+    tree = neighbors.PivotTree(df, names)
+    near = tree._bounded(tree.queries(asking, "id", "need"), 3, True, 30, 200).cache()
+    assert near.count() == 200 and near.where("home = ''").count() == 0
+    visits = tree.visits(near.select("qid", "need", "v", "radius", "home"), 3, False)
+    assert visits.count() > 0 and visits.where("cell = home").count() == 0
+    q = x.copy()
+    q[1::2, 1] = np.nan
+    d = neighbors.distances(q, x)
+    np.fill_diagonal(d, np.inf)
+    rows = tree.found(asking, 3, "id", "need", True).collect()
+    assert len(rows) == 600
+    for r in rows:
+        assert r.pid == np.lexsort((np.arange(200), d[r.qid]))[r.nn - 1] and r.value == x[r.pid, 1]
