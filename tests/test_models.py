@@ -276,3 +276,39 @@ def test_search_fits_folds_and_draws_at_the_same_time(spark, monkeypatch):
     assert md.fold_scores(train, "lasso", [{"C": 10}, {"C": 20}], k=3) == [[10.0, 11.0, 12.0], [20.0, 21.0, 22.0]]
     assert md.fold_scores(train, "lasso", [], k=3) == []
     assert not train.is_cached
+
+
+def test_temporary_tables_are_deleted(spark):
+    import os
+
+    from riskloom import session
+
+    def exists(df):
+        return [os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()]
+
+    with session.temporary(spark):
+        gone, kept = session.materialize(spark.range(5), "gone"), session.materialize(spark.range(6), "kept", keep=True)
+        with session.temporary(spark):
+            inner = session.materialize(spark.range(7), "inner")
+            files = inner.inputFiles()
+        assert exists(gone) and all(exists(gone)) and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+        files = gone.inputFiles()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert all(exists(kept)) and kept.count() == 6
+    after = session.materialize(spark.range(3), "after")
+    assert all(exists(after))
+
+
+def test_fits_at_once_fit_into_memory(spark):
+    """All folds were fitted at once, each with its own copy of the rows, however many rows there are."""
+    train = _planted(spark)
+    assert md.fits_at_once(train, 5) == 5
+    assert md.fits_at_once(train, 5, width=10 ** 10) == 1
+    running, most = [], []
+
+    def of(f):
+        running.append(f)
+        most.append(len(running))
+        running.remove(f)
+        return f
+    assert md.all_folds(of, 5, at_once=1) == [0, 1, 2, 3, 4] and max(most) == 1
