@@ -312,3 +312,21 @@ def test_fits_at_once_fit_into_memory(spark):
         running.remove(f)
         return f
     assert md.all_folds(of, 5, at_once=1) == [0, 1, 2, 3, 4] and max(most) == 1
+
+
+def test_searched_families_are_fitted_at_the_same_time(spark, monkeypatch):
+    """They were searched one after the other; the result has the same order."""
+    import threading
+
+    met = threading.Barrier(len(modeling.SEARCHED))
+
+    class Run:
+        train = spark.range(1)
+
+        def search_table(self, name, trials, max_trees):
+            met.wait(30)
+            return spark.createDataFrame([(name, trials)], "asked string, trials int")
+
+    monkeypatch.setattr(modeling, "run_of", lambda spark, sf: Run())
+    rows = modeling.q_search_table(spark, SF).collect()
+    assert [(r.asked, r.model, r.trials) for r in rows] == [(n, n, t) for n, (t, _) in modeling.SEARCHED.items()]
