@@ -187,3 +187,10 @@ def test_threshold_split_needs_no_shuffle(spark):
     less = prep.threshold_split(df.where("id % 3 = 0"), ["id", "part"], 0.2, seed=5)
     assert less.join(out, ["id", "part", "split"], "left_anti").count() == 0     # a row keeps its side
     assert prep.threshold_split(df, ["id"], 0.0).where("split = 'test'").count() == 0
+
+
+def test_rows_of_a_repeated_key_all_count(spark):
+    rows = [(1, 0.0, None), (2, 1.0, 10.0), (2, 1.0, 10.0), (3, 2.0, 20.0), (4, 3.0, 30.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    # the nearest three are 2, 2 and 3; both rows of 2 count each time
+    assert prep.knn_impute(df, "k", ["a", "b"], k=3).where("k = 1").first().b == (4 * 10 + 20) / 5
